@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,3 +131,28 @@ def batches_of(rows: Iterator, text_column: str, budget: int = 4 << 20) -> Itera
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(frame)]):
             yield frame.iloc[a:b]
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Adds _file and _index, which name a row of files; a table that isn't read straight from files is written first."""
+    keys = {"_file": F.xxhash64("_metadata.file_path"), "_index": F.col("_metadata.row_index")}
+    try:
+        return docs.select("*", *[c.alias(n) for n, c in keys.items()])
+    except AnalysisException:
+        return saved(docs).select("*", *[c.alias(n) for n, c in keys.items()])
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component) for edges (a, b) of longs: the component is its smallest node. Smallest neighbours' labels, then labels of labels, until none changes."""
+    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    for _ in range(most_rounds):
+        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("lower"), F.col("component").alias("old"))
+        root = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        new = saved(lower.join(root, F.col("lower") == F.col("_n"), "left").select("node", F.least("lower", "_c").alias("component"), "old"))
+        changed = new.where("component != old").limit(1).count()
+        labels = new.select("node", "component")
+        if not changed:
+            return labels
+    raise RuntimeError("components did not settle")

@@ -29,8 +29,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
             ids, texts = batch.column(0), batch.column(1)
             for low in range(0, len(texts), 500):
                 row, piece, start, length, crc = [], [], [], [], []
-                for k in range(low, min(low + 500, len(texts))):
-                    data = encode(texts[k].as_py()) + end
+                for k, data in enumerate(encode(texts.slice(low, 500).to_pylist()), low):
+                    data += end
                     n = len(data) // 4
                     at, first = 0, n % capacity or capacity
                     for p in range(-(-n // capacity)):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -12,9 +14,10 @@ PIECE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 
 
 class TokenBytes(dict):
-    """Piece of text -> its ids as little-endian unsigned 32-bit bytes. Holds `limit` pieces of up to 64 characters at most."""
+    """Piece of text -> its ids as little-endian unsigned 32-bit bytes. Forgets all once `limit` pieces are held."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -23,16 +26,15 @@ class TokenBytes(dict):
         self.limit = limit
         self.findall = regex.compile(PIECE).findall
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.findall(text))) if text else b""
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of each text; a null one has none. Pieces that are new to this task are encoded together."""
+        pieces = [self.findall(t) if t else [] for t in texts]
+        if len(self) > self.limit:
+            self.clear()
+        new = list(set().union(*pieces) - self.keys())
+        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self[piece] = np.asarray(found.ids, dtype="<u4").tobytes()
+        return [b"".join(map(self.__getitem__, p)) for p in pieces]
 
 
 @lru_cache(maxsize=2)
