@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, lm_scoring, near_dedup, packing, sharding, token_counts
+from . import chat, decontaminate, exact_dedup, language_id, lm_scoring, near_dedup, packing, sharding, token_counts
 from .common import held_out, saved, shared_dir
 
 #: A text that tries to end its turn and to open another.
@@ -62,6 +62,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.rolled_up(state.totals())
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
