@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 WS_PATTERN = r"[\x20\x09-\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
+#: Columns that name a row of a table of files.
+ROW_KEY = ["_row_file", "_row_index"]
+
 _own_dir: str | None = None
 
 
@@ -134,14 +137,19 @@ def batches_of(rows: Iterator, text_column: str, budget: int = 4 << 20) -> Itera
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """Adds _file and _index, which name a row of files; a table that isn't read straight from files is written first."""
-    keys = {"_file": F.xxhash64("_metadata.file_path"), "_index": F.col("_metadata.row_index")}
+    """Adds the columns ROW_KEY, which name a row of files; a table that isn't read straight from files is written first."""
+    keys = dict(zip(ROW_KEY, (F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index"))))
     try:
         return docs.select("*", *[c.alias(n) for n, c in keys.items()])
     except AnalysisException:
         return saved(docs).select("*", *[c.alias(n) for n, c in keys.items()])
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs (with ROW_KEY) without the rows whose keys are in dropped, and without ROW_KEY. The keys are written first, so the join knows their size."""
+    return docs.join(saved(dropped.select(*ROW_KEY).distinct()), ROW_KEY, "left_anti").drop(*ROW_KEY)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for edges (a, b) of longs: the component is its smallest node. Smallest neighbours' labels, then labels of labels, until none changes."""
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def maybe_repeated(keys: DataFrame, key: str, bloom: DataFrame, blocks: int, has
     return looked_up.withColumn("maybe", F.col("_bitmap").isNotNull() & F.coalesce(test, F.lit(False))).drop("_block", "_bitmap")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_blocks: int = 4096, hashes: int = 3) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_blocks: int = 4096, hashes: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the columns named in carry.
 
     Texts are equal when identical without ASCII white space (null: empty). Of equal texts the one with the most code points
     stays, then the smallest doc_id; of several rows with that doc_id and length one, any, is kept. A null doc_id comes before
@@ -52,14 +54,14 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     Large groups are counted with partial sums and joined by merge join, whose hot partitions Spark splits.
     """
     prints = saved(
-        docs.select(F.col(doc_id).alias("doc_id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("text_sha256"), F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_n"), F.monotonically_increasing_id().alias("_row"))
+        docs.select(F.col(doc_id).alias("doc_id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("text_sha256"), F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("_n"), F.monotonically_increasing_id().alias("_row"), *carry)
     )
     blocks = max(1, min(max_blocks, prints.count() * 16 // BLOCK_BITS + 1))
     bloom = saved(repeated_filter(prints, "text_sha256", blocks, hashes))
     tested = maybe_repeated(prints, "text_sha256", bloom, blocks, hashes)
-    alone = tested.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    alone = tested.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *carry)
     again = tested.where("maybe")
     best = F.min_by(F.struct("doc_id", "_row"), F.struct(-F.col("_n"), F.col("doc_id"), F.col("_row")))
     groups = saved(again.groupBy("text_sha256").agg(best.alias("_best"), F.count("*").alias("group_size")))
-    joined = again.join(groups.hint("merge"), "text_sha256").select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256")
+    joined = again.join(groups.hint("merge"), "text_sha256").select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256", *carry)
     return alone.unionByName(joined)

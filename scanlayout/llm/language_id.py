@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -123,8 +123,8 @@ class _Scores(dict):
         return out
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of docs: doc_id, lang_pred, score; other columns aren't read.
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """A row per row of docs: doc_id, lang_pred, score, and the columns named in carry; others aren't read.
 
     `und` with score 0 for a null text, one without letters, or a model without languages. Else the language with the highest
     sum over the words of the whole text (on ties the first by name), and its share of exp(sum / sqrt(words)), from 0 to 1.
@@ -146,6 +146,6 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                 best = int(total.argmax())
                 langs.append(own.langs[best])
                 sure.append(float(1 / np.exp((total - total[best]) / len(words) ** 0.5).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), *(batch.column(c) for c in carry)], names=["doc_id", "lang_pred", "score", *carry])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(label, SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry).mapInArrow(label, ", ".join([SCHEMA, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)]))
