@@ -1,4 +1,4 @@
-"""The corpus pipeline: each stage calls one operator and keeps what it lets through."""
+"""The corpus pipeline: each stage calls one operator, and its decisions take effect. The stages are written and read in between."""
 
 from __future__ import annotations
 
@@ -7,19 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanlayout.llm import exact_dedup as exact
-from scanlayout.llm.common import saved
+from scanlayout.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
+from scanlayout.llm.common import ROW_KEY, saved, with_row_key, without
+from scanlayout.llm.queries import tokenizer_path
 
 
-def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no language, because they hold no letter, go. Learns from the labels that the documents bring."""
+    model = language_id.fit(docs)
+    told = language_id.predict(docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row")), model, carry=["whole_row"])
+    return told.where("lang_pred != 'und'").select("whole_row.*")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
-    kept = exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keyed = with_row_key(docs)
+    return without(keyed, exact_dedup.exact_dedup(keyed, carry=ROW_KEY).where("NOT kept"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates one row stays."""
+    keyed = with_row_key(docs)
+    return without(keyed, near_dedup.near_dedup(keyed, carry=ROW_KEY).where("NOT kept"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    keyed = with_row_key(docs)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(keyed, decontaminate.contaminated(keyed, items, carry=ROW_KEY))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(saved(packing.pieces_of(docs, tokenizer_path())))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact_dedup", stage_exact)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("minhash_near_dedup", near),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", packed),
+]
 
-#: Learned and approximate stages have no SQL; tests compare with brute force.
+#: A learned classifier, sampled signatures and token ids have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
