@@ -10,9 +10,10 @@ training counts, a state is the longest run of the last order - 1 events (a star
 b depends on the order and on c(h), by halves of a power of two: the share of training events in such contexts that occurred once,
 so would be new if left out; at the root it is (words seen once + 1) / (N + 1). For every state the arcs' weights sum to 1.
 
-No count is dropped and no table collected: texts are cut into blocks of whole documents; a block sends each of its distinct
-n-grams once, to the task of that n-gram's hash range, and gets the corpus count back. So it takes two shuffles, of some 5 and
-2 bytes for each n-gram of a block, and a hot n-gram is a row a block.
+No count is dropped and no table collected: texts are cut into blocks of whole documents, written bucketed by block; a block sends
+each of its distinct n-grams once, to the task of that n-gram's hash range, and gets the corpus count back. So some 3 bytes
+shuffle for each n-gram of a block, and 1 back, and a hot n-gram is an entry a block. Single words keep 64 bits of their hash,
+longer n-grams KEY_SLACK bits more than it takes to number all entries, so at any size one in 2**KEY_SLACK meets another.
 """
 
 from __future__ import annotations
@@ -26,18 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, saved, word_hashes
+from .common import mix, saved, shared_dir, word_hashes
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bins of c(h): two for each power of two.
 BINS = 128
+KEY_SLACK = 14
 _BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, words binary, at binary, tokens long, train_tokens long"
 
 
 def _pack(x: np.ndarray) -> bytes:
     """Bytes of equal weight together, so that high zeros cost nothing."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
@@ -56,8 +58,11 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         def block() -> pa.RecordBatch:
             hashes, counts = word_hashes(texts)
             events = np.insert(hashes, np.cumsum(counts), END)
-            words, at = np.unique(events, return_inverse=True)
-            lengths = counts + 1
+            words, at, times = np.unique(events, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty_like(order)
+            rank[order] = np.arange(len(order))
+            words, at, lengths = words[order], rank[at], counts + 1
             values = [(task << 32) + made, ids, train, lengths.astype(np.int32), _pack(words), _pack(at.astype(np.uint32)), len(events), int(lengths[np.asarray(train)].sum())]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
@@ -78,16 +83,28 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     return docs.mapInArrow(build, _BLOCKS)
 
 
+def _written(blocks: DataFrame) -> DataFrame:
+    """The blocks as a table bucketed by block, so that counts come to them and they never shuffle."""
+    spark, path = blocks.sparkSession, shared_dir(blocks.sparkSession)
+    name = "llm_blocks_" + path.rsplit("-", 1)[-1]
+    blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 class _Block:
     """A block's events, and by order its n-grams: their sorted distinct keys, and at each event the place of the n-gram ending there (-1: reaches before the start)."""
 
     def __init__(self, row: dict, order: int):
         self.lengths = np.asarray(row["lengths"], dtype=np.int64)
-        words, at = _unpack(row["words"], "<u8"), _unpack(row["at"], "<u4")
+        ranked, at = _unpack(row["words"], "<u8"), _unpack(row["at"], "<u4")
+        by_hash = np.argsort(ranked)
+        words, place = ranked[by_hash], np.empty(len(ranked), dtype=np.int32)
+        place[by_hash] = np.arange(len(ranked))
+        at = place[at]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.trained = np.repeat(np.asarray(row["train"], dtype=bool), self.lengths)
         index = np.arange(len(at)) - np.repeat(self.starts, self.lengths)
-        self.keys, self.places = [words], [at.astype(np.int64)]
+        self.keys, self.places = [words], [at]
         events, key = words[at], words[at]
         for n in range(2, order + 1):
             before = np.empty_like(key)
@@ -97,7 +114,7 @@ class _Block:
             key = mix(before * np.uint64(0xD6E8FEB86659FD93) + events + np.uint64(n))
             whole = index >= n - 2
             distinct, place = np.unique(key[whole], return_inverse=True)
-            full = np.full(len(key), -1, dtype=np.int64)
+            full = np.full(len(key), -1, dtype=np.int32)
             full[whole] = place
             self.keys.append(distinct)
             self.places.append(full)
@@ -111,19 +128,17 @@ class _Block:
         first = np.zeros(len(self.places[0]), dtype=bool)
         first[self.starts] = True
         for n in range(2, len(totals) + 1):
-            own, shorter = self.places[n - 1], self.places[n - 2]
-            context = np.zeros(len(own), dtype=np.int64)
-            before = shorter[:-1]
-            context[1:] = np.where(before >= 0, totals[n - 2][before], 0)
+            own, context = self.places[n - 1], np.zeros(len(first), dtype=np.int64)
+            context[1:] = np.append(totals[n - 2], 0)[self.places[n - 2][:-1]]  # the place -1 takes the 0
             context[first] = starts if n == 2 else 0
-            yield np.where(own >= 0, totals[n - 1][own], 0), np.where(own >= 0, context, 0)
+            yield np.append(totals[n - 1], 0)[own], np.where(own >= 0, context, 0)
 
 
 def _bin(context: np.ndarray) -> np.ndarray:
     return np.minimum((2 * np.log2(np.maximum(context, 1))).astype(np.int64), BINS - 1)
 
 
-def _entries(blocks: DataFrame, order: int, bits: int) -> DataFrame:
+def _entries(blocks: DataFrame, order: int, bits: int, key_bits: int) -> DataFrame:
     """(bucket, block, n, keys, counts): the block's distinct n-grams of one hash range, with their training counts in the block."""
     kinds = [("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
 
@@ -137,7 +152,7 @@ def _entries(blocks: DataFrame, order: int, bits: int) -> DataFrame:
                     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
                     for a, b in zip(cuts, cuts[1:]):
                         if a < b:
-                            short = keys[a:b] if n == 1 else keys[a:b] >> np.uint64(12)
+                            short = keys[a:b] if n == 1 else keys[a:b] >> np.uint64(64 - key_bits)
                             rows.append((int(bucket[a]), row["block"], n, _pack(np.diff(short, prepend=np.uint64(0))), _pack(counts[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows), kinds)], names=[c for c, _ in kinds])
 
@@ -163,25 +178,29 @@ def _corpus_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(add, "block long, bucket long, n int, totals binary, known long, once long")
 
 
-def _counted(blocks: DataFrame, counts: DataFrame, order: int, starts: int) -> DataFrame:
-    """Blocks with `totals` by order, and their sums for the failure weights: by order and bin, training events and those seen once."""
-    schema = _BLOCKS + ", totals array<binary>, stats array<long>, known long, once long"
+def _totals(right: pa.Table, order: int) -> tuple[list[np.ndarray], int, int]:
+    parts = sorted(right.to_pylist(), key=lambda r: (r["n"], r["bucket"]))
+    totals = [np.concatenate([_unpack(r["totals"], "<u4") for r in parts if r["n"] == n] or [np.zeros(0, "<u4")]).astype(np.int64) for n in range(1, order + 1)]
+    return totals, sum(r["known"] for r in parts), sum(r["once"] for r in parts)
 
-    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        block, parts = _Block(row, order), sorted(right.to_pylist(), key=lambda r: (r["n"], r["bucket"]))
-        totals = [np.concatenate([_unpack(r["totals"], "<u4") for r in parts if r["n"] == n]) for n in range(1, order + 1)]
+
+def _statistics(blocks: DataFrame, counts: DataFrame, order: int, starts: int) -> DataFrame:
+    """(i, n): sums over blocks of what the failure weights need: by order, kind (training events, those seen once) and bin; -1 and -2 are the words seen, and seen once."""
+
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = _Block(left.to_pylist()[0], order)
+        totals, known, once = _totals(right, order)
         stats = np.zeros((order - 1, 2, BINS), dtype=np.int64)
         for k, (own, context) in enumerate(block.counts_at(totals, starts)):
             use = block.trained & (context > 0)
             bins = _bin(context[use])
             stats[k, 0] = np.bincount(bins, minlength=BINS)
             stats[k, 1] = np.bincount(bins, weights=own[use] == 1, minlength=BINS)
-        row |= {"totals": [_pack(t) for t in totals], "stats": stats.ravel(), "known": sum(r["known"] for r in parts), "once": sum(r["once"] for r in parts)}
-        fields = [*left.schema, pa.field("totals", pa.list_(pa.binary())), pa.field("stats", pa.list_(pa.int64())), pa.field("known", pa.int64()), pa.field("once", pa.int64())]
-        return pa.Table.from_pylist([row], pa.schema(fields))
+        flat = stats.ravel()
+        at = np.flatnonzero(flat)
+        return pa.table({"i": pa.array([*at.tolist(), -1, -2], pa.int32()), "n": pa.array([*flat[at].tolist(), known, once], pa.int64())})
 
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(gather, schema)
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(sums, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
 
 
 def failure_weights(events: np.ndarray, once: np.ndarray) -> np.ndarray:
@@ -189,7 +208,7 @@ def failure_weights(events: np.ndarray, once: np.ndarray) -> np.ndarray:
     return np.clip((once + 0.5) / (events + 1), 1e-4, 0.9999)
 
 
-def score_texts(docs: DataFrame, held_out: Column, order: int = 3, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, order: int = 3, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the documents where held_out is false, scores all. A null text is empty: one event, the end. score is the
@@ -197,34 +216,30 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 3, doc_id: str =
     distinct ones: (c + 1) / (N + V + 1)). Without training documents both are 0. Repeated rows count each; other columns
     aren't read; an empty table gives an empty table.
     """
-    blocks = saved(_blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), (~held_out).alias("train"), F.col(text).alias("text")), block_bytes))
+    blocks = _written(_blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), (~held_out).alias("train"), F.col(text).alias("text")), block_bytes))
     tokens, trained, starts = blocks.select("tokens", "train_tokens", F.size(F.filter("train", lambda t: t)).cast("long").alias("d")).agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("d")).first()
     tokens, trained, starts = tokens or 0, trained or 0, starts or 0
     bits = max(5, (tokens * order // 2_000_000).bit_length())
-    counted = saved(_counted(blocks, _corpus_counts(_entries(blocks, order, bits)), order, starts))
-    known, once = counted.agg(F.sum("known"), F.sum("once")).first()
-    sums = counted.select(F.posexplode("stats").alias("i", "n")).where("n > 0").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    key_bits = min(64, max(40, (tokens * order).bit_length() + KEY_SLACK))
+    counts = saved(_corpus_counts(_entries(blocks, order, bits, key_bits)))
+    sums = {r.i: r.n for r in _statistics(blocks, counts, order, starts).collect()}
+    known, once = sums.pop(-1, 0), sums.pop(-2, 0)
     stats = np.zeros((order - 1) * 2 * BINS)
-    for r in sums:
-        stats[r.i] = r.n
+    stats[list(sums)] = list(sums.values())
     weights = [failure_weights(*s) for s in stats.reshape(order - 1, 2, BINS)]
-    known, root = known or 0, min(((once or 0) + 1) / (trained + 1), 0.5) if trained else 1.0
-    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    root = min((once + 1) / (trained + 1), 0.5) if trained else 1.0
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block, totals = _Block(row, order), [_unpack(t, "<u4").astype(np.int64) for t in row["totals"]]
-                single = totals[0][block.places[0]]
-                p = np.where(single > 0, (1 - root) * single / max(trained, 1), root)
-                for b, (own, context) in zip(weights, block.counts_at(totals, starts)):
-                    fail = b[_bin(context)]
-                    p = np.where(context > 0, (1 - fail) * own / np.maximum(context, 1) + fail * p, p)
-                base = np.log10((single + 1) / (trained + known + 1))
-                n = len(block.lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(block.lengths), pa.array(np.add.reduceat((single > 0).astype(np.int64), block.starts)), pa.array(np.full(n, trained)), pa.array(np.add.reduceat(base, block.starts)), pa.array(np.add.reduceat(np.log10(p), block.starts))],
-                    names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return counted.select("block", "doc_ids", "train", "lengths", "words", "at", "totals").mapInArrow(walk, schema)
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        block, (totals, _, _) = _Block(row, order), _totals(right, order)
+        single = totals[0][block.places[0]]
+        p = np.where(single > 0, (1 - root) * single / max(trained, 1), root)
+        for b, (own, context) in zip(weights, block.counts_at(totals, starts)):
+            fail = b[_bin(context)]
+            p = np.where(context > 0, (1 - fail) * own / np.maximum(context, 1) + fail * p, p)
+        base = np.log10((single + 1) / (trained + known + 1))
+        sums_of = lambda x: pa.array(np.add.reduceat(x, block.starts))
+        return pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(block.lengths), sums_of((single > 0).astype(np.int64)), pa.array(np.full(len(block.lengths), trained, dtype=np.int64)), sums_of(base), sums_of(np.log10(p))], names=names)
+
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(walk, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
