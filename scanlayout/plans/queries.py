@@ -20,7 +20,10 @@ from .oracle import sql
 PAGE = fx.PAGE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_ODD = F.col("doc_id") % 2 == 1
+
+
+def _odd():
+    return F.col("doc_id") % 2 == 1
 
 
 def query(name: str, *parts: str):
@@ -51,7 +54,7 @@ def _quads(spark: SparkSession, d: str) -> DataFrame:
 def _read_in_order(tokens: DataFrame) -> DataFrame:
     tol = reading.reading_tolerance(tokens)
     rows = reading.with_page_values(tokens, tol, reading.column_tolerance(tokens, tol), reading.body_region(tokens, fx.PAGE_W, fx.PAGE_H))
-    return reading.body_priority(reading.reading_order(rows, _ODD), fx.PAGE_H)
+    return reading.body_priority(reading.reading_order(rows, _odd()), fx.PAGE_H)
 
 
 _ZONED = [o.TOKENS, o.MARGINS, o.tolerance("mtokens"), o.column_tolerance("mtokens"), o.body("mtokens"), o.ordered("mtokens"), o.zoned("ord")]
@@ -78,18 +81,18 @@ _ORDERED = [o.TOKENS, o.tolerance("tokens"), o.column_tolerance("tokens"), o.ord
 
 @query("w1_order_horizontal", *_ORDERED, "SELECT doc_id, page_index, seq, CAST(ord AS INTEGER) AS ord FROM ord WHERE doc_id % 2 <> 1")
 def order_horizontal(spark, d):
-    return _order_of(spark, d, ~_ODD)
+    return _order_of(spark, d, ~_odd())
 
 
 def _order_of(spark, d, which):
     t = fx.tokens(spark, d).where(which)
     tol = reading.reading_tolerance(t)
-    return reading.reading_order(reading.with_page_values(t, tol, reading.column_tolerance(t, tol)), _ODD).select(*PAGE, "seq", "ord")
+    return reading.reading_order(reading.with_page_values(t, tol, reading.column_tolerance(t, tol)), _odd()).select(*PAGE, "seq", "ord")
 
 
 @query("w2_order_vertical", *_ORDERED, "SELECT doc_id, page_index, seq, CAST(ord AS INTEGER) AS ord FROM ord WHERE doc_id % 2 = 1")
 def order_vertical(spark, d):
-    return _order_of(spark, d, _ODD)
+    return _order_of(spark, d, _odd())
 
 
 @query("w3_body_priority", *_ZONED, "SELECT doc_id, page_index, zone, count(*) AS n, CAST(sum(ord * seq) AS BIGINT) AS checksum FROM zoned GROUP BY ALL")
@@ -416,7 +419,7 @@ def _to_place(spark, d):
     rows = _read_in_order(m)
     snapped = reading.snap_to_column(rows, reading.column_anchors(rows)).join(t.drop("text"), [*PAGE, "seq"])
     quads = words.with_geometry(fx.quads(m))
-    up = F.when(_ODD, words.orientation("vertical")).otherwise(words.orientation("horizontal"))
+    up = F.when(_odd(), words.orientation("vertical")).otherwise(words.orientation("horizontal"))
     return reading.with_page_values(snapped, reading.page_metrics(quads, 0.5, 0.5)).withColumn("xscale", F.lit(1.05)), up
 
 
