@@ -121,8 +121,8 @@ def pack_documents(pieces: DataFrame, capacity: int = 1024, per_group: int = 20_
     """
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.where(F.col("length") < capacity)
-    sizes = rest.groupBy("length").count().toPandas()
-    n, bound = int(sizes["count"].sum()), lower_bound(sizes["length"].to_numpy(), sizes["count"].to_numpy(), capacity)
+    sizes = rest.groupBy("length").count().collect()  # capacity rows at most
+    n, bound = sum(r["count"] for r in sizes), lower_bound(np.array([r["length"] for r in sizes], dtype=np.int64), np.array([r["count"] for r in sizes], dtype=np.int64), capacity)
     done, packed = [], saved(_pack(rest, 0, -(-n // per_group) or 1, capacity)) if n else None
     columns = [*pieces.columns, "sequence_id", "offset"]
     settled = 0
