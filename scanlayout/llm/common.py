@@ -83,11 +83,11 @@ def _hash_chunk(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(value, np.searchsorted(inside, starts))), counts
 
 
-def word_hashes(texts: Sequence[str | None], chunk_bytes: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: Sequence[str | None], chunk_bytes: int = 512 << 10) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (uint64) of the words of all texts, one after the other, and the number of words of each text.
 
     Words are runs of characters other than ASCII white space, with A-Z in lower case. A null text counts as empty.
-    Works through whole texts a few MB at a time, so that memory stays bounded.
+    Works through whole texts half a MB at a time, so that memory stays bounded.
     """
     hashes, counts, parts, size = [], [], [], 0
     for text in texts:
@@ -124,18 +124,6 @@ def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     return out, runs
 
 
-def batches_of(rows: Iterator, text_column: str, budget: int = 4 << 20) -> Iterator:
-    """Cuts pandas batches into slices of about `budget` characters, so that one batch of long texts doesn't fill the memory."""
-    for frame in rows:
-        if not len(frame):
-            continue
-        size = frame[text_column].str.len().fillna(0).to_numpy(dtype=np.int64)
-        group = np.cumsum(size) // budget
-        cuts = np.flatnonzero(np.diff(group)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(frame)]):
-            yield frame.iloc[a:b]
-
-
 def with_row_key(docs: DataFrame) -> DataFrame:
     """Adds the columns ROW_KEY, which name a row of files; a table that isn't read straight from files is written first."""
     keys = dict(zip(ROW_KEY, (F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index"))))

@@ -48,7 +48,7 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (np.log((n + 1) / (known + 1)) + 1).astype(np.float32)
 
 
-def _slices(batch: pa.RecordBatch, column: int, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch where its texts reach `budget` characters."""
     sizes = np.array([len(x.as_py() or "") if x.is_valid else 0 for x in batch.column(column)], dtype=np.int64)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // budget)) + 1
@@ -227,7 +227,7 @@ def near_dedup(docs: DataFrame, params: Params = Params(), star_rounds: int = 3,
     banded = reps.select("rid", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").count().where("count > 1").select("bucket")
     members = saved(banded.join(shared.hint("merge"), "bucket"))
-    found = spark.createDataFrame([], "a long, b long")
+    found = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     tested = found
     classes = None
 
