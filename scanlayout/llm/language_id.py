@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest and shortest character n-grams; words are written between two marks.
 LONGEST, SHORTEST = 5, 1
@@ -46,18 +48,18 @@ class Model:
         return np.zeros(len(self.langs))
 
 
-def _log_frequencies(rows: list[tuple[str, str, int]], langs: list[str]) -> dict[str, np.ndarray]:
-    """Centred on the mean over languages: what all share says nothing, and words and n-grams of any length are on one scale."""
+def _log_frequencies(rows: pa.Table, langs: list[str]) -> dict[str, np.ndarray]:
+    """Of rows (feature, lang, n). Centred on the mean over languages: what all share says nothing, and words and n-grams of any length are on one scale."""
     at = {x: i for i, x in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for feature, lang, n in rows:
-        counts.setdefault(feature, np.zeros(len(langs)))[at[lang]] += n
-    total = sum(counts.values(), np.zeros(len(langs))) + len(counts)
-    logs = {k: np.log((v + 1) / total) for k, v in counts.items()}
-    return {k: v - v.mean() for k, v in logs.items()}
+    coded = rows["feature"].combine_chunks().dictionary_encode()
+    counts = np.zeros((len(coded.dictionary), len(langs)))
+    np.add.at(counts, (coded.indices.to_numpy(), np.array([at[x] for x in rows["lang"].to_pylist()], dtype=np.int64)), rows["n"].to_numpy())
+    logs = np.log((counts + 1) / (counts.sum(axis=0) + len(counts)))
+    logs -= logs.mean(axis=1, keepdims=True)
+    return dict(zip(coded.dictionary.to_pylist(), logs))
 
 
-def fit(docs: DataFrame, per_lang: int = 2000, max_features: int = 60_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(docs: DataFrame, per_lang: int = 2000, max_features: int = 40_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from a bounded sample of labelled rows: the per_lang documents of each language whose hashed ids are smallest.
 
     Their whole texts count. Rows with a null id, text or language aren't learned from. The model keeps the max_features most
@@ -89,14 +91,12 @@ def fit(docs: DataFrame, per_lang: int = 2000, max_features: int = 60_000, doc_i
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counted = words.mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("size").orderBy(F.desc("n"), "gram", "lang")
-    kept = counted.withColumn("size", F.length("gram")).withColumn("k", F.row_number().over(top)).where(F.col("k") <= max_features).select("size", "gram", "lang", "n").collect()
-    known = words.where("n > 1").orderBy(F.desc("n"), "word", "lang").limit(max_features).select("word", "lang", "n").collect()
-    langs = sorted({r.lang for r in kept})
-    made = Model(langs, _log_frequencies([tuple(r) for r in known], langs))
-    for size in range(SHORTEST, LONGEST + 1):
-        made.grams[size] = _log_frequencies([(r.gram, r.lang, r.n) for r in kept if r.size == size], langs)
-    return made
+    counted = saved(counted.select(F.length("gram").alias("size"), F.col("gram").alias("feature"), "lang", "n"))
+    first = [F.desc("n"), "feature", "lang"]
+    tables = [counted.where(F.col("size") == size).orderBy(*first).limit(max_features).select("feature", "lang", "n").toArrow() for size in range(SHORTEST, LONGEST + 1)]
+    langs = sorted(set(tables[0]["lang"].to_pylist()))
+    known = words.where("n > 1").withColumnRenamed("word", "feature").orderBy(*first).limit(max_features).select("feature", "lang", "n").toArrow()
+    return Model(langs, _log_frequencies(known, langs), {size: _log_frequencies(t, langs) for size, t in zip(range(SHORTEST, LONGEST + 1), tables)})
 
 
 class _Scores(dict):
