@@ -353,6 +353,29 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
     assert got[30][0]["class_id"] == got[31][0]["class_id"] == 30 and got[50][0]["copies"] == 2
 
 
+def test_passages_with_an_insertion_or_deletion_in_one_place_are_found():
+    p, rng = substring_dedup.Params(), random.Random(8)
+    for trial in range(200):
+        n = rng.randrange(60, 160)
+        own = prose(n, 1000 + trial).split()
+        k, at = rng.randrange(1, n // 10 - 2), rng.randrange(5, n - 20)
+        other = own[:at] + prose(k, 3000 + trial).split() + own[at:] if trial % 2 else own[:at] + own[at + k :]
+        texts = [prose(a, 5000 + 3 * trial + a).split() + t + prose(b, 9000 + 3 * trial + b).split() for t, a, b in ((own, 70, 80), (other, 60, 90))]
+        hashes, counts = common.word_hashes([" ".join(t) for t in texts])
+        shingles, runs = common.windows(hashes, counts, p.width)
+        x, y = shingles[: runs[0]], shingles[runs[0] :]
+        px, py = x[70 : 70 + n - 4], y[60 : 60 + len(other) - 4]
+        alike = len(np.intersect1d(px, py)) / len(np.union1d(px, py))
+        first, both = {int(v): i for i, v in reversed(list(enumerate(y)))}, np.flatnonzero(np.isin(x, py))
+        anchor = int(rng.choice(both.tolist()))
+        found = substring_dedup.align(x, y, [(anchor, first[int(x[anchor])])], p)
+        if alike >= p.similarity and min(len(px), len(py)) >= p.shortest:
+            (a, b, c, d, s), = found
+            assert a <= 70 and b >= 70 + len(px) and c <= 60 and d >= 60 + len(py) and s >= p.similarity
+        for a, b, c, d, s in found:
+            assert s == pytest.approx(len(np.intersect1d(x[a:b], y[c:d])) / len(np.union1d(x[a:b], y[c:d]))) and s >= p.similarity - 1e-9
+
+
 def test_repeated_passages_odd_input(spark):
     out = rows(substring_dedup.repeated_passages(odd(spark), carry=["source"]))
     assert {r["doc_id"] for r in out} == {4, 8} and all(r["stop"] - r["start"] >= 29_990 for r in out)
