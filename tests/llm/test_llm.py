@@ -376,6 +376,19 @@ def test_passages_with_an_insertion_or_deletion_in_one_place_are_found():
             assert s == pytest.approx(len(np.intersect1d(x[a:b], y[c:d])) / len(np.union1d(x[a:b], y[c:d]))) and s >= p.similarity - 1e-9
 
 
+def test_passages_around_a_frequent_line_are_found(spark):
+    line = prose(20, 7)
+    texts = [(i, f"{prose(60, 100 + i)} {line} {prose(60, 900 + i)}") for i in range(200)]
+    for k in range(120):
+        passage = f"{prose(15, 2000 + k)} {line} {prose(15, 3000 + k)}"
+        texts += [(1000 + 2 * k + e, f"{prose(50, 4000 + 2 * k + e)} {passage} {prose(50, 6000 + 2 * k + e)}") for e in range(2)]
+    random.Random(3).shuffle(texts)
+    got = {r["doc_id"]: r["class_id"] for r in rows(substring_dedup.repeated_passages(table(spark, texts)))}
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in texts}
+    alike = {i for x, y in combinations(sets, 2) if len(sets[x] & sets[y]) >= 46 for i in (x, y)}
+    assert alike == set(range(1000, 1240)) and got == {i: i - i % 2 for i in alike}
+
+
 def test_repeated_passages_odd_input(spark):
     out = rows(substring_dedup.repeated_passages(odd(spark), carry=["source"]))
     assert {r["doc_id"] for r in out} == {4, 8} and all(r["stop"] - r["start"] >= 29_990 for r in out)
