@@ -11,14 +11,14 @@ b depends on the order and on c(h), by halves of a power of two: the share of tr
 so would be new if left out; at the root it is (words seen once + 1) / (N + 1). For every state the arcs' weights sum to 1.
 
 No count is dropped and no table collected: texts are cut into blocks of whole documents, written bucketed by block; a block sends
-each of its distinct n-grams once, to the task of that n-gram's hash range, and gets the corpus count back. So some 3 bytes
-shuffle for each n-gram of a block, and 1 back, and a hot n-gram is an entry a block. Single words keep 64 bits of their hash,
-longer n-grams KEY_SLACK bits more than it takes to number all entries, so at any size one in 2**KEY_SLACK meets another.
+each of its distinct n-grams once, to the task of that n-gram's hash range, and gets the corpus count back. So some 6 bytes
+shuffle for each n-gram of a block, and 1 back, and a hot n-gram is an entry a block. All n-grams keep 64 bits of their hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,9 @@ from .common import mix, saved, shared_dir, word_hashes
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bins of c(h): two for each power of two.
 BINS = 128
-KEY_SLACK = 14
+#: In how many turns n-grams are counted.
+PASSES = 2
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, words binary, at binary, tokens long, train_tokens long"
 
 
@@ -138,8 +140,8 @@ def _bin(context: np.ndarray) -> np.ndarray:
     return np.minimum((2 * np.log2(np.maximum(context, 1))).astype(np.int64), BINS - 1)
 
 
-def _entries(blocks: DataFrame, order: int, bits: int, key_bits: int) -> DataFrame:
-    """(bucket, block, n, keys, counts): the block's distinct n-grams of one hash range, with their training counts in the block."""
+def _entries(blocks: DataFrame, order: int, bits: int, turn: int) -> DataFrame:
+    """(bucket, block, n, keys, counts): the block's distinct n-grams of one hash range, with their training counts in the block. Every PASSES-th range, from `turn` on."""
     kinds = [("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +153,9 @@ def _entries(blocks: DataFrame, order: int, bits: int, key_bits: int) -> DataFra
                     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
                     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
                     for a, b in zip(cuts, cuts[1:]):
-                        if a < b:
-                            short = keys[a:b] if n == 1 else keys[a:b] >> np.uint64(64 - key_bits)
-                            rows.append((int(bucket[a]), row["block"], n, _pack(np.diff(short, prepend=np.uint64(0))), _pack(counts[a:b])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(zip(*rows), kinds)], names=[c for c, _ in kinds])
+                        if a < b and bucket[a] % PASSES == turn:
+                            rows.append((int(bucket[a]), row["block"], n, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(counts[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[c for c, _ in kinds])
 
     return blocks.mapInArrow(emit, "bucket long, block long, n int, keys binary, counts binary")
 
@@ -178,6 +179,18 @@ def _corpus_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(add, "block long, bucket long, n int, totals binary, known long, once long")
 
 
+def _counted(blocks: DataFrame, order: int, bits: int) -> DataFrame:
+    """The corpus counts of all entries, written in PASSES parts; what a part shuffled is dropped once it is written, which saves disk."""
+    spark, before, parts = blocks.sparkSession, blocks.sparkSession.conf.get(_CLEANUP, None), []
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        for turn in range(PASSES):
+            parts.append(saved(_corpus_counts(_entries(blocks, order, bits, turn))))
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _totals(right: pa.Table, order: int) -> tuple[list[np.ndarray], int, int]:
     parts = sorted(right.to_pylist(), key=lambda r: (r["n"], r["bucket"]))
     totals = [np.concatenate([_unpack(r["totals"], "<u4") for r in parts if r["n"] == n] or [np.zeros(0, "<u4")]).astype(np.int64) for n in range(1, order + 1)]
@@ -220,8 +233,7 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 3, doc_id: str =
     tokens, trained, starts = blocks.select("tokens", "train_tokens", F.size(F.filter("train", lambda t: t)).cast("long").alias("d")).agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("d")).first()
     tokens, trained, starts = tokens or 0, trained or 0, starts or 0
     bits = max(5, (tokens * order // 2_000_000).bit_length())
-    key_bits = min(64, max(40, (tokens * order).bit_length() + KEY_SLACK))
-    counts = saved(_corpus_counts(_entries(blocks, order, bits, key_bits)))
+    counts = _counted(blocks, order, bits)
     sums = {r.i: r.n for r in _statistics(blocks, counts, order, starts).collect()}
     known, once = sums.pop(-1, 0), sums.pop(-2, 0)
     stats = np.zeros((order - 1) * 2 * BINS)

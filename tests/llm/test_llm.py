@@ -105,6 +105,19 @@ def test_lm_scoring_equals_brute_force(spark):
         assert r["score"] == pytest.approx(score, rel=1e-9) and r["base_score"] == pytest.approx(base, rel=1e-9)
 
 
+def test_lm_scoring_tells_n_grams_of_similar_keys_apart(spark):
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(2500)})
+    h = common.word_hashes([" ".join(words)])[0]
+    keys = common.mix((h * np.uint64(0xD6E8FEB86659FD93))[:, None] + h[None, :] + np.uint64(2)).ravel() >> np.uint64(24)
+    order = np.argsort(keys)
+    i, j = next((x, y) for x, y in zip(order, order[1:]) if keys[x] == keys[y] and len({x // len(h), x % len(h), y // len(h), y % len(h)}) == 4)
+    a, b, c, d = (words[k] for k in (i // len(h), i % len(h), j // len(h), j % len(h)))
+    texts = [(k, f"{a} {b}") for k in range(6)] + [(10, d), (11, "other"), *((20 + k, f"{c} {w}") for k, w in enumerate("vwxyz"))] + [(100, f"{c} {d}"), (101, f"{c} other")]
+    out = {r["doc_id"]: r["score"] for r in rows(lm_scoring.score_texts(table(spark, texts), F.col("doc_id") >= 100))}
+    assert out[100] == pytest.approx(out[101])
+
+
 def test_lm_scoring_odd_input(spark):
     out = rows(lm_scoring.score_texts(odd(spark), F.lit(False)))
     assert len(out) == 10 and all(math.isfinite(r["score"]) for r in out)
