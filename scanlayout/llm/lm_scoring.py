@@ -18,6 +18,7 @@ shuffle for each n-gram of a block, and 1 back, and a hot n-gram is an entry a b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -221,6 +222,96 @@ def failure_weights(events: np.ndarray, once: np.ndarray) -> np.ndarray:
     return np.clip((once + 0.5) / (events + 1), 1e-4, 0.9999)
 
 
+@dataclass
+class Automaton:
+    """The states that a block's texts can reach: 0 is the root, 1 the start mark, then the counted n-grams below the order.
+
+    `keys` has state * words + word of each arc, sorted; `into` and `weight` its next state and log10 weight. The root's arcs are
+    apart, by word, and lead back to it for a word never counted. Other states fail to `fail` with log10 weight `slip`.
+    """
+
+    words: int
+    start: int
+    keys: np.ndarray
+    into: np.ndarray
+    weight: np.ndarray
+    root_into: np.ndarray
+    root_weight: np.ndarray
+    fail: np.ndarray
+    slip: np.ndarray
+
+    def walk(self, at: np.ndarray, lengths: np.ndarray, warm: int, piece: int = 512) -> np.ndarray:
+        """The weight of each event of several texts, all walked in step. Long texts go in pieces; as a state depends on the last `warm` events only, a piece starts so many before."""
+        pieces = -(-lengths // piece)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        before = np.where(nth > 0, warm, 0)
+        begin = np.repeat(np.cumsum(lengths) - lengths, pieces) + nth * piece - before
+        size = np.minimum(np.repeat(lengths, pieces) - nth * piece, piece) + before
+        order = np.argsort(-size, kind="stable")
+        begin, size, before, state = begin[order], size[order], before[order], np.where(nth > 0, 0, self.start)[order]
+        out = np.zeros(len(at))
+        for t in range(int(size.max(initial=0))):
+            active = int(np.searchsorted(-size, -t, side="left"))
+            event = begin[:active] + t
+            word, now, log = at[event].astype(np.int64), state[:active], np.zeros(active)
+            left = np.flatnonzero(now)
+            while len(left):
+                key = now[left] * self.words + word[left]
+                arc = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+                hit = self.keys[arc] == key if len(self.keys) else np.zeros(len(left), dtype=bool)
+                took, failed = left[hit], left[~hit]
+                log[took] += self.weight[arc[hit]]
+                now[took] = -1 - self.into[arc[hit]]  # done; a state below 0 is the next one
+                log[failed] += self.slip[now[failed]]
+                now[failed] = self.fail[now[failed]]
+                left = failed[now[failed] > 0]
+            root = np.flatnonzero(now == 0)
+            log[root] += self.root_weight[word[root]]
+            now[root] = -1 - self.root_into[word[root]]
+            state[:active] = -1 - now
+            use = before[:active] <= t
+            out[event[use]] = log[use]
+        return out
+
+
+def automaton(block: _Block, totals: list[np.ndarray], weights: list[np.ndarray], root: float, trained: int, starts: int) -> Automaton:
+    """States, arcs and failure arcs out of the corpus counts of a block's n-grams."""
+    order, words, size, numbers = len(totals), len(totals[0]), 2, []
+    for total in totals[:-1]:
+        numbers.append(np.where(total > 0, size + np.cumsum(total > 0) - 1, -1))
+        size += int((total > 0).sum())
+    fail, slip = np.zeros(size, dtype=np.int64), np.zeros(size)
+    p = np.where(totals[0] > 0, (1 - root) * totals[0] / max(trained, 1), root)
+    root_into, root_weight = np.maximum(numbers[0], 0) if numbers else np.zeros(words, dtype=np.int64), np.log10(p)
+    keys, into, weight = [], [], []
+    for n in range(2, order + 1):
+        own = block.places[n - 1]
+        event = np.full(len(totals[n - 1]), -1, dtype=np.int64)
+        event[own[own >= 0]] = np.flatnonzero(own >= 0)  # one of each n-gram's places
+        word, suffix = block.places[0][event].astype(np.int64), block.places[n - 2][event]
+        context = np.append(block.places[n - 2], 0)[event - 1]
+        state, count = numbers[n - 2][context], totals[n - 2][context]
+        if n == 2:
+            first = np.isin(event, block.starts)
+            state, count = np.where(first, 1, state), np.where(first, starts, count)
+        seen = totals[n - 1] > 0
+        b = weights[n - 2][_bin(count)]
+        p = np.where(seen, (1 - b) * totals[n - 1] / np.maximum(count, 1) + b * p[suffix], 1.0)
+        keys.append((state * words + word)[seen])
+        into.append((numbers[n - 1] if n < order else numbers[n - 2][suffix])[seen])
+        weight.append(np.log10(p[seen]))
+        if n < order:
+            fail[numbers[n - 1][seen]] = numbers[n - 2][suffix[seen]]
+        below = numbers[n - 2] >= 0
+        slip[numbers[n - 2][below]] = np.log10(weights[n - 2][_bin(totals[n - 2][below])])
+        if n == 2:
+            slip[1] = np.log10(weights[0][_bin(np.array([starts]))[0]])
+    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
+    keys = join(keys, np.int64)
+    sort = np.argsort(keys)
+    return Automaton(words, 1 if starts and order > 1 else 0, keys[sort], join(into, np.int64)[sort], join(weight, np.float64)[sort], root_into, root_weight, fail, slip)
+
+
 def score_texts(docs: DataFrame, held_out: Column, order: int = 3, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -246,12 +337,9 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 3, doc_id: str =
         row = left.to_pylist()[0]
         block, (totals, _, _) = _Block(row, order), _totals(right, order)
         single = totals[0][block.places[0]]
-        p = np.where(single > 0, (1 - root) * single / max(trained, 1), root)
-        for b, (own, context) in zip(weights, block.counts_at(totals, starts)):
-            fail = b[_bin(context)]
-            p = np.where(context > 0, (1 - fail) * own / np.maximum(context, 1) + fail * p, p)
+        weight = automaton(block, totals, weights, root, trained, starts).walk(block.places[0], block.lengths, order - 1)
         base = np.log10((single + 1) / (trained + known + 1))
         sums_of = lambda x: pa.array(np.add.reduceat(x, block.starts))
-        return pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(block.lengths), sums_of((single > 0).astype(np.int64)), pa.array(np.full(len(block.lengths), trained, dtype=np.int64)), sums_of(base), sums_of(np.log10(p))], names=names)
+        return pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(block.lengths), sums_of((single > 0).astype(np.int64)), pa.array(np.full(len(block.lengths), trained, dtype=np.int64)), sums_of(base), sums_of(weight)], names=names)
 
     return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(walk, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

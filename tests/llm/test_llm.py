@@ -118,6 +118,40 @@ def test_lm_scoring_tells_n_grams_of_similar_keys_apart(spark):
     assert out[100] == pytest.approx(out[101])
 
 
+def test_the_automaton_s_weights_sum_to_one_and_walks_don_t_depend_on_pieces():
+    rng, lengths = random.Random(3), np.array([1, 40, 7, 23, 90])
+    at = np.array([0 if i in np.cumsum(lengths) - 1 else rng.randrange(1, 9) for i in range(lengths.sum())])
+    ranked = np.sort(common.mix(np.arange(1, 10, dtype=np.uint64)))
+    row = {"lengths": lengths, "words": lm_scoring._pack(ranked), "at": lm_scoring._pack(at.astype(np.uint32)), "train": [True, True, True, True, False]}
+    block = lm_scoring._Block(row, 3)
+    totals = [block.train_counts(n) for n in (1, 2, 3)]
+    weights = [np.full(lm_scoring.BINS, b) for b in (0.3, 0.4)]
+    own = lm_scoring.automaton(block, totals, weights, 0.1, int(totals[0].sum()), 4)
+    arcs = {int(k): (int(n), float(w)) for k, n, w in zip(own.keys, own.into, own.weight)}
+
+    def step(state, word):
+        log = 0.0
+        while state and state * own.words + word not in arcs:
+            log, state = log + own.slip[state], int(own.fail[state])
+        to, w = arcs[state * own.words + word] if state else (int(own.root_into[word]), own.root_weight[word])
+        return to, log + w
+
+    known = np.flatnonzero(totals[0])
+    for state in range(len(own.fail)):
+        if any(k // own.words == state for k in arcs) or state == 0:
+            assert sum(10 ** step(state, w)[1] for w in known) + 0.1 * 10 ** sum_of_slips(own, state) == pytest.approx(1)
+    told, state = [], 1
+    for e, word in enumerate(block.places[0].tolist()):
+        state, log = step(1 if e in block.starts else state, word)
+        told.append(log)
+    for piece in (2, 3, 16, 512):
+        assert own.walk(block.places[0], block.lengths, 2, piece) == pytest.approx(np.array(told))
+
+
+def sum_of_slips(own, state):
+    return own.slip[state] + sum_of_slips(own, int(own.fail[state])) if state else 0.0
+
+
 def test_lm_scoring_odd_input(spark):
     out = rows(lm_scoring.score_texts(odd(spark), F.lit(False)))
     assert len(out) == 10 and all(math.isfinite(r["score"]) for r in out)
