@@ -16,7 +16,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no language, because they hold no letter, go. Learns from the labels that the documents bring."""
     model = language_id.fit(docs)
     told = language_id.predict(docs.select("doc_id", "text", F.struct(*docs.columns).alias("whole_row")), model, carry=["whole_row"])
-    return told.where("lang_pred != 'und'").select("whole_row.*")
+    return told.where((F.col("lang_pred") != "und") | F.col("whole_row.text").rlike(r"\p{L}")).select("whole_row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,41 +31,71 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def _key(feature: str) -> int:
+    return int.from_bytes(blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+@dataclass
+class Table:
+    """Features by the sorted 64-bit keys of their text, and the log frequency of each by language: some bytes a feature, so that many fit."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+
+    def find(self, features: list[str]) -> np.ndarray:
+        """The rows of those features that are known."""
+        keys = np.array([_key(x) for x in features], dtype=np.uint64)
+        if not len(self.keys) or not len(keys):
+            return self.logs[:0]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.logs[at[self.keys[at] == keys]]
+
+
 @dataclass
 class Model:
-    """For words and for each length of n-grams: the log frequency of each by language, add-one smoothed. At most max_features rows each."""
+    """For words and for each length of n-grams: the log frequency of each by language, add-one smoothed."""
 
     langs: list[str]
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
+    words: Table
+    grams: dict[int, Table] = field(default_factory=dict)
 
     def score_word(self, word: str) -> np.ndarray:
         """Log frequencies of a known word; else the mean over its known n-grams of the longest length that has any; else 0."""
-        if (own := self.words.get(word)) is not None:
-            return own
+        if len(own := self.words.find([word])):
+            return own[0]
         for n in range(LONGEST, SHORTEST - 1, -1):
-            table = self.grams.get(n, {})
-            if found := [table[g] for g in grams_of(word, n) if g in table]:
-                return np.mean(found, axis=0)
+            if n in self.grams and len(found := self.grams[n].find(grams_of(word, n))):
+                return found.mean(axis=0, dtype=np.float64)
         return np.zeros(len(self.langs))
 
 
-def _log_frequencies(rows: pa.Table, langs: list[str]) -> dict[str, np.ndarray]:
+def _log_frequencies(rows: pa.Table, langs: list[str]) -> Table:
     """Of rows (feature, lang, n). Centred on the mean over languages: what all share says nothing, and words and n-grams of any length are on one scale."""
     at = {x: i for i, x in enumerate(langs)}
     coded = rows["feature"].combine_chunks().dictionary_encode()
     counts = np.zeros((len(coded.dictionary), len(langs)))
     np.add.at(counts, (coded.indices.to_numpy(), np.array([at[x] for x in rows["lang"].to_pylist()], dtype=np.int64)), rows["n"].to_numpy())
-    logs = np.log((counts + 1) / (counts.sum(axis=0) + len(counts)))
-    logs -= logs.mean(axis=1, keepdims=True)
-    return dict(zip(coded.dictionary.to_pylist(), logs))
+    logs = np.log((counts + 1) / (counts.sum(axis=0) + len(counts))) if langs else counts
+    logs -= logs.mean(axis=1, keepdims=True) if langs else 0
+    keys = np.array([_key(x.as_py()) for x in coded.dictionary], dtype=np.uint64)
+    order = np.argsort(keys)
+    return Table(keys[order], logs[order].astype(np.float32))
+
+
+def _frequent(counts: DataFrame, langs: list[str], most: int) -> pa.Table:
+    """(feature, lang, n) in all languages of the features that are among the `most` most frequent ones of some language. The picks are bounded by limits."""
+    if not langs:
+        return counts.select("feature", "lang", "n").limit(0).toArrow()
+    picks = [counts.where(F.col("lang") == x).orderBy(F.desc("n"), "feature").limit(most).select("feature") for x in langs]
+    picked = saved(reduce(DataFrame.unionByName, picks).distinct())
+    return counts.join(F.broadcast(picked), "feature", "left_semi").select("feature", "lang", "n").toArrow()
 
 
-def fit(docs: DataFrame, per_lang: int = 2000, max_features: int = 40_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(docs: DataFrame, per_lang: int = 2000, max_features: int = 60_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learns from a bounded sample of labelled rows: the per_lang documents of each language whose hashed ids are smallest.
 
     Their whole texts count. Rows with a null id, text or language aren't learned from. The model keeps the max_features most
-    frequent (feature, language) counts of words, and of n-grams of each length, so its size is bounded.
+    frequent words of each language, and n-grams of each length, with their counts in all languages, so its size is bounded.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
@@ -86,17 +118,16 @@ def fit(docs: DataFrame, per_lang: int = 2000, max_features: int = 40_000, doc_i
         for batch in batches:
             for own, w, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
                 for size in range(SHORTEST, LONGEST + 1):
-                    for g in grams_of(w[:100], size):
+                    for g in grams_of(w, size):
                         seen[own, g] = seen.get((own, g), 0) + n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counted = words.mapInArrow(grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = saved(counted.select(F.length("gram").alias("size"), F.col("gram").alias("feature"), "lang", "n"))
-    first = [F.desc("n"), "feature", "lang"]
-    tables = [counted.where(F.col("size") == size).orderBy(*first).limit(max_features).select("feature", "lang", "n").toArrow() for size in range(SHORTEST, LONGEST + 1)]
-    langs = sorted(set(tables[0]["lang"].to_pylist()))
-    known = words.where("n > 1").withColumnRenamed("word", "feature").orderBy(*first).limit(max_features).select("feature", "lang", "n").toArrow()
-    return Model(langs, _log_frequencies(known, langs), {size: _log_frequencies(t, langs) for size, t in zip(range(SHORTEST, LONGEST + 1), tables)})
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    known = saved(words.where("n > 1").withColumnRenamed("word", "feature"))
+    grams_by_size = {size: _log_frequencies(_frequent(counted.where(F.col("size") == size), langs, max_features), langs) for size in range(SHORTEST, LONGEST + 1)}
+    return Model(langs, _log_frequencies(_frequent(known, langs, max_features), langs), grams_by_size)
 
 
 class _Scores(dict):

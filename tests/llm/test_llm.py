@@ -373,6 +373,19 @@ def test_language_id_learns_and_holds_out(spark):
     assert len(language_id.predict(odd(spark), model).collect()) == 10
 
 
+def test_small_languages_keep_their_features_and_long_words_all_of_theirs(spark):
+    rng = random.Random(6)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    large = [made("abcdefgh", 5) for _ in range(400)]
+    small = [made("abcdefgh", 5) for _ in range(20)]
+    tail = made("pqrstu", 60)
+    texts = [("big", " ".join(rng.choice(large) for _ in range(300))) for _ in range(60)] + [("few", " ".join(small)) for _ in range(2)] + [("run", made("klmno", 100) + tail)]
+    model = language_id.fit(table(spark, [(i, t) for i, (_, t) in enumerate(texts)], [x for x, _ in texts]), max_features=300)
+    told = language_id.predict(table(spark, [(1, " ".join(small)), (2, tail[:50]), (3, " ".join(large[:40]))]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in told} == {1: "few", 2: "run", 3: "big"}
+    assert all(len(model.words.find([w])) for w in small)
+
+
 # 9
 
 
