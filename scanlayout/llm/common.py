@@ -24,10 +24,12 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; where that is unset (tests), under a temporary folder of this process."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset, under a temporary folder in local mode (tests); on a cluster, whose machines don't share such folders, an error."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="spark-llm-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -39,7 +41,28 @@ def saved(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, and gives true sizes."""
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what saved() wrote, once all that reads it has been written itself. Other tables stay."""
+    for df in tables:
+        if path := getattr(df, "_saved_path", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def carried(carry: Sequence[str], made: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """Columns to carry through an operator as one struct, so that their names clash with none inside, and the columns to take out of it in the end.
+
+    A carried column may not have the name of a result column.
+    """
+    if clash := sorted({c.lower() for c in carry} & {m.lower() for m in made}):
+        raise ValueError(f"carried columns have names of results: {', '.join(clash)}")
+    return ([F.struct(*carry).alias("carried_")] if carry else []), [F.col("carried_")[c].alias(c) for c in carry]
 
 
 def held_out(doc_id: Column, mod: int) -> Column:
@@ -124,6 +147,17 @@ def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndar
     return out, runs
 
 
+def text_keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes (int64) of each text's words and their order, from word_hashes; 0 for a text without words."""
+    starts = np.cumsum(counts) - counts
+    place = (np.arange(len(hashes)) - np.repeat(starts, counts) + 1).astype(np.uint64)
+    out = []
+    for mixed in (mix(hashes * place), mix(hashes + place * np.uint64(0xBF58476D1CE4E5B9))):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
+        out.append((total[starts + counts] - total[starts]).view(np.int64))
+    return out[0], out[1]
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """Adds the columns ROW_KEY, which name a row of files; a table that isn't read straight from files is written first."""
     keys = dict(zip(ROW_KEY, (F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index"))))
@@ -138,17 +172,20 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(saved(dropped.select(*ROW_KEY).distinct()), ROW_KEY, "left_anti").drop(*ROW_KEY)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, component) for edges (a, b) of longs: the component is its smallest node. Smallest neighbours' labels, then labels of labels, until none changes."""
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
     for _ in range(most_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("component", "near").alias("lower"), F.col("component").alias("old"))
+        near = both.join(labels.hint("merge"), both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = labels.join(near.hint("merge"), "node").select("node", F.least("component", "near").alias("lower"), F.col("component").alias("old"))
         root = labels.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        new = saved(lower.join(root, F.col("lower") == F.col("_n"), "left").select("node", F.least("lower", "_c").alias("component"), "old"))
+        new = saved(lower.join(root.hint("merge"), F.col("lower") == F.col("_n"), "left").select("node", F.least("lower", "_c").alias("component"), "old"))
         changed = new.where("component != old").limit(1).count()
+        forget(labels)
         labels = new.select("node", "component")
+        labels._saved_path = new._saved_path
         if not changed:
+            forget(both)
             return labels
     raise RuntimeError("components did not settle")

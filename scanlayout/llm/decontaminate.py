@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import windows, word_hashes
-from .near_dedup import _slices
+from .near_dedup import slices
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def contaminated(docs: DataFrame, items: DataFrame, params: Params = Params(), d
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in batches:
-                for part in _slices(batch, 0):
+                for part in slices(batch, 0):
                     hashes, counts = word_hashes(part.column(0).to_pylist())
                     ends, at, found = np.cumsum(counts), [], []
                     for i, (e, n) in enumerate(zip(ends.tolist(), counts.tolist())):

@@ -7,14 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix, saved, windows, word_hashes
+from .common import ROW_KEY, carried, components, forget, mix, saved, text_keys, windows, with_row_key, word_hashes
 
 #: Hashed words of which document frequencies are kept: the table's size is fixed, so it may be broadcast.
 WORD_SLOTS = 1 << 18
 _TABLE = 1 << 14
+#: Classes of sums of weights in which pairs of the least similarity lie apart at most.
+_STEPS = 8
+RESULT = ["doc_id", "class_id", "class_size", "kept"]
 
 
 @dataclass(frozen=True)
@@ -33,7 +37,7 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(WORD_SLOTS, dtype=np.int64), 0
         for batch in batches:
-            for part in _slices(batch, 0):
+            for part in slices(batch, 0):
                 hashes, counts = word_hashes(part.column(0).to_pylist())
                 own = np.repeat(np.arange(len(counts)), counts) * WORD_SLOTS + (hashes % np.uint64(WORD_SLOTS)).astype(np.int64)
                 df += np.bincount(np.unique(own) % WORD_SLOTS, minlength=WORD_SLOTS)
@@ -48,18 +52,23 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (np.log((n + 1) / (known + 1)) + 1).astype(np.float32)
 
 
-def _slices(batch: pa.RecordBatch, column: int, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch where its texts reach `budget` characters."""
-    sizes = np.array([len(x.as_py() or "") if x.is_valid else 0 for x in batch.column(column)], dtype=np.int64)
+def slices(batch: pa.RecordBatch, *columns: int, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch where the texts of the columns reach `budget` bytes."""
+    sizes = np.zeros(len(batch), dtype=np.int64)
+    for c in columns:
+        sizes += pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // budget)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
         if a < b:
             yield batch.slice(a, b - a)
 
 
-def vectors(texts: Sequence[str | None], idf: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text its distinct shingles in order, their weights, and its words. Weight: times it occurs, by the mean inverse frequency of its words."""
-    hashes, counts = word_hashes(texts)
+def vectors(texts: Sequence[str | None], idf: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct shingles in order, and their weights: times it occurs, by the mean inverse frequency of its words."""
+    yield from _vectors(*word_hashes(texts), idf, width)
+
+
+def _vectors(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     shingles, runs = windows(hashes, counts, width)
     sums = np.concatenate([[0.0], np.cumsum(idf[(hashes % np.uint64(WORD_SLOTS)).astype(np.int64)], dtype=np.float64)])
     ends, at = np.cumsum(counts), np.cumsum(runs)
@@ -68,7 +77,7 @@ def vectors(texts: Sequence[str | None], idf: np.ndarray, width: int) -> Iterato
         own = shingles[at[i] - runs[i] : at[i]]
         mean = np.round((sums[first + size : ends[i] + 1] - sums[first : ends[i] + 1 - size]) / max(size, 1), 4) if n else np.zeros(0)
         features, where, times = np.unique(own, return_index=True, return_counts=True)
-        yield features, times * mean[where], hashes[first : ends[i]]
+        yield features, times * mean[where]
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -121,10 +130,12 @@ def _signatures(docs: DataFrame, idf, params: Params, chunk: int = 8192) -> Data
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, frequencies = Sampler(params.bands * params.rows), idf.value
         for batch in batches:
-            for part in _slices(batch, 0):
+            for part in slices(batch, 0):
                 n = len(part)
-                k1, k2, total, bands, sketch = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n), [[]] * n, [b""] * n
+                total, bands, sketch = np.zeros(n), [[]] * n, [b""] * n
                 rows, features, weights, size = [], [], [], 0
+                hashes, counts = word_hashes(part.column(0).to_pylist())
+                k1, k2 = text_keys(hashes, counts)
 
                 def flush() -> None:
                     starts = np.cumsum([0, *map(len, features[:-1])])
@@ -136,9 +147,7 @@ def _signatures(docs: DataFrame, idf, params: Params, chunk: int = 8192) -> Data
                     for m, row in enumerate(rows):
                         bands[row], sketch[row] = keys[m].tolist(), (drawn[m] & np.uint64(255)).astype(np.uint8).tobytes()
 
-                for row, (own, weight, words) in enumerate(vectors(part.column(0).to_pylist(), frequencies, params.width)):
-                    place = np.arange(1, len(words) + 1, dtype=np.uint64)
-                    k1[row], k2[row] = mix(words * place).sum(dtype=np.uint64), mix(words + place * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64)
+                for row, (own, weight) in enumerate(_vectors(hashes, counts, frequencies, params.width)):
                     if len(own):
                         total[row] = weight.sum()
                         rows.append(row)
@@ -150,19 +159,24 @@ def _signatures(docs: DataFrame, idf, params: Params, chunk: int = 8192) -> Data
                             rows, features, weights, size = [], [], [], 0
                 if rows:
                     flush()
-                made = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+                made = [pa.array(k1), pa.array(k2), pa.array(total), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + made, names=[*(f.name for f in others), "k1", "k2", "total", "bands", "sketch"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
     return docs.select("text", *[f.name for f in others]).mapInArrow(sign, f"{schema}, {_SIGNED}")
 
 
+def _sides(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+    """Columns of both nodes of pairs (a, b), as c_a and c_b. b is joined last, so neighbouring rows tend to share it."""
+    for x in "ab":
+        pairs = pairs.join(of.select(F.col("rid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]).hint("merge"), x)
+    return pairs
+
+
 def _promising(pairs: DataFrame, reps: DataFrame, params: Params) -> DataFrame:
     """Pairs (a, b) whose sums of weights allow the similarity and whose samples agree to it less four standard errors."""
     least = params.similarity - 4 * (params.similarity * (1 - params.similarity) / (params.bands * params.rows)) ** 0.5
-    side = lambda x: reps.select(F.col("rid").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("total").alias(f"total_{x}"))
-    joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    joined = joined.where(F.least("total_a", "total_b") >= (params.similarity - 1e-9) * F.greatest("total_a", "total_b"))
+    joined = _sides(pairs, reps, "sketch", "total").where(F.least("total_a", "total_b") >= (params.similarity - 1e-9) * F.greatest("total_a", "total_b"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,93 +187,123 @@ def _promising(pairs: DataFrame, reps: DataFrame, params: Params) -> DataFrame:
     return joined.select("a", "b", "sketch_a", "sketch_b").mapInArrow(agree, "a long, b long")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, idf, params: Params) -> DataFrame:
-    """Pairs with at least the similarity by their whole texts, which join only for the texts that some pair names."""
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(reps.select("rid", "rep", "k1", "k2").hint("merge"), "rid"))
-    texts = wanted.join(docs.select(F.col("doc_id").alias("_id"), "text").hint("merge"), F.col("rep").eqNullSafe(F.col("_id")))
+def _both(part: pa.RecordBatch, idf: np.ndarray, width: int) -> Iterator[tuple[int, tuple, tuple]]:
+    """(row, vector of text_a, vector of text_b); that of a text_b is made once for neighbouring rows with one b."""
+    b = part.column("b").to_numpy()
+    new = np.flatnonzero(np.diff(b, prepend=b[:1] - 1))
+    hubs = list(vectors(part.column("text_b").take(pa.array(new)).to_pylist(), idf, width))
+    which = np.searchsorted(new, np.arange(len(b)), side="right") - 1
+    for row, own in enumerate(vectors(part.column("text_a").to_pylist(), idf, width)):
+        yield row, own, hubs[which[row]]
 
-    def same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, 3):
-                hashes, counts = word_hashes(part.column(3).to_pylist())
-                ends = np.cumsum(counts)
-                own = []
-                for e, n in zip(ends.tolist(), counts.tolist()):
-                    words, place = hashes[e - n : e], np.arange(1, n + 1, dtype=np.uint64)
-                    own.append((mix(words * place).sum(dtype=np.uint64).astype(np.int64), mix(words + place * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64).astype(np.int64)))
-                keep = [x == y for x, y in zip(own, zip(part.column(1).to_pylist(), part.column(2).to_pylist()))]
-                yield part.select(["rid", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    # A doc_id may stand in several rows: only those with the pair's own text count, one of each.
-    texts = saved(texts.select("rid", "k1", "k2", "text").mapInArrow(same_text, "rid long, text string"))
-    texts = texts.groupBy("rid").agg(F.any_value("text").alias("text")) if texts.groupBy("rid").count().where("count > 1").limit(1).count() else texts
-    side = lambda x: texts.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
+
+def _verified(pairs: DataFrame, texts: DataFrame, idf, params: Params) -> DataFrame:
+    """Pairs with at least the similarity by their whole texts."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 2):
-                left, right = (vectors(part.column(c).to_pylist(), idf.value, params.width) for c in ("text_a", "text_b"))
-                found = [similarity(x[:2], y[:2]) >= params.similarity - 1e-9 for x, y in zip(left, right)]
+            for part in slices(batch, 2, 3):
+                found = [similarity(x, y) >= params.similarity - 1e-9 for _, x, y in _both(part, idf.value, params.width)]
                 yield part.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return joined.mapInArrow(verify, "a long, b long")
+    return _sides(pairs, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+
+
+_PREFIX = np.dtype([("key", "<i8"), ("large", "?"), ("before", "<f8")])
 
 
-def near_dedup(docs: DataFrame, params: Params = Params(), star_rounds: int = 3, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+def prefixes(own: tuple[np.ndarray, np.ndarray], hub: np.ndarray, group: int, s: float) -> np.ndarray:
+    """Rows (key, large, before) of a text's lightest cover: what two texts of one group need to share to have similarity s or more.
+
+    Shingles are in one order for the whole group, those that its hub lacks first; `before` is the weight before a shingle. With
+    sums A <= B, s needs an overlap of (A + B) s / (1 + s); so the first common shingle has at most A, or B, less that before it.
+    Sums are in classes by powers of s ** (1 / 8). For each distance d between the classes of A and of B, a text offers what it may
+    have as the smaller one, and as the larger one; a key is made of group, shingle, class of the smaller and d.
+    """
+    features, weights = own
+    order = np.lexsort((features, np.isin(features, hub, assume_unique=True)))
+    features, weights = features[order], weights[order]
+    total, step, share = weights.sum(), -np.log(s) / _STEPS, s / (1 + s)
+    before = np.cumsum(weights) - weights
+    k = int(np.floor(np.log(total) / step))
+    out = []
+    for d in range(_STEPS + 1):
+        for large in (False, True):
+            most = 1 - share * (1 + (np.exp(-(d + 1) * step) if large else np.exp(max(d - 1, 0) * step)))
+            n = int(np.searchsorted(before, (most + 1e-6) * total, side="right"))
+            rows = np.empty(n, dtype=_PREFIX)
+            seed = (group * 0x9E3779B97F4A7C15 + ((k - d if large else k) * 16 + d) * 0xD6E8FEB86659FD93) % (1 << 64)
+            rows["key"], rows["large"], rows["before"] = mix(mix(features[:n]) + np.uint64(seed)).view(np.int64), large, before[:n]
+            out.append(rows)
+    return np.concatenate(out)
+
+
+def _rest(compared: DataFrame, texts: DataFrame, idf, params: Params) -> DataFrame:
+    """Pairs (a, b) of different classes among texts (a, class) compared with one hub (b), as far as their weights allow the similarity: none is lost."""
+    schema = "rid long, class long, total double, key long, large boolean, before double"
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 3, 4):
+                rid, hub, kind = (part.column(c).to_numpy() for c in ("a", "b", "class"))
+                made = [(row, x[1].sum(), prefixes(x, y[0], int(hub[row]), params.similarity)) for row, x, y in _both(part, idf.value, params.width)]
+                at = np.repeat([m[0] for m in made], [len(m[2]) for m in made]).astype(np.int64)
+                all_ = np.concatenate([m[2] for m in made])
+                total = np.array([m[1] for m in made])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[at], kind[at], total[at], np.ascontiguousarray(all_["key"]), np.ascontiguousarray(all_["large"]), np.ascontiguousarray(all_["before"]))], names=[x.split()[0] for x in schema.split(", ")])
+
+    tokens = saved(_sides(compared, texts, "text").select("a", "b", "class", "text_a", "text_b").mapInArrow(emit, schema))
+    side = lambda large, n: tokens.where(F.col("large") == large).select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("rid", "class", "total", "before")])
+    share = params.similarity / (1 + params.similarity)
+    need = (F.col("total_a") + F.col("total_b")) * (share - 1e-9)
+    fit = (F.col("class_a") != F.col("class_b")) & (F.struct("total_a", "rid_a") < F.struct("total_b", "rid_b")) & (F.col("total_a") - F.col("before_a") >= need) & (F.col("total_b") - F.col("before_b") >= need)
+    small, large = side(False, "a"), side(True, "b")
+    pairs = small.join(large.hint("merge"), (small["key"] == large["key"]) & fit)
+    return pairs.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
+
+
+def near_dedup(docs: DataFrame, params: Params = Params(), doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """A row per row of docs: doc_id, class_id, class_size, kept, and the columns named in carry.
 
     A class is what links of similarity 0.8 or more join, links of links included; class_id is its smallest doc_id (a null one
     first), and one row with it is kept. Texts are the same if their words are (A-Z in lower case); they are one text here and are
     never paired. A text without words, or null, is a class of its own; one of fewer than five words has one shingle, all of
-    them. Empty table: empty result.
+    them. Empty table: empty result. Carried columns may have any names but those of the result (ValueError).
 
-    No bucket is paired within: a bucket's texts are compared with one leader, then, up to star_rounds times, with a leader that
-    isn't joined to the first. Only what then still lies in several classes of one bucket is paired across those classes, so
-    no candidate pair is lost. Large buckets are rows of joins that Spark splits; no task holds a bucket.
+    No bucket is paired within. Its texts are compared with one hub, the one with most company in its buckets. What was compared with one
+    hub and then lies in several classes meets by prefixes: texts whose weights allow the similarity share a shingle among their first
+    ones, those that the hub lacks coming first. So no candidate is lost, and texts that only share what all have don't meet.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(own))
-    signed = saved(_signatures(own.select("text", "doc_id", *carry, F.monotonically_increasing_id().alias("_row")), idf, params))
+    pack, unpack = carried(carry, RESULT)
+    keyed = with_row_key(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *pack))
+    idf = spark.sparkContext.broadcast(inverse_frequencies(keyed))
+    row = ["doc_id", *ROW_KEY, *(["carried_"] if carry else [])]
+    signed = saved(_signatures(keyed.select("text", *row), idf, params))
     any_of = [F.any_value(c).alias(c) for c in ("total", "bands", "sketch")]
-    reps = saved(signed.where("total > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), *any_of).withColumn("rid", F.monotonically_increasing_id()))
+    reps = saved(signed.where("total > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", *ROW_KEY)).alias("rep"), *any_of).withColumn("rid", F.monotonically_increasing_id()))
     banded = reps.select("rid", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = banded.groupBy("bucket").count().where("count > 1")
     members = saved(banded.join(shared.hint("merge"), "bucket"))
-    found = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    tested = found
-    classes = None
-
-    def labelled() -> DataFrame:
-        if classes is None:
-            return members.withColumn("class", F.col("rid"))
-        return members.join(classes.hint("merge"), F.col("rid") == F.col("node"), "left").select("bucket", "rid", F.coalesce("component", "rid").alias("class"))
-
-    for turn in range(star_rounds + 1):
-        now = saved(labelled())
-        split = saved(now.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high"))
-        live = now.join(split.hint("merge"), "bucket")
-        if turn < star_rounds:
-            other = live.where("class != low") if turn else live
-            leaders = saved(other.groupBy("bucket").agg(F.min_by(F.struct("rid", "class"), F.struct(F.xxhash64("rid", F.lit(turn)), "rid")).alias("leader")))
-            pairs = live.join(leaders.hint("merge"), "bucket").where("class != leader.class").select(F.least("rid", "leader.rid").alias("a"), F.greatest("rid", "leader.rid").alias("b"))
-        else:
-            x, y = (saved(live.select("bucket", "rid", "class")).alias(n) for n in "xy")
-            pairs = x.join(y.hint("merge"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.class") != F.col("y.class"))).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))
-        pairs = saved(_promising(saved(pairs.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti")), reps, params))
-        if not pairs.limit(1).count():
-            if turn == 0:
-                break
-            continue
-        good = saved(_verified(pairs, reps, own, idf, params))
-        found, tested = found.unionByName(good), tested.unionByName(pairs)
-        classes = saved(components(found))
-    linked = reps.select("k1", "k2", "rid")
-    linked = linked.join(classes.hint("merge"), F.col("rid") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rid").alias("class")) if classes is not None else linked.withColumnRenamed("rid", "class")
-    row = ["doc_id", "_row", *carry]
-    rows = saved(signed.where("total > 0").select(*row, "k1", "k2").join(saved(linked).hint("merge"), ["k1", "k2"]).drop("k1", "k2"))
-    sizes = saved(rows.groupBy("class").agg(F.min(F.struct("doc_id", "_row")).alias("first"), F.count("*").alias("class_size")))
-    rows = rows.join(sizes.hint("merge"), "class").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("_row") == F.col("first._row")).alias("kept"), *carry)
-    alone = signed.where("total = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), *carry)
+    company = members.groupBy("rid").agg(F.sum("count").alias("company"))
+    hubs = saved(members.join(company.hint("merge"), "rid").groupBy("bucket").agg(F.max_by("rid", F.struct("company", "rid")).alias("b")))
+    compared = saved(members.select("bucket", F.col("rid").alias("a")).join(hubs.hint("merge"), "bucket").where("a != b").select("a", "b").distinct())
+    wanted = saved(members.select("rid").distinct().join(reps.select("rid", "rep").hint("merge"), "rid").select("rid", *[F.col(f"rep.{c}").alias(c) for c in ROW_KEY]))
+    texts = saved(keyed.select("text", *ROW_KEY).join(wanted.hint("merge"), ROW_KEY).select("rid", "text"))
+    tested = saved(_promising(compared, reps, params))
+    found = saved(_verified(tested, texts, idf, params))
+    classes = components(found)
+    classed = compared.join(classes.select(F.col("node").alias("a"), F.col("component").alias("class")).hint("merge"), "a", "left").select("a", "b", F.coalesce("class", "a").alias("class"))
+    split = saved(classed.groupBy("b").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("b"))
+    rest = saved(_rest(classed.join(split.hint("merge"), "b", "left_semi"), texts, idf, params))
+    more = saved(_verified(saved(_promising(rest, reps, params)), texts, idf, params))
+    if more.limit(1).count():
+        classes = components(found.unionByName(more))
+    linked = saved(reps.select("k1", "k2", "rid").join(classes.hint("merge"), F.col("rid") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rid").alias("class")))
+    rows = saved(signed.where("total > 0").select(*row, "k1", "k2").join(linked.hint("merge"), ["k1", "k2"]).drop("k1", "k2"))
+    first = F.struct("doc_id", *ROW_KEY)
+    sizes = saved(rows.groupBy("class").agg(F.min(first).alias("first"), F.count("*").alias("class_size")))
+    forget(members, hubs, compared, wanted, texts, tested, found, split, rest, more, linked)
+    rows = rows.join(sizes.hint("merge"), "class").select("doc_id", F.col("first.doc_id").alias("class_id"), "class_size", first.eqNullSafe(F.col("first")).alias("kept"), *unpack)
+    alone = signed.where("total = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), *unpack)
     return rows.unionByName(alone)
