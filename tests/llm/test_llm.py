@@ -363,7 +363,7 @@ def test_language_id_learns_and_holds_out(spark):
     rows_ = [(lang, " ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 7))) for _ in range(30))) for _ in range(60) for lang, a in alphabets.items()]
     docs = table(spark, [(i, t) for i, (_, t) in enumerate(rows_)], [x for x, _ in rows_])
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    model = language_id.fit(docs.where(~held), per_lang=20, max_features=500)
+    model = language_id.fit(docs.where(~held), per_lang=20)
     told = language_id.predict(docs.where(held), model, carry=["lang"]).collect()
     assert told and sum(r.lang_pred == r.lang for r in told) >= 0.95 * len(told) and all(0 <= r.score <= 1 for r in told)
     none = {r.doc_id: r for r in language_id.predict(table(spark, [(1, None), (2, "12 .,"), (3, ""), (None, "abc")]), model).collect()}
@@ -380,10 +380,55 @@ def test_small_languages_keep_their_features_and_long_words_all_of_theirs(spark)
     small = [made("abcdefgh", 5) for _ in range(20)]
     tail = made("pqrstu", 60)
     texts = [("big", " ".join(rng.choice(large) for _ in range(300))) for _ in range(60)] + [("few", " ".join(small)) for _ in range(2)] + [("run", made("klmno", 100) + tail)]
-    model = language_id.fit(table(spark, [(i, t) for i, (_, t) in enumerate(texts)], [x for x, _ in texts]), max_features=300)
+    model = language_id.fit(table(spark, [(i, t) for i, (_, t) in enumerate(texts)], [x for x, _ in texts]))
     told = language_id.predict(table(spark, [(1, " ".join(small)), (2, tail[:50]), (3, " ".join(large[:40]))]), model).collect()
     assert {r.doc_id: r.lang_pred for r in told} == {1: "few", 2: "run", 3: "big"}
-    assert all(len(model.words.find([w])) for w in small)
+    assert (model.tables[0].find(language_id.Words.of(small).keys) >= 0).all()
+
+
+def test_language_scores_equal_brute_force(spark):
+    rng = random.Random(9)
+    made = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 6)))
+    docs = [(x, " ".join(made(a) for _ in range(rng.randrange(1, 25)))) for _ in range(25) for x, a in (("aa", "abcdé"), ("bb", "cdefß"), ("cc", "日本語ab"))]
+    docs += [("aa", None), (None, "abc"), ("bb", ""), ("cc", "12 ½")]
+    model = language_id.fit(table(spark, list(enumerate(t for _, t in docs)), [x for x, _ in docs]))
+    words_of = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower().replace("½", " "))
+    grams_of = lambda w, n: [m[i : i + n] for m in [f"\x02{w}\x03"] for i in range(len(m) - n + 1)]
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for x, t in docs:
+        if x and t is not None:
+            for w in words_of(t):
+                counts[0][w][x] += 1
+                for n in range(1, 6):
+                    for g in grams_of(w, n):
+                        counts[n][g][x] += 1
+    counts[0] = {w: Counter({x: k for x, k in c.items() if k > 1}) for w, c in counts[0].items() if max(c.values()) > 1}
+    langs = ["aa", "bb", "cc"]
+    sums = [{x: sum(c[x] for c in level.values()) for x in langs} for level in counts]
+
+    def score(n, f):
+        logs = [math.log((counts[n][f][x] + 1) / (sums[n][x] + len(counts[n]))) for x in langs]
+        return np.array(logs) - sum(logs) / 3
+
+    def word(w):
+        if w in counts[0]:
+            return score(0, w)
+        for n in range(5, 0, -1):
+            if found := [score(n, g) for g in grams_of(w, n) if g in counts[n]]:
+                return sum(found) / len(found)
+        return np.zeros(3)
+
+    asked = [(i, t) for i, (_, t) in enumerate(docs)] + [(500 + i, " ".join(made("abcdefghéß日x") for _ in range(12)) + ", q½" * (i % 2)) for i in range(40)] + [(600, "½ ² ①"), (601, "x" * 3000), (602, "İ")]
+    told = {r.doc_id: r for r in language_id.predict(table(spark, asked), model).collect()}
+    for i, t in asked:
+        words = words_of(t) if i != 600 else []
+        if not words:
+            assert (told[i].lang_pred, told[i].score) == ("und", 0)
+            continue
+        total = sum(word(w) for w in words)
+        best = int(total.argmax())
+        assert told[i].lang_pred == langs[best] or total.max() - total[langs.index(told[i].lang_pred)] < 1e-4
+        assert told[i].score == pytest.approx(1 / np.exp((total - total[best]) / len(words) ** 0.5).sum(), abs=1e-4)
 
 
 # 9
