@@ -20,6 +20,7 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 #: Columns that name a row of a table of files.
 ROW_KEY = ["_row_file", "_row_index"]
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: str | None = None
 
 
@@ -39,9 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def saved(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors, and gives true sizes."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for the table goes once it is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out
 

@@ -35,7 +35,6 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 BINS = 128
 #: In how many turns n-grams are counted.
 PASSES = 2
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<int>, words binary, at binary, tokens long, train_tokens long"
 
 
@@ -182,13 +181,7 @@ def _corpus_counts(entries: DataFrame) -> DataFrame:
 
 def _counted(blocks: DataFrame, order: int, bits: int) -> DataFrame:
     """The corpus counts of all entries, written in PASSES parts; what a part shuffled is dropped once it is written, which saves disk."""
-    spark, before, parts = blocks.sparkSession, blocks.sparkSession.conf.get(_CLEANUP, None), []
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        for turn in range(PASSES):
-            parts.append(saved(_corpus_counts(_entries(blocks, order, bits, turn))))
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    parts = [saved(_corpus_counts(_entries(blocks, order, bits, turn))) for turn in range(PASSES)]
     return reduce(DataFrame.unionByName, parts)
 
 
