@@ -298,7 +298,10 @@ class Template:
 
 def compile_template(source: str) -> Template:
     """A template has one loop over `messages`, at its top level."""
-    tree = fold(parse(source))
+    try:
+        tree = fold(parse(source))
+    except IndexError:
+        raise TemplateError("the template ends too early") from None
     loops = [i for i, x in enumerate(tree.parts) if x.kind == "for"]
     if len(loops) != 1 or tree.parts[loops[0]].value[1] != "messages":
         raise TemplateError("one top-level loop over messages is needed")

@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import windows, word_hashes
+from .common import carried, windows, word_hashes
 from .near_dedup import slices
 
 
+RESULT = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start"]
+
+
 @dataclass(frozen=True)
 class Params:
     """BM25's k1 and b, items in a block, and what share must be reached: of an item's own score, of question shingles, of answer words."""
@@ -26,6 +29,7 @@ class Params:
     overlap: float = 0.8
     #: The last quarter of an item's words is its answer, unless a column holds the answers.
     answer_share: float = 0.25
+    #: Words in a passage, for items of up to a quarter of it; longer items have passages of twice their class of length.
     passage: int = 256
     #: Characters of items in one index, so in one broadcast; more items are asked for in several such indexes.
     index_chars: int = 32 << 20
@@ -37,11 +41,12 @@ class Index:
     Impacts are BM25 parts divided by the item's score for itself, so an item's greatest score is 1 and one threshold fits all.
     """
 
-    def __init__(self, items: Sequence[tuple[int, str | None, str | None]], p: Params):
+    def __init__(self, items: Sequence[tuple[int, str | None, str | None]], p: Params, reach: int = 64):
+        self.reach = reach
         hashes, counts = word_hashes([f"{q or ''}\n{a or ''}" for _, q, a in items])
         questions = word_hashes([q for _, q, _ in items])[1]
         ends = np.cumsum(counts)
-        self.items, self.question, self.answer, self.longest = [i for i, _, _ in items], [], [], int(counts.max(initial=0))
+        self.items, self.question, self.answer = [i for i, _, _ in items], [], []
         for k, (_, _, answer) in enumerate(items):
             words = hashes[ends[k] - counts[k] : ends[k]]
             cut = int(questions[k]) if answer is not None else len(words) - int(len(words) * p.answer_share)
@@ -95,17 +100,26 @@ class Index:
         return out
 
 
+def indexes(items: Sequence[tuple[int, str | None, str | None]], p: Params) -> list[Index]:
+    """An index for each class of item lengths, by powers of two: what a long item needs changes nothing for short ones."""
+    words = word_hashes([f"{q or ''}\n{a or ''}" for _, q, a in items])[1]
+    classes: dict[int, list] = {}
+    for item, n in zip(items, words.tolist()):
+        classes.setdefault(max(p.passage // 4, 1 << max(n - 1, 0).bit_length()), []).append(item)
+    return [Index(own, p, reach) for reach, own in sorted(classes.items())]
+
+
 def _hits(words: np.ndarray, index: Index, p: Params) -> list[tuple[int, float, float, float, int]]:
     """(item, score, question overlap, answer overlap, first word of the passage) of one document, the best passage of each item.
 
-    Passages overlap by the longest item, so that each occurrence lies within one.
+    Passages overlap by the longest item of the index's class, so that each occurrence lies within one.
     """
     known = index.lookup(words)
     if not (known >= 0).any():
         return []
-    size = max(p.passage, 2 * index.longest)
-    step = size - index.longest
-    starts = np.arange(0, max(len(words) - index.longest, 1), step)
+    size = max(p.passage, 2 * index.reach)
+    step = size - index.reach
+    starts = np.arange(0, max(len(words) - index.reach, 1), step)
     best: dict[int, tuple] = {}
     for low in range(0, len(starts), 64):
         some = starts[low : low + 64]
@@ -129,37 +143,39 @@ def contaminated(docs: DataFrame, items: DataFrame, params: Params = Params(), d
     Found: a passage whose BM25 score for the item is at least least_score of the item's own, and which holds overlap of the
     question's five-word shingles (of all its words, if fewer) and of the answer's distinct words. Whole texts are read. Null and
     empty texts are in no row, an item without words is never found, items that are equal are each found, repeated rows are
-    each reported. With an empty table on either side the result is empty.
+    each reported. With an empty table on either side the result is empty. Carried columns may have any names but those of the
+    result (ValueError).
 
-    The index is broadcast. Its size is checked: items of more than index_chars characters in all are dealt into as many
-    indexes as that takes, each asked in turn; a longer single item makes an index by itself.
+    The indexes, one for each class of item lengths, are broadcast. Their size is checked: items of more than index_chars
+    characters in all are dealt by hash into as many parts as that takes, each asked in turn.
     """
     spark = docs.sparkSession
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(question).alias("q"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("a"))
     size = rows.agg(F.sum(F.coalesce(F.char_length("q"), F.lit(0)) + F.coalesce(F.char_length("a"), F.lit(0)))).first()[0] or 0
     parts = -(-size // params.index_chars) or 1
-    others = [docs.schema[c] for c in carry]
+    pack, unpack = carried(carry, RESULT)
+    own = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), *pack)
+    others = [own.schema["carried_"]] if carry else []
     schema = ", ".join(["doc_id long", "item_id long", "score double", "question_overlap double", "answer_overlap double", "passage_start long", *(f"{f.name} {f.dataType.simpleString()}" for f in others)])
-    own = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), *carry)
     out = None
     for k in range(parts):
         some = rows.where(F.pmod(F.xxhash64("item_id", "q"), F.lit(parts)) == k).orderBy("item_id", "q").collect()
-        shared = spark.sparkContext.broadcast(Index([tuple(r) for r in some], params))
+        shared = spark.sparkContext.broadcast(indexes([tuple(r) for r in some], params))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 for part in slices(batch, 0):
                     hashes, counts = word_hashes(part.column(0).to_pylist())
                     ends, at, found = np.cumsum(counts), [], []
                     for i, (e, n) in enumerate(zip(ends.tolist(), counts.tolist())):
-                        for hit in _hits(hashes[e - n : e], index, params):
-                            at.append(i)
-                            found.append(hit)
+                        for index in shared.value:
+                            for hit in _hits(hashes[e - n : e], index, params):
+                                at.append(i)
+                                found.append((index.items[hit[0]], *hit[1:]))
                     took = part.take(pa.array(at, pa.int64()))
-                    made = [pa.array([index.items[h[0]] for h in found], pa.int64()), *(pa.array([h[c] for h in found], pa.float64()) for c in (1, 2, 3)), pa.array([h[4] for h in found], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([took.column("doc_id"), *made, *(took.column(f.name) for f in others)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "passage_start", *(f.name for f in others)])
+                    made = [pa.array([h[0] for h in found], pa.int64()), *(pa.array([h[c] for h in found], pa.float64()) for c in (1, 2, 3)), pa.array([h[4] for h in found], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([took.column("doc_id"), *made, *(took.column(f.name) for f in others)], names=[*RESULT, *(f.name for f in others)])
 
-        part = own.mapInArrow(find, schema)
+        part = own.mapInArrow(find, schema).select(*RESULT, *unpack)
         out = part if out is None else out.unionByName(part)
     return out

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, saved, shared_dir, word_hashes
+from .common import forget, mix, saved, shared_dir, word_hashes
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Bins of c(h): two for each power of two.
@@ -90,7 +90,9 @@ def _written(blocks: DataFrame) -> DataFrame:
     spark, path = blocks.sparkSession, shared_dir(blocks.sparkSession)
     name = "llm_blocks_" + path.rsplit("-", 1)[-1]
     blocks.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table._table, table._saved_path = name, path
+    return table
 
 
 class _Block:
@@ -335,4 +337,7 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 3, doc_id: str =
         sums_of = lambda x: pa.array(np.add.reduceat(x, block.starts))
         return pa.Table.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(block.lengths), sums_of((single > 0).astype(np.int64)), pa.array(np.full(len(block.lengths), trained, dtype=np.int64)), sums_of(base), sums_of(weight)], names=names)
 
-    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(walk, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = saved(blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(walk, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    docs.sparkSession.sql(f"DROP TABLE {blocks._table}")
+    forget(blocks)
+    return scored

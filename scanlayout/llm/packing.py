@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -108,13 +109,14 @@ def _pack(rows: DataFrame, turn: int, groups: int, capacity: int) -> DataFrame:
     return keyed.groupBy("_group").applyInArrow(pack, PIECES + ", sequence_id long, offset long, _load long, _certified boolean")
 
 
-def pack_documents(pieces: DataFrame, capacity: int = 1024, per_group: int = 20_000, rounds: int = 4) -> DataFrame:
+def pack_documents(pieces: DataFrame, capacity: int = 1024, per_group: int = 20_000, rounds: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (see pieces_of): sequences of at most `capacity`, each filled from offset 0 without gaps.
 
     Whole pieces are sequences by themselves and don't shuffle. The others are dealt by hash into groups of about per_group rows and
     packed by best-fit decreasing. A lower bound over the histogram of all sizes (`capacity` rows at most, whatever the input)
     tells whether fewer sequences are possible. While they are, the groups exchange the pieces of their sequences that aren't
-    full, deal them anew into fewer groups, and pack again; a round that saves no sequence is dropped and ends the rounds.
+    full, deal them anew into fewer groups, and pack again, as long as that saves sequences; a round that saves none is dropped and ends the rounds
+    (as do `rounds` of them, if given).
     In a group whose bound is reached (certified) only its last, open sequences can gain from an exchange, so it gives
     those under half full; other groups give all that aren't full. Equal rows are packed one by one; an empty table gives an
     empty table. A null doc_id is kept.
@@ -126,8 +128,8 @@ def pack_documents(pieces: DataFrame, capacity: int = 1024, per_group: int = 20_
     done, packed = [], saved(_pack(rest, 0, -(-n // per_group) or 1, capacity)) if n else None
     columns = [*pieces.columns, "sequence_id", "offset"]
     settled = 0
-    for turn in range(1, rounds + 1):
-        if packed is None:
+    for turn in count(1):
+        if packed is None or turn - 1 == rounds:
             break
         give = (F.col("_load") < capacity) & (~F.col("_certified") | (F.col("_load") < capacity / 2))
         first = F.col("offset") == 0

@@ -42,9 +42,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents with an estimate, revises it by the true count, adds a second tokenizer, deletes toxic documents, and replays all batches."""
+    """Loads all documents with an estimate, revises it by the true count, adds a public BPE as a second tokenizer, deletes toxic documents, and replays all batches."""
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
-    counts = saved(docs.select("doc_id", "source", "lang", F.coalesce(F.expr("n_chars div 6"), F.lit(0)).alias("guess"), token_counts.words_1(F.col("text")).alias("words_1"), token_counts.words_2(F.col("text")).alias("words_2")))
+    counts = docs.select("doc_id", "source", "lang", F.coalesce(F.expr("n_chars div 6"), F.lit(0)).alias("guess"), token_counts.words_1(F.col("text")).alias("words_1"), "text")
+    counts = saved(token_counts.bpe_tokens(counts, tokenizer_path()))
     toxic = counts.join(labels.where("toxic = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
 
     def changes(rows: DataFrame, op: str, version: str, tokens: str, old: str | None = None) -> DataFrame:
@@ -53,8 +54,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = {
         "load": changes(counts, "insert", "words-1", "guess"),
         "recount": changes(counts, "revise", "words-1", "words_1", "guess"),
-        "second": changes(counts, "insert", "words-2", "words_2"),
-        "takedown": changes(toxic, "delete", "words-1", "words_1").unionByName(changes(toxic, "delete", "words-2", "words_2")),
+        "second": changes(counts, "insert", "byte-bpe-50k", "bpe"),
+        "takedown": changes(toxic, "delete", "words-1", "words_1").unionByName(changes(toxic, "delete", "byte-bpe-50k", "bpe")),
     }
     state = token_counts.TokenCounts.create(spark, shared_dir(spark))
     for name, rows in [*batches.items(), *batches.items()]:
@@ -98,12 +99,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op5_token_counts": r"""
-        WITH d AS (SELECT source, lang, coalesce(text, '') AS t FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
-        c AS (SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM d
-              UNION ALL SELECT source, lang, 'words-2', len(regexp_extract_all(t, '[.,;:!?|]|[^\x20\x09-\x0D.,;:!?|]+')) FROM d)
-        SELECT tokenizer, source, lang, CAST(grouping(tokenizer) + grouping(source) + grouping(lang) AS INTEGER) AS level, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens
-        FROM c GROUP BY ROLLUP (tokenizer, source, lang)""",
     "op7_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256, length(coalesce(text, '')) AS n FROM documents),
         r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))

@@ -75,14 +75,14 @@ def assign_shards(docs: DataFrame, tree: list[Shard], grown: list[Shard] | None
     share a doc_id share a shard, each with a slot of its own. A null text has size 1 and crc32 0. grown_shard is null without
     a grown tree. Columns of other names aren't read. An empty table gives an empty table.
 
-    Slots are numbered without a task for a whole shard: rows are ranked in `buckets` hash ranges of each shard, and each range
-    starts where the sizes of those before it end. That table has at most shards * buckets rows, which bounds its broadcast.
+    Slots are numbered without a task for a whole shard or a whole key: rows are ranked in `buckets` groups of each shard, by a hash of key,
+    text and input partition, and each group starts where the sizes of those before it end. That table has at most shards * buckets rows, which bounds its broadcast.
     """
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), F.lit("key").alias("law"), shard_of(key, tree).alias("shard"),
-        (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"), F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 25, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int").alias("_b"),
+        (shard_of(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"), F.pmod(F.xxhash64(key, raw, F.spark_partition_id()), F.lit(buckets)).cast("int").alias("_b"),
     )
     place = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "_b").count().withColumn("_start", F.coalesce(F.sum("count").over(place), F.lit(0))).drop("count")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .near_dedup import slices
+from .tokens import token_bytes
+
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
 
@@ -16,9 +21,18 @@ def words_1(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def words_2(text: Column) -> Column:
-    """Version words-2: as words-1, and each of . , ; : ! ? | is a token of its own."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[.,;:!?|]|[^\x20\x09-\x0D.,;:!?|]+")).cast("long")
+def bpe_tokens(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """Adds bpe: the ids that a public byte-level BPE gives each whole text (null: none)."""
+    fields = [f for f in docs.schema.fields if f.name != text]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = token_bytes(tokenizer).encode
+        for batch in batches:
+            for part in slices(batch, 0):
+                n = pa.array([len(ids) // 4 for ids in encode(part.column(0).to_pylist())], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], n], names=[*part.schema.names[1:], "bpe"])
+
+    return docs.select(text, *[f.name for f in fields]).mapInArrow(count, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "bpe long"]))
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -73,6 +87,8 @@ class TokenCounts:
         both = self.totals().unionByName(deltas(changes)).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         both.where("docs != 0 OR tokens != 0").write.mode("overwrite").parquet(f"{self.path}/version={new}")
         self._log([(batch_id, new)], "append")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={new - 2}")  # the version before stays, for those who still read it
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
         return True
 
 

@@ -12,21 +12,21 @@ _TWO_BLANKS = re.compile(r"\s\s")
 
 
 class TokenBytes(dict):
-    """What follows a blank -> its ids as little-endian unsigned 32-bit bytes. Forgets all once `limit` are held.
+    """What follows a blank -> its ids as little-endian unsigned 32-bit bytes. Forgets all once they and their ids take `limit` bytes.
 
     The tokenizer cuts a text before each blank that stands between two other characters, and around each line feed that does, and
     never merges across these cuts; so what lies between them has the same ids in any text. Texts with two white-space characters
     in a row are encoded as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
+        self.limit, self.size = limit, 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -44,12 +44,15 @@ class TokenBytes(dict):
                 parts[k] = text.replace("\n", " \n").split(" ")
         for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
             out[k] = ids
-        if len(self) > self.limit:
+        if self.size > self.limit:
             self.clear()
+            self.size = 0
         firsts = self._ids([p[0] for p in parts.values()])
         found = [list(map(self.get, p[1:])) for p in parts.values()]
         new = list({w for p, ids in zip(parts.values(), found) if None in ids for w, x in zip(p[1:], ids) if x is None})
-        self.update(zip(new, self._ids([p if p[0] == "\n" else " " + p for p in new])))
+        made = self._ids([p if p[0] == "\n" else " " + p for p in new])
+        self.update(zip(new, made))
+        self.size += sum(map(len, new)) * 4 + sum(map(len, made)) + 200 * len(new)  # four bytes a character at most, and the objects themselves
         for (k, p), first, ids in zip(parts.items(), firsts, found):
             out[k] = first + b"".join(map(self.__getitem__, p[1:]) if None in ids else ids)
         return out
