@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quality import numbered
+
 
 def verify_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """status of each file of the manifest: missing, too_small(n), sha256_mismatch or ok."""
@@ -22,15 +24,15 @@ def allocate_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     names could use up.
     """
     stem, ext = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
-    asked = wanted.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("seq")))
+    asked = numbered(wanted, "name", ["seq"])
     taken = existing.select(F.col("name").alias("form")).distinct()
     base = F.regexp_replace("form", r"\(\d+\)(\.[^.]*)?$", "$1")
     used = taken.groupBy(base.alias("name")).agg(F.count("*").alias("used"))
-    needs = asked.groupBy("name").agg(F.count("*").alias("n")).join(used, "name", "left")
+    needs = asked.groupBy("name").agg(F.count("*").alias("n")).join(used.hint("merge"), "name", "left")
     numbers = needs.select("name", F.explode(F.sequence(F.lit(0), (F.col("n") + F.coalesce("used", F.lit(0)) + 1).cast("int"))).alias("i"))
-    forms = numbers.withColumn("form", F.when(F.col("i") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("("), F.col("i"), F.lit(")"), ext))).join(taken, "form", "left_anti")
-    free = forms.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("i")))
-    return asked.join(free, ["name", "k"]).select("seq", F.col("form").alias("out_name"))
+    forms = numbers.withColumn("form", F.when(F.col("i") == 0, F.col("name")).otherwise(F.concat(stem, F.lit("("), F.col("i"), F.lit(")"), ext))).join(taken.hint("merge"), "form", "left_anti")
+    free = numbered(forms.select("name", "form", "i"), "name", ["i"])
+    return asked.join(free.hint("merge"), ["name", "k"]).select("seq", F.col("form").alias("out_name"))
 
 
 def dedup_labels(paths: DataFrame) -> DataFrame:

@@ -28,9 +28,10 @@ def read_page_meta(*tables: DataFrame) -> DataFrame:
 
 
 def pick_page(pages: DataFrame, page_no: int) -> DataFrame:
-    """One page of each document: page_no (from 1), or the nearest there is."""
-    totals = pages.groupBy("doc_id").agg(F.count("*").alias("total"))
-    return pages.join(totals, "doc_id").where(F.col("page_index") == F.least(F.greatest(F.lit(page_no - 1), F.lit(0)), F.col("total") - 1)).drop("total")
+    """One page of each document: page_no (from 1), or the nearest there is (of two, the one before)."""
+    others = [c for c in pages.columns if c != "doc_id"]
+    best = pages.groupBy("doc_id").agg(F.min_by(F.struct(*others), F.struct(F.abs(F.col("page_index") - (page_no - 1)), "page_index")).alias("p"))
+    return best.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"p.{c}").alias(c) for c in pages.columns])
 
 
 def page_scales(meta: DataFrame) -> DataFrame:
@@ -71,11 +72,11 @@ def effective_quality(quality: Column, is_gray: Column, offset: Column) -> Colum
 def image_box(pages: DataFrame, images: DataFrame) -> DataFrame:
     """x0, y0, x1, y1 of the placed background (page_w_pt by page_h_pt if none is valid): the image of the page's xref, else the largest."""
     area = (F.col("ix1") - F.col("ix0")) * (F.col("iy1") - F.col("iy0"))
-    rows = images.where("ix1 > ix0 AND iy1 > iy0").join(pages.select(*PAGE, "xref"), PAGE)
+    rows = images.where("ix1 > ix0 AND iy1 > iy0").join(pages.select(*PAGE, "xref").hint("merge"), PAGE)
     rank = F.struct((F.col("image_xref") == F.col("xref")).alias("own"), area.alias("area"), -F.col("image_no"))
     best = rows.groupBy(*PAGE).agg(F.max_by(F.struct("ix0", "iy0", "ix1", "iy1"), rank).alias("b"))
     whole = {"x0": F.lit(0.0), "y0": F.lit(0.0), "x1": F.col("page_w_pt"), "y1": F.col("page_h_pt")}
-    return pages.join(best, PAGE, "left").select(*PAGE, *[F.coalesce(F.col(f"b.i{c}"), v).alias(c) for c, v in whole.items()])
+    return pages.join(best.hint("merge"), PAGE, "left").select(*PAGE, *[F.coalesce(F.col(f"b.i{c}"), v).alias(c) for c, v in whole.items()])
 
 
 def normalize_settings(raw: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def normalize_settings(raw: DataFrame) -> DataFrame:
     out = {n: clamp(F.coalesce(F.col(n).try_cast("int"), F.lit(d)), lo, hi) for n, (d, lo, hi) in INT_SETTINGS.items() if n in raw.columns}
     if "binarize_strength" in out:
         out["binarize_strength"] = F.when((F.col("binarize_strength").try_cast("int") == 60) & ~F.coalesce(F.col("migrated"), F.lit(False)), 0).otherwise(out["binarize_strength"])
-    for n, d, lo, hi in (("gray_color_ratio_percent", 0.3, 0.0, 5.0), ("deskew_max_deg", 5.0, 0.0, 1e9)):
+    for n, d, lo, hi in (("gray_color_ratio_percent", 0.3, 0.0, 5.0), ("gray_p99_limit", 18.0, 5.0, 80.0), ("deskew_max_deg", 5.0, 0.0, 1e9)):
         if n in raw.columns:
             out[n] = clamp(F.coalesce(F.col(n).try_cast("double"), F.lit(d)), lo, hi)
     mode = F.trim("output_page_mode")
@@ -100,9 +101,9 @@ def merge_metadata(meta: Column, app: str) -> Column:
 
 def ready_pages(meta: DataFrame, results: DataFrame) -> DataFrame:
     """Pages whose metadata and OCR result are both there."""
-    return meta.join(results, PAGE)
+    return meta.join(results.hint("merge"), PAGE)
 
 
 def unmatched_pages(meta: DataFrame, tokens: DataFrame) -> DataFrame:
     """Pages without a word."""
-    return meta.join(tokens.select(*PAGE).distinct(), PAGE, "left_anti")
+    return meta.join(tokens.select(*PAGE).distinct().hint("merge"), PAGE, "left_anti")

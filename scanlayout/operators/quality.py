@@ -13,9 +13,14 @@ METHODS = ["embedded", "fontfile", "builtin", "helv"]
 
 
 def quality_summary(stats: DataFrame) -> DataFrame:
-    """Totals by document, and of all (doc_id null, level 1)."""
+    """Totals by document, and of all (doc_id null, level 1). Counts of pages with a fallback of placement or of OCR, and of pages without words that don't look blank, come with the columns they need (ocr_fallback_used; ink_ratio)."""
     sums = [F.sum(c).alias(c) for c in ("total_tokens", "attempted_inserts", "ok_inserts", "insert_errors")]
-    out = stats.rollup("doc_id").agg(F.grouping("doc_id").cast("int").alias("level"), F.count("*").alias("pages"), *sums, F.count_if(F.col("total_tokens") == 0).alias("zero_pages"), *[F.count_if(F.col("fallback_stage") == s).alias(f"stage{s}") for s in (1, 2)])
+    more = []
+    if "ocr_fallback_used" in stats.columns:
+        more.append(F.count_if(F.col("ocr_fallback_used")).alias("ocr_fallback_pages"))
+    if "ink_ratio" in stats.columns:
+        more.append(F.count_if((F.col("total_tokens") == 0) & (F.col("ink_ratio") >= 0.5)).alias("suspected_nonblank_pages"))
+    out = stats.rollup("doc_id").agg(F.grouping("doc_id").cast("int").alias("level"), F.count("*").alias("pages"), *sums, F.count_if(F.col("total_tokens") == 0).alias("zero_pages"), *[F.count_if(F.col("fallback_stage") == s).alias(f"stage{s}") for s in (1, 2)], F.count_if(F.col("fallback_stage") > 0).alias("fallback_pages"), *more)
     return out.withColumns({"error_rate": rate(F.col("insert_errors"), F.col("attempted_inserts")), "ok_rate": rate(F.col("ok_inserts"), F.col("attempted_inserts"))})
 
 
@@ -24,12 +29,15 @@ def method_usage(attempts: DataFrame) -> DataFrame:
     counts = attempts.groupBy("doc_id", "method").agg(F.count("*").alias("n"))
     rank = F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))
     best = counts.groupBy("doc_id").agg(F.max_by("method", F.struct("n", -rank)).alias("effective"))
-    return counts.join(best, "doc_id")
+    return counts.join(best.hint("merge"), "doc_id")
 
 
 def warn_pages(pages: DataFrame) -> DataFrame:
-    """The first ten of each document's pages, from 1, as text."""
-    out = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("page_index") + 1)).alias("p"))
+    """The first ten of each document's pages, from 1, as text. Pages are ranked by sixteenths of a document first, so that no list holds more than 176."""
+    part = F.pmod(F.col("page_index"), F.lit(16))
+    first = F.row_number().over(Window.partitionBy("doc_id", part).orderBy("page_index"))
+    some = pages.withColumn("k_", first).where("k_ <= 11")
+    out = some.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("page_index") + 1)).alias("p"))
     return out.select("doc_id", F.concat(F.concat_ws(",", F.slice("p", 1, 10).cast("array<string>")), F.when(F.size("p") > 10, ",...").otherwise("")).alias("pages"))
 
 
@@ -47,9 +55,10 @@ def job_outcome(jobs: DataFrame) -> DataFrame:
 
 
 def in_order_release(pages: DataFrame, ready: str = "ocr_ready") -> DataFrame:
-    """released: whether a page and all before it are ready."""
-    first = F.min(F.when(~F.col(ready), F.col("page_index"))).over(Window.partitionBy("doc_id"))
-    return pages.withColumn("released", F.coalesce(F.col("page_index") < first, F.lit(True)))
+    """released: whether a page and all before it, from page 0 on, are there and ready. A null counts as not ready."""
+    order = Window.partitionBy("doc_id").orderBy("page_index")
+    here = (F.row_number().over(order) - 1 == F.col("page_index")) & F.coalesce(F.col(ready), F.lit(False))
+    return pages.withColumn("here_", here).withColumn("released", F.min("here_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("here_")
 
 
 def progress(pages: DataFrame) -> DataFrame:
@@ -59,8 +68,23 @@ def progress(pages: DataFrame) -> DataFrame:
 
 def throttle(rows: DataFrame, key: str, order: list[str], first: int = 5, nth: int = 50) -> DataFrame:
     """The first few rows of a key, then each nth."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("k", n).where((F.col("k") <= first) | (F.col("k") % nth == 0))
+    return numbered(rows, key, order).where((F.col("k") <= first) | (F.col("k") % nth == 0))
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], ranges: int = 64) -> DataFrame:
+    """k: the row's number within its key, from 1. Rows are numbered within (key, range of the first order column), and a range starts where those before it end, so no task holds a hot key.
+
+    Ranges are equal parts from the column's least to its greatest value (of its seconds, if it is a timestamp); the table of
+    their sizes has a row for each key and range, and is joined by merge join.
+    """
+    at = F.unix_micros(F.col(order[0]).cast("timestamp")) if dict(rows.dtypes)[order[0]].startswith("timestamp") else F.col(order[0]).cast("double")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.lit(ranges - 1), ((at - F.lit(low)) * ranges / F.lit(max(high - low, 1))).cast("int")) if high is not None else F.lit(0)
+    rows = rows.withColumn("part_", F.coalesce(part, F.lit(-1)))
+    before = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(key, "part_").count().withColumn("start_", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inner = F.row_number().over(Window.partitionBy(key, "part_").orderBy(*order))
+    return rows.withColumn("k_", inner).join(starts.hint("merge"), [key, "part_"]).withColumn("k", (F.col("start_") + F.col("k_")).cast("int")).drop("part_", "k_", "start_")
 
 
 def once_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

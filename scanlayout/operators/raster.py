@@ -93,7 +93,7 @@ def gray_decision(chroma: DataFrame, ratio_percent: float = 0.3, p99_limit: floa
     """ratio of coloured pixels, 99th percentile of chroma about the page's medians, and is_gray where both are small."""
     centre = chroma.groupBy(*PAGE).agg(F.percentile("a", 0.5, F.col("n")).alias("ma"), F.percentile("b", 0.5, F.col("n")).alias("mb"))
     da, db = F.col("a") - F.col("ma"), F.col("b") - F.col("mb")
-    rows = chroma.join(centre, PAGE).withColumn("c", F.sqrt(da * da + db * db))
+    rows = chroma.join(centre.hint("merge"), PAGE).withColumn("c", F.sqrt(da * da + db * db))
     out = rows.groupBy(*PAGE).agg((F.sum(F.when(F.col("c") > coloured, F.col("n")).otherwise(0)) / F.sum("n")).alias("ratio"), F.percentile("c", 0.99, F.col("n")).alias("p99"))
     return out.withColumn("is_gray", (F.col("ratio") < ratio_percent / 100) & (F.col("p99") < p99_limit))
 
@@ -106,5 +106,5 @@ def binarize_threshold(strength: Column, otsu: Column | None = None) -> Column:
 
 def binarize_coverage(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
     """white_share of each page at each strength's threshold (before any morphology)."""
-    rows = hist.join(thresholds, PAGE)
+    rows = hist.join(thresholds.hint("merge"), PAGE)
     return rows.groupBy(*PAGE, "strength", "thr").agg((F.sum(F.when(F.col("bin") > F.col("thr"), F.col("n")).otherwise(0)) / F.sum("n")).alias("white_share"))

@@ -8,54 +8,79 @@ from pyspark.sql import functions as F
 from ..functions.columns import clamp, clean_text, inside, is_vertical, nearest_rank, trunc, upper_median
 
 PAGE = ["doc_id", "page_index"]
+BODY = ["bx0", "by0", "bx1", "by1"]
 
 
 def _centre_x() -> Column:
     return (F.col("x0") + F.col("x1")) / 2
 
 
+def _tolerance(heights: Column) -> Column:
+    middle = upper_median(F.filter(heights, lambda h: h > 0))
+    return F.when(middle.isNull(), F.lit(10.0)).otherwise(clamp(middle * 0.8, 3.0, 20.0))
+
+
+def _column_tolerance(centres: Column, tol: Column) -> Column:
+    """Of sorted centres."""
+    gaps = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(centres) - 1, F.lit(1))), lambda i: F.coalesce(F.get(centres, i) - F.get(centres, i - 1), F.lit(0.0))), lambda g: g > 0)
+    wide = F.filter(gaps, lambda g: g >= F.greatest(tol * 1.2, F.lit(2.0)))
+    pitch = clamp(F.greatest(tol, upper_median(wide) * 0.55), 3.0, 80.0)
+    return F.when((F.size(centres) < 6) | (F.size(wide) < 3), tol).otherwise(pitch)
+
+
+def _with_body(pages: DataFrame, width: float, height: float) -> DataFrame:
+    """Adds bx0 to by1 to pages with words, an array of boxes."""
+    h = lambda w: w["y1"] - w["y0"]
+    mx, my = max(8.0, 0.05 * width), max(8.0, 0.05 * height)
+    tall = F.array_sort(F.filter(F.transform("words", h), lambda x: x > 0.5))
+    middle = lambda k: F.get(F.col("tall_"), ((F.size("tall_") - k) / 2).cast("int"))
+    within = lambda w: (w["x0"] > mx) & (w["x1"] < width - mx) & (w["y0"] > my) & (w["y1"] < height - my)
+    pages = pages.withColumn("tall_", tall).withColumns({"med_": F.when(F.size("tall_") > 0, (middle(0) + middle(1)) / 2), "n_": F.size("words")})
+    one = F.filter("words", lambda w: within(w) & (h(w) > 0.5) & (h(w) >= 0.75 * F.col("med_")) & (h(w) <= 2.2 * F.col("med_")))
+    two = F.filter("words", lambda w: within(w) & (h(w) >= 0.65 * F.col("med_")))
+    pages = pages.withColumn("one_", one).withColumn("use_", F.when(F.size("one_") < F.greatest(F.lit(12), trunc(F.col("n_") * 0.06)), two).otherwise(F.col("one_")))
+    enough = (F.size("use_") >= F.greatest(F.lit(10), trunc(F.col("n_") * 0.04))) & F.col("med_").isNotNull()
+    pad = F.greatest(F.lit(6.0), F.col("med_") * 0.4)
+    edge = lambda c, p: nearest_rank(F.transform("use_", lambda b: b[c]), p)
+    pages = pages.withColumns(
+        {"bx0": F.greatest(F.lit(0.0), edge("x0", 0.05) - pad), "by0": F.greatest(F.lit(0.0), edge("y0", 0.05) - pad), "bx1": F.least(F.lit(width), edge("x1", 0.95) + pad), "by1": F.least(F.lit(height), edge("y1", 0.95) + pad), "ok_": enough}
+    )
+    sure = F.col("ok_") & (F.col("bx1") - F.col("bx0") >= 0.2 * width) & (F.col("by1") - F.col("by0") >= 0.2 * height)
+    return pages.withColumn("sure_", sure).withColumns({c: F.when(F.col("sure_"), F.col(c)) for c in BODY}).drop("tall_", "med_", "n_", "one_", "use_", "ok_", "sure_")
+
+
 def reading_tolerance(tokens: DataFrame) -> DataFrame:
     """tol: 0.8 of the upper median height, from 3 to 20; 10 where no word has a height."""
-    h = F.col("y1") - F.col("y0")
-    middle = upper_median(F.collect_list(F.when(h > 0, h)))
-    return tokens.groupBy(*PAGE).agg(F.when(middle.isNull(), F.lit(10.0)).otherwise(clamp(middle * 0.8, 3.0, 20.0)).alias("tol"))
+    return tokens.groupBy(*PAGE).agg(_tolerance(F.collect_list(F.col("y1") - F.col("y0"))).alias("tol"))
 
 
-def column_tolerance(tokens: DataFrame, tol: DataFrame) -> DataFrame:
-    """tol_x: 0.55 of the usual gap between columns, if at least three wide gaps show one; else the reading tolerance."""
-    pages = tokens.groupBy(*PAGE).agg(F.array_sort(F.collect_list(_centre_x())).alias("c")).join(tol, PAGE)
-    gaps = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - 1, F.lit(1))), lambda i: F.coalesce(F.get("c", i) - F.get("c", i - 1), F.lit(0.0))), lambda g: g > 0)
-    wide = F.filter(gaps, lambda g: g >= F.greatest(F.col("tol") * 1.2, F.lit(2.0)))
-    pitch = clamp(F.greatest("tol", upper_median(wide) * 0.55), 3.0, 80.0)
-    return pages.select(*PAGE, F.when((F.size("c") < 6) | (F.size(wide) < 3), F.col("tol")).otherwise(pitch).alias("tol_x"))
+def column_tolerance(tokens: DataFrame, tol: DataFrame | None = None) -> DataFrame:
+    """tol_x: 0.55 of the usual gap between columns, if at least three wide gaps show one; else the reading tolerance (of the page, or given as tol)."""
+    pages = tokens.groupBy(*PAGE).agg(F.array_sort(F.collect_list(_centre_x())).alias("c"), _tolerance(F.collect_list(F.col("y1") - F.col("y0"))).alias("tol"))
+    if tol is not None:
+        pages = pages.drop("tol").join(tol.hint("merge"), PAGE)
+    return pages.select(*PAGE, _column_tolerance(F.col("c"), F.col("tol")).alias("tol_x"))
 
 
 def body_region(tokens: DataFrame, width: float, height: float) -> DataFrame:
     """bx0, by0, bx1, by1 of the main text, null where it can't be told. Trimmed box quantiles over words of a usual height inside the margins."""
-    h = F.col("y1") - F.col("y0")
-    mx, my = max(8.0, 0.05 * width), max(8.0, 0.05 * height)
-    med = tokens.groupBy(*PAGE).agg(F.count("*").alias("n"), F.median(F.when(h > 0.5, h)).alias("med"))
-    rows = tokens.join(med, PAGE)
-    within = (F.col("x0") > mx) & (F.col("x1") < width - mx) & (F.col("y0") > my) & (F.col("y1") < height - my)
-    first = within & (h > 0.5) & (h >= 0.75 * F.col("med")) & (h <= 2.2 * F.col("med"))
-    second = within & (h >= 0.65 * F.col("med"))
-    boxes = [F.collect_list(F.when(test, F.struct("x0", "y0", "x1", "y1"))).alias(name) for name, test in (("one", first), ("two", second))]
-    pages = rows.groupBy(*PAGE, "n", "med").agg(*boxes)
-    pages = pages.withColumn("use", F.when(F.size("one") < F.greatest(F.lit(12), trunc(F.col("n") * 0.06)), F.col("two")).otherwise(F.col("one")))
-    enough = (F.size("use") >= F.greatest(F.lit(10), trunc(F.col("n") * 0.04))) & F.col("med").isNotNull()
-    pad = F.greatest(F.lit(6.0), F.col("med") * 0.4)
-    edge = lambda c, p: nearest_rank(F.transform("use", lambda b: b[c]), p)
-    pages = pages.select(
-        *PAGE, enough.alias("ok"), F.greatest(F.lit(0.0), edge("x0", 0.05) - pad).alias("bx0"), F.greatest(F.lit(0.0), edge("y0", 0.05) - pad).alias("by0"), F.least(F.lit(width), edge("x1", 0.95) + pad).alias("bx1"), F.least(F.lit(height), edge("y1", 0.95) + pad).alias("by1")
-    )
-    sure = F.col("ok") & (F.col("bx1") - F.col("bx0") >= 0.2 * width) & (F.col("by1") - F.col("by0") >= 0.2 * height)
-    return pages.select(*PAGE, *[F.when(sure, F.col(c)).alias(c) for c in ("bx0", "by0", "bx1", "by1")])
+    pages = tokens.groupBy(*PAGE).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("words"))
+    return _with_body(pages, width, height).select(*PAGE, *BODY)
+
+
+def page_layout(tokens: DataFrame, width: float, height: float) -> DataFrame:
+    """The words with their page's tol, tol_x, bx0, by0, bx1 and by1: all from one gathering of each page's words, which are few, so words shuffle once."""
+    own = [c for c in tokens.columns if c not in PAGE]
+    pages = tokens.groupBy(*PAGE).agg(F.collect_list(F.struct(*own)).alias("words"))
+    pages = pages.withColumn("tol", _tolerance(F.transform("words", lambda w: w["y1"] - w["y0"])))
+    pages = pages.withColumn("c_", F.array_sort(F.transform("words", lambda w: (w["x0"] + w["x1"]) / 2))).withColumn("tol_x", _column_tolerance(F.col("c_"), F.col("tol"))).drop("c_")
+    return _with_body(pages, width, height).select(*PAGE, "tol", "tol_x", *BODY, F.inline("words"))
 
 
 def with_page_values(tokens: DataFrame, *pages: DataFrame) -> DataFrame:
     """Page values on each word."""
     for page in pages:
-        tokens = tokens.join(page, PAGE, "left")
+        tokens = tokens.join(page.hint("merge"), PAGE, "left")
     return tokens
 
 
@@ -79,31 +104,58 @@ def text_layer(ordered: DataFrame, separator: str = " ") -> DataFrame:
     return ordered.groupBy(*PAGE).agg(F.array_join(F.transform(words, lambda w: w["text"]), separator).alias("page_text"))
 
 
+def _column(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("col_id", F.when(F.col("tol_x") > 1e-6, trunc(_centre_x() / F.col("tol_x")).cast("int")))
+
+
 def column_anchors(tokens: DataFrame) -> DataFrame:
     """x0_med, cx_med of each column (col_id) inside the body. Needs tol_x and the body box."""
     cx, cy = _centre_x(), (F.col("y0") + F.col("y1")) / 2
-    rows = tokens.where((F.col("tol_x") > 1e-6) & inside(cx, cy, "bx0", "by0", "bx1", "by1")).withColumn("cx", cx)
-    return rows.groupBy(*PAGE, trunc(F.col("cx") / F.col("tol_x")).cast("int").alias("col_id")).agg(F.median("x0").alias("x0_med"), F.median("cx").alias("cx_med"))
+    rows = _column(tokens).where(F.col("col_id").isNotNull() & inside(cx, cy, *BODY)).withColumn("cx", cx)
+    return rows.groupBy(*PAGE, "col_id").agg(F.median("x0").alias("x0_med"), F.median("cx").alias("cx_med"))
 
 
-def snap_to_column(tokens: DataFrame, anchors: DataFrame) -> DataFrame:
-    """x0_snapped: the column's x0 where the word lies in the body and within 0.75 of the tolerance of it."""
-    cx, cy = _centre_x(), (F.col("y0") + F.col("y1")) / 2
-    rows = tokens.withColumn("col_id", F.when(F.col("tol_x") > 1e-6, trunc(cx / F.col("tol_x")).cast("int"))).join(anchors, [*PAGE, "col_id"], "left")
-    near = inside(cx, cy, "bx0", "by0", "bx1", "by1") & (F.abs(F.col("x0") - F.col("x0_med")) <= F.col("tol_x") * 0.75)
-    return rows.withColumn("x0_snapped", F.when(near, F.col("x0_med")).otherwise(F.col("x0"))).drop("col_id", "x0_med", "cx_med")
+def snap_to_column(tokens: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """x0_snapped: the column's x0 where the word lies in the body and within 0.75 of the tolerance of it. Anchors are those given, else the page's own, which need no join."""
+    within = inside(_centre_x(), (F.col("y0") + F.col("y1")) / 2, *BODY)
+    rows = _column(tokens)
+    if anchors is None:
+        column = F.median(F.when(within, F.col("x0"))).over(Window.partitionBy(*PAGE, "col_id"))
+        rows = rows.withColumn("x0_med", F.when(F.col("col_id").isNotNull(), column))
+    else:
+        rows = rows.join(anchors.hint("merge"), [*PAGE, "col_id"], "left").drop("cx_med")
+    near = within & (F.abs(F.col("x0") - F.col("x0_med")) <= F.col("tol_x") * 0.75)
+    return rows.withColumn("x0_snapped", F.when(near, F.col("x0_med")).otherwise(F.col("x0"))).drop("col_id", "x0_med")
 
 
-def page_metrics(tokens: DataFrame, sx: float, sy: float) -> DataFrame:
-    """Medians of vertical pitch, column width, font size and horizontal height, 0 without samples. Needs angle."""
+_METRICS = ["v_pitch", "v_colw", "h_height", "v_samples", "h_samples"]
+
+
+def _metrics(sx: float, sy: float) -> dict[str, Column]:
+    """Aggregates over a page's words."""
     w, h = (F.col("x1") - F.col("x0")) * sx, (F.col("y1") - F.col("y0")) * sy
-    text = clean_text(F.col("text"))
-    rows = tokens.withColumns({"w": w, "h": h, "len": F.char_length(text), "up": is_vertical(F.col("angle"))}).where("len > 0")
-    med = lambda c: F.coalesce(F.median(c), F.lit(0.0))
-    up, pitch, wide, flat = F.col("up"), F.when(F.col("up") & (F.col("h") > 0), F.col("h") / F.col("len")), F.when(F.col("up") & (F.col("w") > 0), F.col("w")), F.when(~F.col("up") & (F.col("h") > 0), F.col("h"))
-    out = rows.groupBy(*PAGE).agg(med(pitch).alias("v_pitch"), med(wide).alias("v_colw"), med(flat).alias("h_height"), F.count_if(up).alias("v_samples"), F.count_if(~up).alias("h_samples"))
+    n, up = F.char_length(clean_text(F.col("text"))), is_vertical(F.col("angle"))
+    some = n > 0
+    med = lambda test, x: F.median(F.when(some & test, x))
+    return {"v_pitch": med(up & (h > 0), h / n), "v_colw": med(up & (w > 0), w), "h_height": med(~up & (h > 0), h), "v_samples": F.count_if(some & up), "h_samples": F.count_if(some & ~up)}
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    rows = rows.fillna(0.0, ["v_pitch", "v_colw", "h_height"])
     both = F.when((F.col("v_pitch") > 0) & (F.col("v_colw") > 0), F.least("v_pitch", "v_colw")).otherwise(F.greatest("v_pitch", "v_colw"))
-    return out.withColumn("v_fs", both * 0.9)
+    return rows.withColumn("v_fs", both * 0.9)
+
+
+def page_metrics(tokens: DataFrame, sx: float, sy: float) -> DataFrame:
+    """Medians of vertical pitch, column width, font size and horizontal height, 0 without samples; pages with some text. Needs angle."""
+    out = tokens.groupBy(*PAGE).agg(*[c.alias(n) for n, c in _metrics(sx, sy).items()]).where("v_samples + h_samples > 0")
+    return _finished(out).select(*PAGE, *_METRICS, "v_fs")
+
+
+def with_page_metrics(tokens: DataFrame, sx: float, sy: float) -> DataFrame:
+    """The words with their page's metrics, by a window over the page."""
+    page = Window.partitionBy(*PAGE)
+    return _finished(tokens.withColumns({n: c.over(page) for n, c in _metrics(sx, sy).items()}))
 
 
 def dominant_direction(tokens: DataFrame) -> DataFrame:
@@ -123,24 +175,38 @@ def coord_scale(tokens: DataFrame, width: Column, height: Column) -> DataFrame:
     return tokens.withColumns({"pw": width, "ph": height}).groupBy(*PAGE).agg(factor("x1", F.first("pw")).alias("tx"), factor("y1", F.first("ph")).alias("ty"))
 
 
-def line_starts(tokens: DataFrame) -> DataFrame:
-    """med_h, and starts: where lines begin, for each rotation. Centres in order form a line while each is within 0.55 med_h of a centre that moves with them."""
-    h = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
-    med = tokens.groupBy(*PAGE).agg(F.median(h).alias("med_h"))
-    ys = tokens.groupBy(*PAGE, "rot").agg(F.array_sort(F.collect_list((F.col("y0") + F.col("y1")) / 2)).alias("ys")).join(med, PAGE)
-    start = F.struct(F.get("ys", F.lit(0)).alias("c"), F.slice("ys", 1, 1).alias("starts"))
+def _starts(ys: Column, med: Column) -> Column:
+    """Of sorted centres."""
+    start = F.struct(F.get(ys, F.lit(0)).alias("c"), F.slice(ys, 1, 1).alias("starts"))
 
     def step(s: Column, y: Column) -> Column:
-        near = F.abs(y - s["c"]) <= F.col("med_h") * 0.55
+        near = F.abs(y - s["c"]) <= med * 0.55
         return F.struct(F.when(near, s["c"] * 0.8 + y * 0.2).otherwise(y).alias("c"), F.when(near, s["starts"]).otherwise(F.concat(s["starts"], F.array(y))).alias("starts"))
 
-    return ys.select(*PAGE, "rot", "med_h", F.aggregate(F.slice("ys", F.lit(2), F.size("ys")), start, step)["starts"].alias("starts"))
+    return F.aggregate(F.slice(ys, F.lit(2), F.size(ys)), start, step)["starts"]
+
+
+def _with_height(tokens: DataFrame) -> DataFrame:
+    return tokens.withColumn("med_h", F.median(F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))).over(Window.partitionBy(*PAGE)))
 
 
-def assign_line(tokens: DataFrame, starts: DataFrame) -> DataFrame:
-    """line_no: how many lines of the rotation start at the word's centre or above it."""
+def line_starts(tokens: DataFrame) -> DataFrame:
+    """med_h, and starts: where lines begin, for each rotation. Centres in order form a line while each is within 0.55 med_h of a centre that moves with them."""
+    rows = _with_height(tokens).groupBy(*PAGE, "rot").agg(F.first("med_h").alias("med_h"), F.array_sort(F.collect_list((F.col("y0") + F.col("y1")) / 2)).alias("ys"))
+    return rows.select(*PAGE, "rot", "med_h", _starts(F.col("ys"), F.col("med_h")).alias("starts"))
+
+
+def assign_line(tokens: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """med_h, line_no: how many lines of the rotation start at the word's centre or above it. Starts are those given, else the page's own, which need no join."""
+    if starts is None:
+        own = [c for c in tokens.columns if c not in [*PAGE, "rot"]]
+        rows = _with_height(tokens).groupBy(*PAGE, "rot").agg(F.first("med_h").alias("med_h"), F.collect_list(F.struct(*own)).alias("words"))
+        rows = rows.withColumn("ys", F.array_sort(F.transform("words", lambda w: (w["y0"] + w["y1"]) / 2))).withColumn("starts", _starts(F.col("ys"), F.col("med_h")))
+        rows = rows.select(*PAGE, "rot", "med_h", "starts", F.inline("words"))
+    else:
+        rows = tokens.join(starts.hint("merge"), [*PAGE, "rot"])
     y = (F.col("y0") + F.col("y1")) / 2
-    return tokens.join(starts, [*PAGE, "rot"]).withColumn("line_no", F.size(F.filter("starts", lambda s: s <= y))).drop("starts")
+    return rows.withColumn("line_no", F.size(F.filter("starts", lambda s: s <= y))).drop("starts")
 
 
 def line_gaps(lined: DataFrame) -> DataFrame:
@@ -152,9 +218,16 @@ def line_gaps(lined: DataFrame) -> DataFrame:
 
 
 def build_lines(tokens: DataFrame) -> DataFrame:
-    """Lines: rotate, line_no, text (a blank where the gap is over 0.45 med_h), box, fontsize and baseline. Needs rot."""
-    rows = line_gaps(assign_line(tokens, line_starts(tokens)))
+    """Lines: rotate, line_no, rank (by rotation, top, left and number), text (a blank where the gap is over 0.45 med_h), box, fontsize and baseline. Needs rot."""
+    rows = line_gaps(assign_line(tokens))
     piece = F.concat(F.when(F.col("gap") > F.col("med_h") * 0.45, " ").otherwise(""), F.col("text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("t")))), lambda x: x["t"]), "")
     out = rows.groupBy(*PAGE, F.col("rot").alias("rotate"), "line_no").agg(text.alias("text"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")], F.greatest(F.lit(4.0), F.median(F.col("y1") - F.col("y0")) * 0.9).alias("fontsize"))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy("rotate", "y0", "x0", "line_no")))
     return out.withColumns({"base_x": F.col("x0"), "base_y": F.col("y1") - (F.col("y1") - F.col("y0")) * 0.15})
+
+
+def column_gaps(tokens: DataFrame) -> DataFrame:
+    """gap: how far the centre of each word is from that of the next one to its right on the page (null for the rightmost)."""
+    order = Window.partitionBy(*PAGE).orderBy(F.desc(_centre_x()), "seq")
+    return tokens.withColumn("gap", F.lag(_centre_x()).over(order) - _centre_x())

@@ -21,7 +21,7 @@ def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -
 def weighted_mad(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """wmedian, and mad: the weighted median of distances from it."""
     med = weighted_median(rows, keys, value, weight)
-    away = rows.join(med, keys).withColumn("_d", F.abs(F.col(value) - F.col("wmedian")))
+    away = rows.join(med.hint("merge"), keys).withColumn("_d", F.abs(F.col(value) - F.col("wmedian")))
     return med.join(weighted_median(away, keys, "_d", weight).withColumnRenamed("wmedian", "mad"), keys)
 
 
@@ -48,24 +48,39 @@ def segments_from_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def skew_samples(segments: DataFrame, o: SkewOptions) -> DataFrame:
-    """axis, a, len: segments near an axis by their angle to it. Needs min_side."""
+    """axis, a, len: the angle to an axis of segments near one; axis is null for all others. Needs min_side."""
     first = F.row_number().over(Window.partitionBy(*PAGE).orderBy("seg_no"))
     long = F.col("len") >= F.greatest(F.lit(o.min_len), (F.col("min_side") * o.min_len_share).cast("int"))
     raw = F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")))
     angle = F.when(raw > 90, raw - 180).when(raw < -90, raw + 180).otherwise(raw)
-    rows = segments.withColumn("k", first).where((F.col("k") <= o.first) & long).withColumn("ang", F.round(angle, 9))
-    flat, up = F.abs("ang") <= o.tol, F.abs(F.abs("ang") - 90) <= o.tol
+    rows = segments.withColumn("k", first).withColumn("use", (F.col("k") <= o.first) & long).withColumn("ang", F.round(angle, 9))
+    flat, up = F.col("use") & (F.abs("ang") <= o.tol), F.col("use") & (F.abs(F.abs("ang") - 90) <= o.tol)
     rows = rows.withColumns({"axis": F.when(flat, "h").when(up, "v"), "a": F.when(flat, F.col("ang")).otherwise(F.when(F.col("ang") > 0, F.col("ang") - 90).otherwise(F.col("ang") + 90))})
-    return rows.where("axis IS NOT NULL").select(*PAGE, "axis", F.round("a", 9).alias("a"), "len")
+    return rows.select(*PAGE, "axis", F.round("a", 9).alias("a"), "len")
+
+
+def _array_median(samples: Column) -> Column:
+    """The weighted median of an array of (v, w): the lowest v whose cumulative weight is half of all or more; null if it is empty."""
+    ordered = F.array_sort(samples)
+    half = F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["w"]) * 0.5
+    start = F.struct(F.lit(0.0).alias("acc"), F.lit(None).cast("double").alias("v"), half.alias("half"))
+    step = lambda s, x: F.struct((s["acc"] + x["w"]).alias("acc"), F.when(s["v"].isNull() & (s["acc"] + x["w"] >= s["half"]), x["v"]).otherwise(s["v"]).alias("v"), s["half"].alias("half"))
+    return F.aggregate(ordered, start, step)["v"]
 
 
 def skew_consensus(segments: DataFrame, o: SkewOptions = SkewOptions()) -> DataFrame:
-    """angle to turn by, ok, tag, mad, n and sumlen of each page: the weighted median of the axis with more length that is sure enough."""
-    samples = skew_samples(segments, o)
-    axes = samples.groupBy(*PAGE, "axis").agg(F.count("*").alias("n"), F.sum("len").alias("sumlen")).join(weighted_mad(samples, [*PAGE, "axis"], "a", "len"), [*PAGE, "axis"])
-    sure = axes.where((F.col("n") >= o.count) & (F.col("sumlen") >= o.sum_len) & (F.col("mad") <= o.mad))
-    best = sure.groupBy(*PAGE).agg(F.max_by(F.struct("wmedian", "mad", "n", "sumlen"), F.struct("sumlen", (F.col("axis") == "h").alias("h"))).alias("b"))
-    pages = segments.groupBy(*PAGE).agg(F.count("*").alias("all")).join(best, PAGE, "left")
+    """angle to turn by, ok, tag, mad, n and sumlen of each page: the weighted median of the axis with more length that is sure enough. A page's samples are gathered once."""
+    rows = skew_samples(segments, o).where("axis IS NULL OR len > 0")
+    gather = lambda axis: F.collect_list(F.when(F.col("axis") == axis, F.struct(F.col("a").alias("v"), F.col("len").alias("w")))).alias(axis)
+    pages = rows.groupBy(*PAGE).agg(F.count("*").alias("all"), gather("h"), gather("v"))
+    for x in "hv":
+        pages = pages.withColumn(f"med_{x}", _array_median(F.col(x)))
+        med = F.col(f"med_{x}")
+        away = F.transform(x, lambda s: F.struct(F.abs(s["v"] - med).alias("v"), s["w"].alias("w")))
+        pages = pages.withColumns({f"mad_{x}": _array_median(away), f"n_{x}": F.size(x).cast("long"), f"sum_{x}": F.aggregate(F.array_sort(x), F.lit(0.0), lambda s, v: s + v["w"])})
+    one = lambda x: F.struct(F.col(f"sum_{x}").alias("sumlen"), F.lit(x == "h").alias("flat"), F.col(f"med_{x}").alias("wmedian"), F.col(f"mad_{x}").alias("mad"), F.col(f"n_{x}").alias("n"))
+    sure = F.filter(F.array(one("h"), one("v")), lambda s: (s["n"] >= o.count) & (s["sumlen"] >= o.sum_len) & (s["mad"] <= o.mad))
+    pages = pages.withColumn("b", F.array_max(sure))
     apply = -F.col("b.wmedian")
     tag = F.when(F.col("all") < o.lines, "hough-none").when(F.col("b").isNull(), "hough-lowconf").when(F.abs(apply) < o.small, "hough-small").otherwise("hough")
     rows = pages.withColumn("tag", tag).withColumn("ok", F.col("tag") == "hough")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import quad_angle, quad_box, snap_rotation
 
 WORDS = "array<struct<text:string,points:array<array<double>>>>"
-VERTICAL_KINDS = ("vertical", "horizontal")
 
 
 def read_words(results: DataFrame, words: str = "words") -> DataFrame:
@@ -57,4 +56,4 @@ def prefer_primary(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """The primary words of each page that has any, the fallback's for the others; fallback_used tells which."""
     key = ["doc_id", "page_index"]
     pages = primary.select(*key).distinct()
-    return primary.withColumn("fallback_used", F.lit(False)).unionByName(fallback.join(pages, key, "left_anti").withColumn("fallback_used", F.lit(True)))
+    return primary.withColumn("fallback_used", F.lit(False)).unionByName(fallback.join(pages.hint("merge"), key, "left_anti").withColumn("fallback_used", F.lit(True)))

@@ -52,9 +52,7 @@ def _quads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _read_in_order(tokens: DataFrame) -> DataFrame:
-    tol = reading.reading_tolerance(tokens)
-    rows = reading.with_page_values(tokens, tol, reading.column_tolerance(tokens, tol), reading.body_region(tokens, fx.PAGE_W, fx.PAGE_H))
-    return reading.body_priority(reading.reading_order(rows, _odd()), fx.PAGE_H)
+    return reading.body_priority(reading.reading_order(reading.page_layout(tokens, fx.PAGE_W, fx.PAGE_H), _odd()), fx.PAGE_H)
 
 
 _ZONED = [o.TOKENS, o.MARGINS, o.tolerance("mtokens"), o.column_tolerance("mtokens"), o.body("mtokens"), o.ordered("mtokens"), o.zoned("ord")]
@@ -73,7 +71,7 @@ def reading_tolerance(spark, d):
 @query("d2_column_tolerance", o.TOKENS, o.tolerance("tokens"), o.column_tolerance("tokens"), f"SELECT doc_id, page_index, {_r('tol_x')} FROM tolx")
 def column_tolerance(spark, d):
     t = fx.tokens(spark, d)
-    return reading.column_tolerance(t, reading.reading_tolerance(t)).select(*PAGE, *r("tol_x"))
+    return reading.column_tolerance(t).select(*PAGE, *r("tol_x"))
 
 
 _ORDERED = [o.TOKENS, o.tolerance("tokens"), o.column_tolerance("tokens"), o.ordered("tokens")]
@@ -86,8 +84,7 @@ def order_horizontal(spark, d):
 
 def _order_of(spark, d, which):
     t = fx.tokens(spark, d).where(which)
-    tol = reading.reading_tolerance(t)
-    return reading.reading_order(reading.with_page_values(t, tol, reading.column_tolerance(t, tol)), _odd()).select(*PAGE, "seq", "ord")
+    return reading.reading_order(reading.page_layout(t, fx.PAGE_W, fx.PAGE_H), _odd()).select(*PAGE, "seq", "ord")
 
 
 @query("w2_order_vertical", *_ORDERED, "SELECT doc_id, page_index, seq, CAST(ord AS INTEGER) AS ord FROM ord WHERE doc_id % 2 = 1")
@@ -120,7 +117,7 @@ def column_anchors(spark, d):
 )
 def snap_to_column(spark, d):
     t = _read_in_order(fx.margin_tokens(fx.tokens(spark, d)))
-    return reading.snap_to_column(t, reading.column_anchors(t)).select(*PAGE, "seq", *r("x0_snapped"))
+    return reading.snap_to_column(t).select(*PAGE, "seq", *r("x0_snapped"))
 
 
 @query("c3_attach_page_values", *_ZONED, f"SELECT doc_id, page_index, seq, {_r('tol', 'tol_x', 'bx0', 'by1')} FROM zoned")
@@ -161,30 +158,27 @@ def coord_scale(spark, d):
 @query("c7_assign_line", o.TOKENS, o.QUADS, o.LINES, "SELECT doc_id, page_index, seq, rot, CAST(line_no AS INTEGER) AS line_no FROM lined")
 def assign_line(spark, d):
     q = _quads(spark, d)
-    return reading.assign_line(q, reading.line_starts(q)).select(*PAGE, "seq", "rot", "line_no")
+    return reading.assign_line(q).select(*PAGE, "seq", "rot", "line_no")
 
 
 @query("w4_line_gaps", o.TOKENS, o.QUADS, o.LINES, "SELECT doc_id, page_index, seq, CAST(pos AS INTEGER) AS pos, round(gap, 4) AS gap FROM gaps")
 def line_gaps(spark, d):
     q = _quads(spark, d)
-    return reading.line_gaps(reading.assign_line(q, reading.line_starts(q))).select(*PAGE, "seq", "pos", *r("gap"))
+    return reading.line_gaps(reading.assign_line(q)).select(*PAGE, "seq", "pos", *r("gap"))
 
 
 @query("w5_column_gaps", o.TOKENS, "SELECT doc_id, page_index, seq, round(lag((x0 + x1) / 2) OVER (PARTITION BY doc_id, page_index ORDER BY (x0 + x1) / 2 DESC, seq) - (x0 + x1) / 2, 4) AS gap FROM tokens")
 def column_gaps(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*PAGE).orderBy(F.desc("cx"), "seq")
-    return fx.tokens(spark, d).withColumn("cx", (F.col("x0") + F.col("x1")) / 2).withColumn("gap", F.lag("cx").over(w) - F.col("cx")).select(*PAGE, "seq", *r("gap"))
+    return reading.column_gaps(fx.tokens(spark, d)).select(*PAGE, "seq", *r("gap"))
 
 
 @query(
     "d8_build_lines", o.TOKENS, o.QUADS, o.LINES,
     """built AS (SELECT doc_id, page_index, rot AS rotate, CAST(line_no AS INTEGER) AS line_no, string_agg(CASE WHEN gap > 0.45::DOUBLE * med_h THEN ' ' ELSE '' END || text, '' ORDER BY pos) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, greatest(4, 0.9::DOUBLE * median(y1 - y0)) AS fontsize FROM gaps GROUP BY ALL)""",
-    f"SELECT doc_id, page_index, rotate, line_no, text, {_r('x0', 'y0', 'x1', 'y1', 'fontsize')}, round(x0, 4) AS base_x, round(y1 - 0.15::DOUBLE * (y1 - y0), 4) AS base_y FROM built",
+    f"SELECT doc_id, page_index, rotate, line_no, CAST(row_number() OVER (PARTITION BY doc_id, page_index ORDER BY rotate, built.y0, built.x0, line_no) AS INTEGER) AS rank, text, {_r('x0', 'y0', 'x1', 'y1', 'fontsize')}, round(x0, 4) AS base_x, round(y1 - 0.15::DOUBLE * (y1 - y0), 4) AS base_y FROM built",
 )
 def build_lines(spark, d):
-    return reading.build_lines(_quads(spark, d)).select(*PAGE, "rotate", "line_no", "text", *r("x0", "y0", "x1", "y1", "fontsize", "base_x", "base_y"))
+    return reading.build_lines(_quads(spark, d)).select(*PAGE, "rotate", "line_no", "rank", "text", *r("x0", "y0", "x1", "y1", "fontsize", "base_x", "base_y"))
 
 
 # Words
@@ -346,12 +340,12 @@ _RAW = {"dpi": (5, 20), "jpeg_quality": (7, 9), "binarize_strength": (6, 5), "te
 
 @query(
     "b15_normalize_settings",
-    "raw AS (SELECT p_partkey AS job_id, p_size % 2 = 0 AS migrated, CASE p_partkey % 4 WHEN 0 THEN ' pixel ' WHEN 1 THEN 'original' WHEN 2 THEN '' ELSE 'other' END AS output_page_mode, CASE WHEN p_size % 6 = 0 THEN 'x' ELSE CAST(p_size % 8 AS VARCHAR) END AS gray_color_ratio_percent, " + ", ".join(f"CASE WHEN p_size % {m} = 0 THEN 'abc' ELSE CAST(p_size * {k} AS VARCHAR) END AS {n}" for n, (m, k) in _RAW.items()) + " FROM part)",
-    "SELECT job_id, CASE WHEN trim(output_page_mode) IN ('original', 'pixel') THEN trim(output_page_mode) ELSE 'original' END AS output_page_mode, least(5, greatest(0, coalesce(try_cast(gray_color_ratio_percent AS DOUBLE), 0.3)))::DOUBLE AS gray_color_ratio_percent, "
+    "raw AS (SELECT p_partkey AS job_id, p_size % 2 = 0 AS migrated, CASE p_partkey % 4 WHEN 0 THEN ' pixel ' WHEN 1 THEN 'original' WHEN 2 THEN '' ELSE 'other' END AS output_page_mode, CASE WHEN p_size % 6 = 0 THEN 'x' ELSE CAST(p_size % 8 AS VARCHAR) END AS gray_color_ratio_percent, CASE WHEN p_size % 7 = 0 THEN 'y' ELSE CAST(p_size * 2 AS VARCHAR) END AS gray_p99_limit, CASE WHEN p_size % 10 = 0 THEN '' ELSE CAST(p_size - 5 AS VARCHAR) END AS deskew_max_deg, " + ", ".join(f"CASE WHEN p_size % {m} = 0 THEN 'abc' ELSE CAST(p_size * {k} AS VARCHAR) END AS {n}" for n, (m, k) in _RAW.items()) + " FROM part)",
+    "SELECT job_id, CASE WHEN trim(output_page_mode) IN ('original', 'pixel') THEN trim(output_page_mode) ELSE 'original' END AS output_page_mode, least(5, greatest(0, coalesce(try_cast(gray_color_ratio_percent AS DOUBLE), 0.3)))::DOUBLE AS gray_color_ratio_percent, least(80, greatest(5, coalesce(try_cast(gray_p99_limit AS DOUBLE), 18)))::DOUBLE AS gray_p99_limit, least(1e9, greatest(0, coalesce(try_cast(deskew_max_deg AS DOUBLE), 5)))::DOUBLE AS deskew_max_deg, "
     + ", ".join((f"CASE WHEN try_cast({n} AS INTEGER) = 60 AND NOT migrated THEN 0 ELSE " if n == "binarize_strength" else "") + f"least({hi}, greatest({lo}, coalesce(try_cast({n} AS INTEGER), {v})))" + (" END" if n == "binarize_strength" else "") + f" AS {n}" for n, (v, lo, hi) in pages.INT_SETTINGS.items()) + " FROM raw",
 )
 def normalize_settings(spark, d):
-    raw = fx.table(spark, d, "part").selectExpr("p_partkey AS job_id", "p_size % 2 = 0 AS migrated", "CASE p_partkey % 4 WHEN 0 THEN ' pixel ' WHEN 1 THEN 'original' WHEN 2 THEN '' ELSE 'other' END AS output_page_mode", "IF(p_size % 6 = 0, 'x', CAST(p_size % 8 AS STRING)) AS gray_color_ratio_percent", *[f"IF(p_size % {m} = 0, 'abc', CAST(p_size * {k} AS STRING)) AS {n}" for n, (m, k) in _RAW.items()])
+    raw = fx.table(spark, d, "part").selectExpr("p_partkey AS job_id", "p_size % 2 = 0 AS migrated", "CASE p_partkey % 4 WHEN 0 THEN ' pixel ' WHEN 1 THEN 'original' WHEN 2 THEN '' ELSE 'other' END AS output_page_mode", "IF(p_size % 6 = 0, 'x', CAST(p_size % 8 AS STRING)) AS gray_color_ratio_percent", "IF(p_size % 7 = 0, 'y', CAST(p_size * 2 AS STRING)) AS gray_p99_limit", "IF(p_size % 10 = 0, '', CAST(p_size - 5 AS STRING)) AS deskew_max_deg", *[f"IF(p_size % {m} = 0, 'abc', CAST(p_size * {k} AS STRING)) AS {n}" for n, (m, k) in _RAW.items()])
     return pages.normalize_settings(raw).drop("migrated")
 
 
@@ -414,13 +408,15 @@ _PLACE = [o.TOKENS, o.MARGINS, _MQUADS, *_ZONED[2:], _METRICS.replace("FROM quad
 
 
 def _to_place(spark, d):
-    t = words.with_geometry(fx.quads(fx.margin_tokens(fx.tokens(spark, d)))).select(*PAGE, "seq", "text", "angle")
-    m = fx.margin_tokens(fx.tokens(spark, d))
-    rows = _read_in_order(m)
-    snapped = reading.snap_to_column(rows, reading.column_anchors(rows)).join(t.drop("text"), [*PAGE, "seq"])
-    quads = words.with_geometry(fx.quads(m))
+    """The words with all that placing needs; they shuffle once, to their pages. Their boxes are those of the straight words, page measures those of the sheared ones."""
+    box = {c: F.col(c).alias(f"{c}_") for c in ("x0", "y0", "x1", "y1")}
+    sheared = words.with_geometry(fx.quads(fx.margin_tokens(fx.tokens(spark, d)).select("*", *box.values())))
+    rows = sheared.select(*PAGE, "seq", "text", "angle", F.struct("x0", "y0", "x1", "y1").alias("quad"), *[F.col(f"{c}_").alias(c) for c in box])
+    rows = reading.snap_to_column(_read_in_order(rows))
+    measured = rows.select("*", *box.values()).withColumns({c: F.col(f"quad.{c}") for c in box})
+    rows = reading.with_page_metrics(measured, 0.5, 0.5).withColumns({c: F.col(f"{c}_") for c in box}).drop("quad", *[f"{c}_" for c in box])
     up = F.when(_odd(), words.orientation("vertical")).otherwise(words.orientation("horizontal"))
-    return reading.with_page_values(snapped, reading.page_metrics(quads, 0.5, 0.5)).withColumn("xscale", F.lit(1.05)), up
+    return rows.withColumn("xscale", F.lit(1.05)), up
 
 
 @query("b18_orientation", *_PLACE, "SELECT doc_id, page_index, count(*) FILTER (up) AS vertical, count(*) AS n FROM po GROUP BY ALL")
@@ -472,6 +468,28 @@ def placement_plan(spark, d):
     return _shown(placement.placement_plan(*_to_place(spark, d), stage=0))
 
 
+_STAGE1 = [_P1.replace("p1 AS", "q1 AS").replace("page_xscale AS xscale", "1::DOUBLE AS xscale"), _P3]
+_STAGE2 = [_P1.replace("p1 AS", "q1 AS").replace("page_xscale AS xscale", "1::DOUBLE AS xscale").replace("CASE WHEN abs(a0 - 90) <= 10 THEN 90 WHEN abs(a0 - 180) <= 10 THEN 180 WHEN abs(a0 - 270) <= 10 THEN 270 ELSE 0 END AS rotate", "0 AS rotate"), _P2]
+_PLANNED = f"doc_id, page_index, style, rotate, count(*) AS n, {', '.join(f'round({f}({c}), 6) AS {f}_{c}' for c in ('point_x', 'point_y', 'fontsize', 'xscale') for f in ('min', 'max'))}"
+
+
+def _planned(plan: DataFrame) -> DataFrame:
+    ends = [F.round(f(c), 6).alias(f"{n}_{c}") for c in ("point_x", "point_y", "fontsize", "xscale") for n, f in (("min", F.min), ("max", F.max))]
+    return plan.groupBy(*PAGE, "style", "rotate").agg(F.count("*").alias("n"), *ends)
+
+
+@query("p4_placement_stage1", *_PLACE, *_STAGE1, f"SELECT {_PLANNED} FROM (SELECT * FROM q1 UNION ALL SELECT * FROM p3) GROUP BY ALL")
+def placement_stage1(spark, d):
+    """Characters one by one, nothing stretched; a row per page, style and turn."""
+    return _planned(placement.placement_plan(*_to_place(spark, d), stage=1))
+
+
+@query("p4_placement_stage2", *_PLACE, *_STAGE2, f"SELECT {_PLANNED} FROM (SELECT * FROM q1 UNION ALL SELECT doc_id, page_index, seq, char_no, point_x, point_y, text, fontsize, rotate, 1::DOUBLE AS xscale, style FROM p2) GROUP BY ALL")
+def placement_stage2(spark, d):
+    """Runs that are neither stretched nor turned beyond their style."""
+    return _planned(placement.placement_plan(*_to_place(spark, d), stage=2))
+
+
 @query("a5_write_draw_plan", *_PLACE, _P1, _P2, "SELECT doc_id, count(*) AS n, count(DISTINCT page_index) AS pages FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY ALL")
 def write_draw_plan(spark, d):
     path = work_dir(spark)
@@ -494,13 +512,13 @@ def _tries(spark, d, stages=(0, 1, 2)):
     "d9_page_stats", *_PLACE, _P1, _P2, _TRIES,
     "plan AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)",
     "st AS (SELECT doc_id, page_index, count(*) AS attempted_inserts, count(*) FILTER (ok) AS ok_inserts, count(*) FILTER (NOT ok) AS insert_errors FROM att WHERE stage = 0 GROUP BY ALL)",
-    "pl AS (SELECT doc_id, page_index, count(DISTINCT seq) FILTER (style = 'run' OR rotate = 270) AS vertical_tokens, count(*) FILTER (style = 'run') AS vrun_samples, coalesce(avg(xscale) FILTER (style = 'run'), 0) AS vrun_xscale_mean, max(xscale) FILTER (style = 'run') AS vrun_xscale_max FROM plan GROUP BY ALL)",
-    f"SELECT doc_id, page_index, total_tokens, attempted_inserts, ok_inserts, insert_errors, {_RATES}, vertical_tokens, vrun_samples, {_r('vrun_xscale_mean', 'vrun_xscale_max')} FROM (SELECT doc_id, page_index, count(*) AS total_tokens FROM mtokens GROUP BY ALL) JOIN st {o.J} JOIN pl {o.J}",
+    "pl AS (SELECT doc_id, page_index, count(DISTINCT seq) FILTER (style = 'run' OR rotate = 270) AS vertical_tokens, count(*) FILTER (style = 'run') AS vrun_samples, coalesce(avg(xscale) FILTER (style = 'run'), 0) AS vrun_xscale_mean, max(xscale) FILTER (style = 'run') AS vrun_xscale_max, min(xscale) FILTER (style = 'run') AS vrun_xscale_min, count(*) FILTER (style <> 'run' AND rotate <> 270) AS horizontal_tokens, CAST(coalesce(sum(length(text)) FILTER (style = 'run'), 0) AS BIGINT) AS vertical_chars, CAST(coalesce(sum(length(text) - length(translate(text, '" + fc.PUNCTUATION + fc.TURNED + "', ''))) FILTER (style = 'run'), 0) AS BIGINT) AS vertical_exception_chars FROM plan GROUP BY ALL)",
+    f"SELECT doc_id, page_index, total_tokens, attempted_inserts, ok_inserts, insert_errors, {_RATES}, vertical_tokens, horizontal_tokens, vertical_chars, vertical_exception_chars, vrun_samples, {_r('vrun_xscale_mean', 'vrun_xscale_min', 'vrun_xscale_max')} FROM (SELECT doc_id, page_index, count(*) AS total_tokens FROM mtokens GROUP BY ALL) JOIN st {o.J} JOIN pl {o.J}",
 )
 def page_stats(spark, d):
     t, up = _to_place(spark, d)
     out = placement.page_stats(fx.tokens(spark, d), placement.placement_plan(t, up), _tries(spark, d, (0,)))
-    return out.select(*PAGE, "total_tokens", "attempted_inserts", "ok_inserts", "insert_errors", *r("error_rate", "ok_rate", places=6), "vertical_tokens", "vrun_samples", *r("vrun_xscale_mean", "vrun_xscale_max"))
+    return out.select(*PAGE, "total_tokens", "attempted_inserts", "ok_inserts", "insert_errors", *r("error_rate", "ok_rate", places=6), "vertical_tokens", "horizontal_tokens", "vertical_chars", "vertical_exception_chars", "vrun_samples", *r("vrun_xscale_mean", "vrun_xscale_min", "vrun_xscale_max"))
 
 
 @query(
@@ -535,11 +553,11 @@ def _stats(spark, d):
     "d10_quality_summary", o.TOKENS, _TRIES, _STAGES,
     "st AS (SELECT doc_id, page_index, count(*) AS attempted_inserts, count(*) FILTER (ok) AS ok_inserts, count(*) FILTER (NOT ok) AS insert_errors FROM att WHERE stage = 0 GROUP BY ALL)",
     f"""qs AS (SELECT doc_id, grouping(doc_id)::INTEGER AS level, count(*) AS pages, CAST(sum(attempted_inserts) AS BIGINT) AS total_tokens, CAST(sum(attempted_inserts) AS BIGINT) AS attempted_inserts, CAST(sum(ok_inserts) AS BIGINT) AS ok_inserts, CAST(sum(insert_errors) AS BIGINT) AS insert_errors,
-      count(*) FILTER (attempted_inserts = 0) AS zero_pages, count(*) FILTER (fallback_stage = 1) AS stage1, count(*) FILTER (fallback_stage = 2) AS stage2 FROM st JOIN fstage {o.J} GROUP BY ROLLUP (doc_id))""",
-    f"SELECT doc_id, level, pages, total_tokens, attempted_inserts, ok_inserts, insert_errors, zero_pages, stage1, stage2, {_RATES} FROM qs",
+      count(*) FILTER (attempted_inserts = 0) AS zero_pages, count(*) FILTER (fallback_stage = 1) AS stage1, count(*) FILTER (fallback_stage = 2) AS stage2, count(*) FILTER (fallback_stage > 0) AS fallback_pages, count(*) FILTER (page_index % 3 = 1) AS ocr_fallback_pages, 0::BIGINT AS suspected_nonblank_pages FROM st JOIN fstage {o.J} GROUP BY ROLLUP (doc_id))""",
+    f"SELECT doc_id, level, pages, total_tokens, attempted_inserts, ok_inserts, insert_errors, zero_pages, stage1, stage2, fallback_pages, ocr_fallback_pages, suspected_nonblank_pages, {_RATES} FROM qs",
 )
 def quality_summary(spark, d):
-    out = quality.quality_summary(_stats(spark, d))
+    out = quality.quality_summary(_stats(spark, d).withColumns({"ocr_fallback_used": F.col("page_index") % 3 == 1, "ink_ratio": F.col("page_index") % 5 / 2.0}))
     return out.withColumns({c: F.round(c, 6) for c in ("error_rate", "ok_rate")})
 
 
@@ -584,9 +602,14 @@ def job_outcome(spark, d):
     return quality.job_outcome(jobs)
 
 
-@query("w6_in_order_release", o.PAGES, "SELECT doc_id, page_index, page_index < coalesce(min(page_index) FILTER (NOT ocr_ready) OVER (PARTITION BY doc_id), 2147483647) AS released FROM pm")
+@query(
+    "w6_in_order_release", o.PAGES, "rl AS (SELECT doc_id, page_index, CASE WHEN part % 19 <> 0 THEN ocr_ready END AS ready, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS k FROM pm WHERE part % 23 <> 0)",
+    "SELECT doc_id, page_index, bool_and(coalesce(ready, false) AND k = page_index) OVER (PARTITION BY doc_id ORDER BY page_index ROWS UNBOUNDED PRECEDING) AS released FROM rl",
+)
 def in_order_release(spark, d):
-    return quality.in_order_release(fx.page_meta(spark, d)).select(*PAGE, "released")
+    """Some pages are missing, of others it isn't known whether they are ready."""
+    m = fx.page_meta(spark, d).where("part % 23 <> 0").withColumn("ocr_ready", F.when(F.col("part") % 19 != 0, F.col("ocr_ready")))
+    return quality.in_order_release(m).select(*PAGE, "released")
 
 
 @query("w7_progress", o.PAGES, "SELECT doc_id, page_index, CAST(page_index + 1 AS INTEGER) AS done, CAST(total_pages AS BIGINT) AS total FROM pm")
@@ -826,12 +849,28 @@ def resolve_skew(spark, d):
 # Streams
 
 
-def _replayed(spark, d, kinds: list[str], parts: int = 4) -> DataFrame:
-    """Page events as a stream: written to files once, read a few files at a time."""
-    path = work_dir(spark)
-    events = fx.page_events(spark, d).where(F.col("kind").isin(kinds))
-    events.repartitionByRange(parts, "ts", "event_id").write.parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(path)
+def _replayed(events: DataFrame, parts: int = 4) -> DataFrame:
+    """Rows with doc_id and ts as a stream: written in the order of ts, file by file, read a file at a time. A last row without doc_id, a day later, moves the watermark past all others."""
+    spark, path = events.sparkSession, work_dir(events.sparkSession)
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    at = F.unix_micros("ts")
+    if high is not None:
+        first, last = events.agg(F.min(at), F.max(at)).first()
+        part = F.least(F.lit(parts - 1), ((at - F.lit(first)) * parts / F.lit(max(last - first, 1))).cast("int"))
+        for k in range(parts):
+            events.where(part == k).repartition(1).write.mode("append").parquet(path)
+        end = events.limit(1).select(*[(F.timestamp_micros(F.lit(last + 86_400_000_000)) if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema.fields])
+        end.repartition(1).write.mode("append").parquet(path)
+    else:
+        events.write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Metadata of pages, and their OCR results: some 30 seconds early to 170 late, so some beyond the bound, and one in eleven never."""
+    meta = fx.page_events(spark, d).where("kind = 'meta'")
+    ocr = meta.where("event_id % 11 <> 0").select(*PAGE, F.when(F.col("event_id") % 13 == 0, "ocr_error").otherwise("ocr").alias("kind"), (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 200 - 30).cast("decimal(18,6)"))).alias("ts"))
+    return meta.select(*PAGE, "kind", "ts"), ocr
 
 
 def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -842,21 +881,52 @@ def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-@query("s1_stream_join_pages")
+_SIDES = [
+    o.EVENTS, "sm AS (SELECT doc_id, page_index, event_id, ts::TIMESTAMP AS ts FROM page_events WHERE kind = 'meta')",
+    "so AS (SELECT doc_id, page_index, CASE WHEN event_id % 13 = 0 THEN 'ocr_error' ELSE 'ocr' END AS kind, ts + to_seconds(CAST(event_id % 200 - 30 AS BIGINT)) AS ocr_ts FROM sm WHERE event_id % 11 <> 0)",
+    "sj AS (SELECT sm.doc_id, sm.page_index, epoch_us(ts) AS meta_ts, epoch_us(ocr_ts) AS ocr_ts, kind FROM sm LEFT JOIN so ON sm.doc_id = so.doc_id AND sm.page_index = so.page_index AND ocr_ts BETWEEN ts - INTERVAL 120 SECONDS AND ts + INTERVAL 120 SECONDS)",
+]
+
+
+def _joined(spark, d) -> DataFrame:
+    meta, ocr = map(_replayed, _sides(spark, d))
+    return _run(streams.stream_join_pages(meta, ocr)).where("doc_id IS NOT NULL")
+
+
+@query("s1_stream_join_pages", *_SIDES, "SELECT * FROM sj")
 def stream_join_pages(spark, d):
-    """Joined rows and, behind the watermark, pages whose result never came."""
-    return _run(streams.stream_join_pages(_replayed(spark, d, ["meta"]), _replayed(spark, d, ["ocr", "ocr_error"])))
+    """Joined rows and, behind the watermark, pages whose result never came, or too late. Times in microseconds."""
+    return _joined(spark, d).withColumns({c: F.unix_micros(c) for c in ("meta_ts", "ocr_ts")})
 
 
-@query("s2_stalled_pages")
+@query("s2_stalled_pages", *_SIDES, "SELECT doc_id, page_index, meta_ts FROM sj WHERE ocr_ts IS NULL")
 def stalled_pages(spark, d):
-    return streams.stalled_pages(_run(streams.stream_join_pages(_replayed(spark, d, ["meta"]), _replayed(spark, d, ["ocr", "ocr_error"]))))
+    return streams.stalled_pages(_joined(spark, d)).withColumn("meta_ts", F.unix_micros("meta_ts"))
 
 
-@query("s3_stream_in_order_release", o.EVENTS, "SELECT doc_id, page_index FROM page_events WHERE kind = 'meta'")
+@query("s3_stream_in_order_release", o.EVENTS, "sr AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS k FROM page_events WHERE kind = 'meta' AND (doc_id * 7 + page_index) % 10 <> 0)", "SELECT doc_id, page_index FROM sr WHERE k = page_index")
 def stream_in_order_release(spark, d):
-    """Every page of a document comes at some time, so in the end all are released, each after those before it."""
-    return _run(streams.stream_in_order_release(_replayed(spark, d, ["meta"]), expire=False))
+    """One page in ten never comes; a document's pages are released, each after those before it, up to its first such page."""
+    events = fx.page_events(spark, d).where("kind = 'meta' AND (doc_id * 7 + page_index) % 10 <> 0").select(*PAGE, "ts")
+    return _run(streams.stream_in_order_release(_replayed(events).where("doc_id IS NOT NULL"), expire=False))
+
+
+@query("s5_stream_once_per_key", "SELECT event_id, user_id, event_type FROM events")
+def stream_once_per_key(spark, d):
+    """Every third event is sent twice; each comes out once."""
+    e = fx.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    once = streams.once_per_key(_replayed(e.unionByName(e.where("event_id % 3 = 0"))).where("doc_id IS NOT NULL"), "event_id")
+    return _run(once).select("event_id", F.col("doc_id").alias("user_id"), "event_type")
+
+
+@query("s6_stream_split_control", o.EVENTS, "SELECT doc_id, CASE WHEN event_id % 29 = 0 THEN 'control' ELSE 'page' END AS channel, count(*) AS n FROM page_events GROUP BY ALL")
+def stream_split_control(spark, d):
+    """Both sinks of one stream, read back."""
+    rows = fx.page_events(spark, d).select("doc_id", F.when(F.col("event_id") % 29 == 0, -1).otherwise(F.col("page_index")).alias("page_index"), "event_id", "ts")
+    stream, path, checkpoint = _replayed(rows).where("doc_id IS NOT NULL"), work_dir(spark), work_dir(spark)
+    streams.write_split(stream, f"{path}/page", f"{path}/control", checkpoint)
+    read = lambda name: spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{path}/{name}").withColumn("channel", F.lit(name))
+    return read("page").unionByName(read("control")).groupBy("doc_id", "channel").agg(F.count("*").alias("n"))
 
 
 @query("s4_stream_quality", o.TOKENS, _TRIES, "SELECT doc_id, count(*) AS attempted_inserts, count(*) FILTER (ok) AS ok_inserts, count(*) FILTER (NOT ok) AS insert_errors FROM att WHERE stage = 0 GROUP BY doc_id")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.quality import split_control
+
 PAGE = ["doc_id", "page_index"]
 #: How long a document's state is kept without a new page: a week.
 TTL_MS = 7 * 24 * 3600 * 1000
@@ -37,6 +39,16 @@ def once_per_key(rows: DataFrame, key: str, ts: str = "ts", within: str = "1 hou
     return rows.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
+def write_split(results: DataFrame, pages: str, control: str, checkpoint: str) -> None:
+    """Runs a stream of results over what there is: pages to one folder, control messages to another. A batch has a folder of its own in each, so one that is repeated replaces itself."""
+
+    def both(batch: DataFrame, n: int) -> None:
+        for path, rows in zip((pages, control), split_control(batch)):
+            rows.write.mode("overwrite").parquet(f"{path}/{n}")
+
+    results.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(both).start().awaitTermination()
+
+
 def _release(expire: bool, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State: the next page to release, and the pages that came before their turn."""
     if state.hasTimedOut:
