@@ -80,7 +80,7 @@ def numbered(rows: DataFrame, key: str, order: list[str], ranges: int = 64) -> D
     at = F.unix_micros(F.col(order[0]).cast("timestamp")) if dict(rows.dtypes)[order[0]].startswith("timestamp") else F.col(order[0]).cast("double")
     low, high = rows.agg(F.min(at), F.max(at)).first()
     part = F.least(F.lit(ranges - 1), ((at - F.lit(low)) * ranges / F.lit(max(high - low, 1))).cast("int")) if high is not None else F.lit(0)
-    rows = rows.withColumn("part_", F.coalesce(part, F.lit(-1)))
+    rows = rows.withColumn("part_", F.when(at.isNull(), F.lit(-1)).otherwise(part))
     before = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(key, "part_").count().withColumn("start_", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inner = F.row_number().over(Window.partitionBy(key, "part_").orderBy(*order))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,61 +14,87 @@ from ..functions.columns import clamp
 PAGE = ["doc_id", "page_index"]
 
 
+def _images(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray | None]]:
+    """(row, pixels by height, width and channel) of a batch with width, height, n_channels and data, straight from its buffers; None for a broken image."""
+    data = batch.column("data")
+    sizes = [batch.column(c).to_pylist() for c in ("height", "width", "n_channels")]
+    for row, shape in enumerate(zip(*sizes)):
+        raw = data[row].as_buffer() if data[row].is_valid else None
+        ok = raw is not None and raw.size and None not in shape and int(np.prod(shape)) == raw.size
+        yield row, np.frombuffer(raw, dtype=np.uint8).reshape(shape) if ok else None
+
+
+def _counted(batch: pa.RecordBatch, names: list[str], rows: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+    """A row per counted value: the page's columns, then those of values (arrays of one row per name)."""
+    at = np.repeat(np.array(rows, dtype=np.int64), [v.shape[1] for v in values])
+    made = np.concatenate(values, axis=1) if values else np.zeros((len(names), 0), dtype=np.int64)
+    keys = [batch.column(c).take(pa.array(at)) for c in PAGE]
+    return pa.RecordBatch.from_arrays([*keys, *(pa.array(v, pa.int64() if n == "n" else pa.int32()) for n, v in zip(names, made))], names=[*PAGE, *names])
+
+
+_IMAGE = [*PAGE, "width", "height", "n_channels", "data"]
+
+
+def _key_types(rasters: DataFrame) -> str:
+    return ", ".join(f"{c} {rasters.schema[c].dataType.simpleString()}" for c in PAGE)
+
+
 def thumbnail(rasters: DataFrame, max_side: int = 256) -> DataFrame:
     """Images (width, height, n_channels, data: bytes by row) shrunk by block means to max_side or less. Broken images are null and not valid."""
 
-    def shrink(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for r in frame.itertuples(index=False):
-                if r.data is None or r.width * r.height * r.n_channels != len(r.data) or not len(r.data):
-                    out.append((r.doc_id, r.page_index, None, None, None, None, False))
+            for _, image in _images(batch):
+                if image is None:
+                    out.append((None, None, None, None, False))
                     continue
-                image = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.n_channels).astype(np.float64)
-                k = -(-max(r.width, r.height) // max_side)
-                h, w = max(r.height // k, 1), max(r.width // k, 1)
-                small = image[: h * k, : w * k] if min(r.height, r.width) >= k else image[: h * min(k, r.height), : w * min(k, r.width)]
-                small = small.reshape(h, small.shape[0] // h, w, small.shape[1] // w, -1).mean(axis=(1, 3)).round().astype(np.uint8)
-                out.append((r.doc_id, r.page_index, w, h, r.n_channels, small.tobytes(), True))
-            yield pd.DataFrame(out, columns=["doc_id", "page_index", "width", "height", "n_channels", "data", "is_valid"]).astype({"width": "Int32", "height": "Int32", "n_channels": "Int32"})
+                height, width, channels = image.shape
+                k = -(-max(height, width) // max_side)
+                h, w = max(height // k, 1), max(width // k, 1)
+                small = image[: h * min(k, height), : w * min(k, width)].astype(np.float64)
+                small = small.reshape(h, small.shape[0] // h, w, small.shape[1] // w, channels).mean(axis=(1, 3)).round().astype(np.uint8)
+                out.append((w, h, channels, small.tobytes(), True))
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAGE), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=[*_IMAGE, "is_valid"])
 
-    return rasters.select(*PAGE, "width", "height", "n_channels", "data").mapInPandas(shrink, "doc_id long, page_index int, width int, height int, n_channels int, data binary, is_valid boolean")
+    return rasters.select(*_IMAGE).mapInArrow(shrink, _key_types(rasters) + ", width int, height int, n_channels int, data binary, is_valid boolean")
 
 
 def image_luma_hist(rasters: DataFrame) -> DataFrame:
     """bin, n: grey values of images whose data is blue, green, red (or grey) bytes."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.data is None or not len(r.data):
-                    continue
-                px = np.frombuffer(r.data, dtype=np.uint8).reshape(-1, int(r.n_channels)).astype(np.float64)
-                grey = px[:, 0] if px.shape[1] < 3 else px[:, :3] @ np.array([0.114, 0.587, 0.299])
-                n = np.bincount((grey + 0.5).astype(np.int64), minlength=256)
-                out += [(r.doc_id, r.page_index, int(b), int(n[b])) for b in np.flatnonzero(n)]
-            yield pd.DataFrame(out, columns=["doc_id", "page_index", "bin", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, values = [], []
+            for row, image in _images(batch):
+                if image is not None:
+                    px = image.reshape(-1, image.shape[2]).astype(np.float64)
+                    grey = px[:, 0] if px.shape[1] < 3 else px[:, 0] * 0.114 + px[:, 1] * 0.587 + px[:, 2] * 0.299
+                    n = np.bincount((grey + 0.5).astype(np.int64), minlength=256)
+                    rows.append(row)
+                    values.append(np.stack([np.flatnonzero(n), n[np.flatnonzero(n)]]))
+            yield _counted(batch, ["bin", "n"], rows, values)
 
-    return rasters.select(*PAGE, "n_channels", "data").mapInPandas(count, "doc_id long, page_index int, bin int, n long")
+    return rasters.select(*_IMAGE).mapInArrow(count, _key_types(rasters) + ", bin int, n long")
 
 
 def image_chroma_hist(rasters: DataFrame) -> DataFrame:
     """a, b, n: opponent colours (red less green, yellow less blue, halved) of images whose data is blue, green, red bytes."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.data is None or not len(r.data) or r.n_channels < 3:
-                    continue
-                px = np.frombuffer(r.data, dtype=np.uint8).reshape(-1, int(r.n_channels)).astype(np.int64)
-                pairs = np.stack([(px[:, 2] - px[:, 1]) // 2, ((px[:, 2] + px[:, 1]) // 2 - px[:, 0]) // 2], axis=1)
-                values, n = np.unique(pairs, axis=0, return_counts=True)
-                out += [(r.doc_id, r.page_index, int(a), int(b), int(c)) for (a, b), c in zip(values, n)]
-            yield pd.DataFrame(out, columns=["doc_id", "page_index", "a", "b", "n"])
-
-    return rasters.select(*PAGE, "n_channels", "data").mapInPandas(count, "doc_id long, page_index int, a int, b int, n long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, values = [], []
+            for row, image in _images(batch):
+                if image is not None and image.shape[2] >= 3:
+                    px = image.reshape(-1, image.shape[2]).astype(np.int64)
+                    pairs = (px[:, 2] - px[:, 1]) // 2 * 1024 + ((px[:, 2] + px[:, 1]) // 2 - px[:, 0]) // 2 + 512
+                    found, n = np.unique(pairs, return_counts=True)
+                    rows.append(row)
+                    values.append(np.stack([found // 1024, found % 1024 - 512, n]))
+            yield _counted(batch, ["a", "b", "n"], rows, values)
+
+    return rasters.select(*_IMAGE).mapInArrow(count, _key_types(rasters) + ", a int, b int, n long")
 
 
 def ink_ratio(hist: DataFrame, threshold: int = 240) -> DataFrame:

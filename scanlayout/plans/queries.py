@@ -237,10 +237,10 @@ def scale_tokens(spark, d):
     return words.scale_tokens(_quads(spark, d), 1.5, 0.75).select(*PAGE, "seq", *r("x0", "y1"), F.round(F.col("points")[2][0], 4).alias("px"), F.round(F.col("points")[2][1], 4).alias("py"))
 
 
-@query("b7_clean_text", r"""SELECT doc_id, regexp_replace(t, '^[\s\x0b\x{a0}\x{3000}]+|[\s\x0b\x{a0}\x{3000}]+$', '', 'g') AS text FROM (SELECT doc_id, chr(12288) || ' ' || chr(160) || source || chr(9) || lang || chr(10) || chr(12288) AS t FROM documents)""")
+@query("b7_clean_text", r"""SELECT doc_id, md5(regexp_replace(t, '^[\s\x0b\x{a0}\x{3000}]+|[\s\x0b\x{a0}\x{3000}]+$', '', 'g')) AS text_md5 FROM (SELECT doc_id, chr(12288) || ' ' || chr(160) || text || chr(9) || lang || chr(10) || chr(12288) AS t FROM documents)""")
 def clean_text(spark, d):
-    t = F.concat(F.lit("　 \xa0"), "source", F.lit("\t"), "lang", F.lit("\n　"))
-    return fx.table(spark, d, "documents").select("doc_id", fc.clean_text(t).alias("text"))
+    t = F.concat(F.lit("　 \xa0"), "text", F.lit("\t"), "lang", F.lit("\n　"))
+    return fx.table(spark, d, "documents").select("doc_id", F.md5(fc.clean_text(t).cast("binary")).alias("text_md5"))
 
 
 _CHARS = f"cs AS (SELECT doc_id, unnest(string_split(text || '、（ー。', '')) AS ch FROM documents), cc AS (SELECT doc_id, ch, count(*) AS n FROM cs WHERE ch <> '' GROUP BY ALL)"
@@ -752,6 +752,41 @@ def binarize_coverage(spark, d):
     return raster.binarize_coverage(fx.luma_hist(spark, d), _thresholds(spark, d).where("strength > 0")).withColumn("white_share", F.round("white_share", 6))
 
 
+def _images(spark, d) -> DataFrame:
+    """Rows as read_page_images gives them: 24-bit images of 8 by 8 pixels, whose blue, green and red are a raster's pixel and its two neighbours; page_index % 17 = 0: broken."""
+    code = lambda c: F.format_string("%02x", c)
+    rows = fx.rasters(spark, d)
+    colours = F.transform(F.sequence(F.lit(0), F.size("pixels") - 1), lambda i: F.concat(*[code(F.get("pixels", (i + k) % F.size("pixels"))) for k in range(3)]))
+    data = F.unhex(F.array_join(colours, ""))
+    return rows.select(*PAGE, F.lit(8).alias("width"), (F.size("pixels") / 8).cast("int").alias("height"), F.lit(3).alias("n_channels"), F.when(F.col("page_index") % 17 != 0, data).alias("data"))
+
+
+_PIXELS = [
+    o.RASTER, "px0 AS (SELECT doc_id, page_index, pixels, len(pixels) AS n, unnest(range(len(pixels))) AS i FROM rasters WHERE page_index % 17 <> 0)",
+    "px AS (SELECT doc_id, page_index, n, i, pixels[i + 1] AS b, pixels[(i + 1) % n + 1] AS g, pixels[(i + 2) % n + 1] AS r FROM px0)",
+]
+
+
+@query("e11_image_luma_hist", *_PIXELS, "SELECT doc_id, page_index, CAST(floor(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r + 0.5::DOUBLE) AS INTEGER) AS bin, count(*) AS n FROM px GROUP BY ALL")
+def image_luma_hist(spark, d):
+    return raster.image_luma_hist(_images(spark, d))
+
+
+@query("e14_image_chroma_hist", *_PIXELS, "SELECT doc_id, page_index, CAST(floor((r - g) / 2) AS INTEGER) AS a, CAST(floor((floor((r + g) / 2) - b) / 2) AS INTEGER) AS b, count(*) AS n FROM px GROUP BY ALL")
+def image_chroma_hist(spark, d):
+    return raster.image_chroma_hist(_images(spark, d))
+
+
+@query(
+    "e10_thumbnail", *_PIXELS,
+    "tb AS (SELECT doc_id, page_index, i // 8 // 2 AS y, i % 8 // 2 AS x, CAST(round_even(avg(b), 0) AS INTEGER) AS b, CAST(round_even(avg(g), 0) AS INTEGER) AS g, CAST(round_even(avg(r), 0) AS INTEGER) AS r FROM px GROUP BY ALL)",
+    "ts AS (SELECT doc_id, page_index, string_agg(format('{:02X}{:02X}{:02X}', b, g, r), '' ORDER BY y, x) AS data, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) + 1 AS INTEGER) AS height FROM tb GROUP BY ALL)",
+    "SELECT r.doc_id, r.page_index, data IS NOT NULL AS is_valid, data, width, height FROM rasters r LEFT JOIN ts ON r.doc_id = ts.doc_id AND r.page_index = ts.page_index",
+)
+def thumbnail(spark, d):
+    return raster.thumbnail(_images(spark, d), 4).select(*PAGE, "is_valid", F.hex("data").alias("data"), "width", "height")
+
+
 # Skew
 
 
@@ -850,7 +885,7 @@ def resolve_skew(spark, d):
 
 
 def _replayed(events: DataFrame, parts: int = 4) -> DataFrame:
-    """Rows with doc_id and ts as a stream: written in the order of ts, file by file, read a file at a time. A last row without doc_id, a day later, moves the watermark past all others."""
+    """Rows with doc_id and ts as a stream: written in the order of ts, file by file, read a file at a time. Two last rows with doc_id -1, a day and two days later, move the watermark past all others: the second batch acts on what the first has moved."""
     spark, path = events.sparkSession, work_dir(events.sparkSession)
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     at = F.unix_micros("ts")
@@ -859,8 +894,9 @@ def _replayed(events: DataFrame, parts: int = 4) -> DataFrame:
         part = F.least(F.lit(parts - 1), ((at - F.lit(first)) * parts / F.lit(max(last - first, 1))).cast("int"))
         for k in range(parts):
             events.where(part == k).repartition(1).write.mode("append").parquet(path)
-        end = events.limit(1).select(*[(F.timestamp_micros(F.lit(last + 86_400_000_000)) if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in events.schema.fields])
-        end.repartition(1).write.mode("append").parquet(path)
+        for days in (1, 2):
+            end = events.limit(1).select(*[(F.timestamp_micros(F.lit(last + days * 86_400_000_000)) if f.name == "ts" else F.lit(-1 if f.name in PAGE else None).cast(f.dataType)).alias(f.name) for f in events.schema.fields])
+            end.repartition(1).write.mode("append").parquet(path)
     else:
         events.write.parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -890,7 +926,7 @@ _SIDES = [
 
 def _joined(spark, d) -> DataFrame:
     meta, ocr = map(_replayed, _sides(spark, d))
-    return _run(streams.stream_join_pages(meta, ocr)).where("doc_id IS NOT NULL")
+    return _run(streams.stream_join_pages(meta, ocr)).where("doc_id <> -1")
 
 
 @query("s1_stream_join_pages", *_SIDES, "SELECT * FROM sj")
@@ -908,14 +944,14 @@ def stalled_pages(spark, d):
 def stream_in_order_release(spark, d):
     """One page in ten never comes; a document's pages are released, each after those before it, up to its first such page."""
     events = fx.page_events(spark, d).where("kind = 'meta' AND (doc_id * 7 + page_index) % 10 <> 0").select(*PAGE, "ts")
-    return _run(streams.stream_in_order_release(_replayed(events).where("doc_id IS NOT NULL"), expire=False))
+    return _run(streams.stream_in_order_release(_replayed(events).where("doc_id <> -1"), expire=False))
 
 
 @query("s5_stream_once_per_key", "SELECT event_id, user_id, event_type FROM events")
 def stream_once_per_key(spark, d):
     """Every third event is sent twice; each comes out once."""
     e = fx.table(spark, d, "events").select(F.col("user_id").alias("doc_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    once = streams.once_per_key(_replayed(e.unionByName(e.where("event_id % 3 = 0"))).where("doc_id IS NOT NULL"), "event_id")
+    once = streams.once_per_key(_replayed(e.unionByName(e.where("event_id % 3 = 0"))).where("doc_id <> -1"), "event_id")
     return _run(once).select("event_id", F.col("doc_id").alias("user_id"), "event_type")
 
 
@@ -923,7 +959,7 @@ def stream_once_per_key(spark, d):
 def stream_split_control(spark, d):
     """Both sinks of one stream, read back."""
     rows = fx.page_events(spark, d).select("doc_id", F.when(F.col("event_id") % 29 == 0, -1).otherwise(F.col("page_index")).alias("page_index"), "event_id", "ts")
-    stream, path, checkpoint = _replayed(rows).where("doc_id IS NOT NULL"), work_dir(spark), work_dir(spark)
+    stream, path, checkpoint = _replayed(rows).where("doc_id <> -1"), work_dir(spark), work_dir(spark)
     streams.write_split(stream, f"{path}/page", f"{path}/control", checkpoint)
     read = lambda name: spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{path}/{name}").withColumn("channel", F.lit(name))
     return read("page").unionByName(read("control")).groupBy("doc_id", "channel").agg(F.count("*").alias("n"))

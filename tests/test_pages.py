@@ -146,10 +146,52 @@ def test_images(spark, tmp_path):
 def test_streams_equal_their_batch_twins(spark):
     import __spark_entry__
 
+    from scanlayout.plans import queries as plans
+
     queries, sf = __spark_entry__.queries(), "/root/testdata/sf0.001"
     joined = queries["s1_stream_join_pages"](spark, sf)
     assert joined.columns == ["doc_id", "page_index", "meta_ts", "ocr_ts", "kind"]
     assert queries["s2_stalled_pages"](spark, sf).where("meta_ts IS NULL").count() == 0
+    meta, ocr = (x.withColumn("us", F.unix_micros("ts")).collect() for x in plans._sides(spark, sf))
+    late = {(r.doc_id, r.page_index): r for r in ocr}
+    near = lambda r: (r.doc_id, r.page_index) in late and abs(late[r.doc_id, r.page_index].us - r.us) <= 120_000_000
+    wanted = sorted((r.doc_id, r.page_index, r.us, late[r.doc_id, r.page_index].us if near(r) else 0) for r in meta)
+    assert sorted((r.doc_id, r.page_index, r.meta_ts, r.ocr_ts or 0) for r in joined.collect()) == wanted and 0 < sum(w[3] == 0 for w in wanted) < len(wanted)
+
+
+def test_pages_come_out_in_order_and_stop_at_a_gap(spark):
+    from scanlayout.plans import queries as plans
+    from scanlayout.streaming import pages as streams
+
+    arrivals = [(1, 1, 0), (1, 0, 1), (2, 0, 2), (1, 3, 3), (1, 2, 4), (2, 2, 5), (1, 3, 6), (3, 1, 7)]
+    events = spark.createDataFrame(arrivals, "doc_id long, page_index int, s long").select("doc_id", "page_index", F.timestamp_seconds("s").alias("ts"))
+    out = streams.stream_in_order_release(plans._replayed(events, 8).where("doc_id <> -1"), expire=False)
+    seen = []
+    query = out.writeStream.foreachBatch(lambda batch, n: seen.extend((n, r.doc_id, r.page_index) for r in batch.collect())).option("checkpointLocation", plans.work_dir(spark)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [[p for _, d, p in seen if d == doc] for doc in (1, 2, 3)] == [[0, 1, 2, 3], [0], []]
+
+
+def test_release_stops_at_missing_and_unknown_pages(spark):
+    rows = spark.createDataFrame([(1, 1, True), (2, 0, True), (2, 2, True), (3, 0, True), (3, 1, None), (3, 2, True)], "doc_id long, page_index int, ocr_ready boolean")
+    assert values(quality.in_order_release(rows).where("released"), "doc_id", "page_index") == [(2, 0), (3, 0)]
+
+
+def test_numbers_of_a_hot_key(spark):
+    rows = spark.createDataFrame([("a", i % 50, i) for i in range(300)] + [("b", 7, 7), ("b", None, 8)], "key string, at long, i long")
+    out = values(quality.numbered(rows, "key", ["at", "i"], 8), "key", "k", "at", "i")
+    assert [r[1] for r in out] == [*range(1, 301), 1, 2] and [r[2:] for r in out[:300]] == sorted((i % 50, i) for i in range(300)) and out[300:] == [("b", 1, None, 8), ("b", 2, 7, 7)]
+
+
+def test_a_report_is_read_back_whole(spark, tmp_path):
+    from scanlayout.operators import pages as page_ops
+
+    raw = spark.createDataFrame([(1, "abc", "pixel", "90")], "job_id long, dpi string, output_page_mode string, gray_p99_limit string")
+    stats = spark.createDataFrame([(1, 0, 5, 5, 4, 1, 0, True, 0.7), (1, 1, 0, 0, 0, 0, 1, False, 0.9)], "doc_id long, page_index int, total_tokens long, attempted_inserts long, ok_inserts long, insert_errors long, fallback_stage int, ocr_fallback_used boolean, ink_ratio double")
+    files.write_quality_report(quality.quality_summary(stats), page_ops.normalize_settings(raw), stats, str(tmp_path))
+    assert values(spark.read.json(f"{tmp_path}/settings"), "dpi", "gray_p99_limit", "output_page_mode") == [(100, 80.0, "pixel")]
+    assert values(spark.read.json(f"{tmp_path}/summary"), "level", "pages", "fallback_pages", "ocr_fallback_pages", "suspected_nonblank_pages", "error_rate") == [(0, 2, 1, 1, 1, 0.2), (1, 2, 1, 1, 1, 0.2)]
+    assert values(spark.read.json(f"{tmp_path}/pages"), "page_index", "ok_inserts") == [(0, 4), (1, 0)]
 
 
 def test_empty_tables_give_empty_results(spark):
