@@ -214,3 +214,14 @@ def test_formatted_chars_and_long_turns(spark):
     parts = chat.format_turns(turns)
     out = rows(chat.read_back(parts))[0]
     assert out["formatted_chars"] == sum(len(r["formatted"]) for r in rows(parts)) and (out["n_turns"], out["loss_chars"]) == (2, 2)
+
+
+def test_chains_given_up_early_are_those_below_the_floor():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 30))
+        runs = np.stack([np.sort(rng.choice(300, n, replace=False)) + 5, rng.integers(5, 300, n), rng.integers(1, 30, n)], axis=1)
+        every = substring_dedup._chained(runs, (5, 5), 0.8, -np.inf, (400, 400))
+        floor = -float(rng.random()) * 12
+        got = substring_dedup._chained(runs, (5, 5), 0.8, floor, (400, 400))
+        assert sorted(got) == sorted(t for t in every if t[2] >= floor - 1e-6)
