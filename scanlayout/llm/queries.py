@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_id, lm_scoring, near_dedup, packing, sharding, substring_dedup, token_counts
+from . import chat, decontaminate, exact_dedup, language_id, lm_scoring, near_dedup, packing, periodic_runs, sharding, substring_dedup, token_counts
 from .common import held_out, saved, shared_dir
 
 #: A text that tries to end its turn and to open another.
@@ -85,6 +85,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(saved(packing.pieces_of(_read(spark, sf_dir, "documents"), tokenizer_path())))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents get a tail that repeats: its first p words, over and over."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h")).withColumn("g", F.expr("h div 10"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = docs.withColumn("words", words).withColumn("n", F.size("words").cast("int"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.expr("int(g % n)"))).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.expr("int((n - a + p - 1) div p)")))
+    text = F.when(F.col("n") > 0, F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n")), " ")).otherwise(F.col("text"))
+    found = periodic_runs.periodic_runs(docs.select("doc_id", text.alias("text")))
+    first = F.lit(None).cast(periodic_runs.RUN)
+    best = F.reduce("runs", first, lambda x, r: F.when(x.isNull() | (r["length"] * x["period"] > x["length"] * r["period"]), r).otherwise(x))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -96,6 +114,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLES = {
