@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, language_id, lm_scoring, near_dedup, ngram_join, packing, periodic_runs, sharding, substring_dedup, token_counts
+from . import alignment, chat, decontaminate, exact_dedup, language_id, lm_scoring, near_dedup, ngram_join, packing, periodic_runs, sharding, substring_dedup, token_counts
 from .common import held_out, saved, shared_dir
 
 #: A text that tries to end its turn and to open another.
@@ -103,6 +103,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return alignment.align(_read(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"), keep=[digest])
+
+
 def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -119,6 +126,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
