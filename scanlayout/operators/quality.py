@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rate
+from .prefix import matched, numbered, running
 
 PAGE = ["doc_id", "page_index"]
 #: Fixed value: text methods by rank; the first wins ties.
@@ -54,16 +55,31 @@ def job_outcome(jobs: DataFrame) -> DataFrame:
     return jobs.select("doc_id", outcome.alias("outcome"))
 
 
-def in_order_release(pages: DataFrame, ready: str = "ocr_ready") -> DataFrame:
-    """released: whether a page and all before it, from page 0 on, are there and ready. A null counts as not ready."""
-    order = Window.partitionBy("doc_id").orderBy("page_index")
-    here = (F.row_number().over(order) - 1 == F.col("page_index")) & F.coalesce(F.col(ready), F.lit(False))
-    return pages.withColumn("here_", here).withColumn("released", F.min("here_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("here_")
+def in_order_release(pages: DataFrame, ready: str = "ocr_ready", width: int = 256) -> DataFrame:
+    """released: whether a page and all before it, from page 0 on, are there and ready. A null counts as not ready; a page that is there more than once is ready if one of its rows is; rows without a page number are never released.
+
+    The first gap is searched by ranges of `width` page numbers: distinct ready pages of a range are counted, and only a document's
+    first range that lacks some is looked at page by page. No step holds a document's pages in one task.
+    """
+    pages = pages.withColumn("_range", F.floor(F.col("page_index") / width))
+    there = pages.where(F.coalesce(F.col(ready), F.lit(False)) & (F.col("page_index") >= 0)).select("doc_id", "_range", "page_index").distinct()
+    counts = there.groupBy("doc_id", "_range").agg(F.count("*").alias("n"))
+    full = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("n") == width, F.col("_range")))).alias("full"))
+    # ranges 0, 1, 2... are whole as long as the k-th whole range is range k; the next is the first that may have a gap
+    open_ = full.select("doc_id", F.aggregate("full", F.lit(0).cast("long"), lambda at, r: F.when(r == at, at + 1).otherwise(at)).alias("_open"))
+    short = matched(there, open_, ["doc_id"]).where(F.col("_range") == F.col("_open"))
+    inside = short.groupBy("doc_id", "_open").agg(F.array_sort(F.collect_list("page_index")).alias("p"))
+    first = F.aggregate("p", F.col("_open") * width, lambda at, x: F.when(x == at, at + 1).otherwise(at))
+    gaps = matched(open_, inside.select("doc_id", first.alias("_gap")), ["doc_id"], "left").select("doc_id", F.coalesce("_gap", F.col("_open") * width).alias("_gap"))
+    released = (F.col("page_index") >= 0) & (F.col("page_index") < F.col("_gap"))
+    return matched(pages, gaps, ["doc_id"], "left").withColumn("released", F.coalesce(released, F.lit(False))).drop("_range", "_gap")
 
 
 def progress(pages: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc_id")
-    return pages.withColumns({"done": F.row_number().over(w.orderBy("page_index")), "total": F.count("*").over(w)})
+    """done: the page's number in its document, from 1; total: the document's rows. Rows of one page number stand in any order."""
+    totals = pages.groupBy("doc_id").agg(F.count("*").alias("total"))
+    done = running(pages, ["doc_id"], ["page_index"], {"done": F.lit(1)}).withColumn("done", F.col("done").cast("int"))
+    return matched(done, totals, ["doc_id"])
 
 
 def throttle(rows: DataFrame, key: str, order: list[str], first: int = 5, nth: int = 50) -> DataFrame:
@@ -71,22 +87,6 @@ def throttle(rows: DataFrame, key: str, order: list[str], first: int = 5, nth: i
     return numbered(rows, key, order).where((F.col("k") <= first) | (F.col("k") % nth == 0))
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], ranges: int = 64) -> DataFrame:
-    """k: the row's number within its key, from 1. Rows are numbered within (key, range of the first order column), and a range starts where those before it end, so no task holds a hot key.
-
-    Ranges are equal parts from the column's least to its greatest value (of its seconds, if it is a timestamp); the table of
-    their sizes has a row for each key and range, and is joined by merge join.
-    """
-    at = F.unix_micros(F.col(order[0]).cast("timestamp")) if dict(rows.dtypes)[order[0]].startswith("timestamp") else F.col(order[0]).cast("double")
-    low, high = rows.agg(F.min(at), F.max(at)).first()
-    part = F.least(F.lit(ranges - 1), ((at - F.lit(low)) * ranges / F.lit(max(high - low, 1))).cast("int")) if high is not None else F.lit(0)
-    rows = rows.withColumn("part_", F.when(at.isNull(), F.lit(-1)).otherwise(part))
-    before = Window.partitionBy(key).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(key, "part_").count().withColumn("start_", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inner = F.row_number().over(Window.partitionBy(key, "part_").orderBy(*order))
-    return rows.withColumn("k_", inner).join(starts.hint("merge"), [key, "part_"]).withColumn("k", (F.col("start_") + F.col("k_")).cast("int")).drop("part_", "k_", "start_")
-
-
 def once_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key."""
     columns = [c for c in rows.columns if c != key]

@@ -603,13 +603,18 @@ def job_outcome(spark, d):
 
 
 @query(
-    "w6_in_order_release", o.PAGES, "rl AS (SELECT doc_id, page_index, CASE WHEN part % 19 <> 0 THEN ocr_ready END AS ready, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS k FROM pm WHERE part % 23 <> 0)",
-    "SELECT doc_id, page_index, bool_and(coalesce(ready, false) AND k = page_index) OVER (PARTITION BY doc_id ORDER BY page_index ROWS UNBOUNDED PRECEDING) AS released FROM rl",
+    "w6_in_order_release", o.PAGES,
+    "rl AS (SELECT doc_id, CASE WHEN part % 29 <> 3 THEN page_index END AS page_index, part, supp, CASE WHEN part % 19 <> 0 THEN ocr_ready END AS ready FROM pm WHERE part % 23 <> 0 UNION ALL SELECT doc_id, page_index, part, supp, supp % 2 = 0 FROM pm WHERE part % 6 = 1)",
+    "rk AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS k FROM (SELECT DISTINCT doc_id, page_index FROM rl WHERE ready AND page_index >= 0))",
+    "gap AS (SELECT doc_id, count(*) FILTER (k = page_index) AS first FROM rk GROUP BY doc_id)",
+    "SELECT doc_id, page_index, part, coalesce(page_index < first, false) AS released FROM rl LEFT JOIN gap USING (doc_id)",
 )
 def in_order_release(spark, d):
-    """Some pages are missing, of others it isn't known whether they are ready."""
-    m = fx.page_meta(spark, d).where("part % 23 <> 0").withColumn("ocr_ready", F.when(F.col("part") % 19 != 0, F.col("ocr_ready")))
-    return quality.in_order_release(m).select(*PAGE, "released")
+    """Some pages are missing, some come twice, of others it isn't known which they are or whether they are ready."""
+    m = fx.page_meta(spark, d)
+    there = m.where("part % 23 <> 0").withColumns({"ocr_ready": F.when(F.col("part") % 19 != 0, F.col("ocr_ready")), "page_index": F.when(F.col("part") % 29 != 3, F.col("page_index"))})
+    again = m.where("part % 6 = 1").withColumn("ocr_ready", F.col("supp") % 2 == 0)
+    return quality.in_order_release(there.unionByName(again), width=4).select(*PAGE, "part", "released")
 
 
 @query("w7_progress", o.PAGES, "SELECT doc_id, page_index, CAST(page_index + 1 AS INTEGER) AS done, CAST(total_pages AS BIGINT) AS total FROM pm")
@@ -644,20 +649,23 @@ def verify_files(spark, d):
     return names.verify_files(p.where("name % 13 <> 0"), manifest)
 
 
-_WANTED = "wd AS (SELECT doc_id AS seq, lang || '_' || source AS stem FROM documents), ex AS (SELECT stem || '.pdf' AS form FROM wd WHERE seq % 10 = 0 UNION SELECT stem || '(1).pdf' FROM wd WHERE seq % 10 = 0)"
+_WANTED = """wd AS (SELECT doc_id AS seq, source AS stem, CASE WHEN doc_id % 5 = 1 THEN '(1)' WHEN doc_id % 7 = 2 THEN '(1)(1)' WHEN doc_id % 9 = 4 THEN '(3)' WHEN doc_id % 31 = 6 THEN '(3)(2)' ELSE '' END AS mark FROM documents),
+ex AS (SELECT DISTINCT stem || m || '.pdf' AS form FROM wd, (SELECT unnest(['', '(2)', '(1)(1)']) AS m) WHERE seq % 40 = 0),
+wq AS (SELECT seq, stem || mark AS stem, row_number() OVER (ORDER BY seq) AS k, count(*) OVER (PARTITION BY stem) + 4 AS room FROM wd)"""
 
 
 @query(
-    "a7_allocate_names", _WANTED,
-    "ask AS (SELECT seq, stem, row_number() OVER (PARTITION BY stem ORDER BY seq) AS k FROM wd), fr AS (SELECT stem, unnest(range(count(*) + 3)) AS i FROM wd GROUP BY stem)",
-    "fm AS (SELECT stem, i, CASE WHEN i = 0 THEN stem || '.pdf' ELSE stem || '(' || i || ').pdf' END AS form FROM fr), fk AS (SELECT stem, form, row_number() OVER (PARTITION BY stem ORDER BY i) AS k FROM fm WHERE form NOT IN (SELECT form FROM ex))",
-    "SELECT seq, form AS out_name FROM ask JOIN fk USING (stem, k)",
+    "a7_allocate_names", "RECURSIVE " + _WANTED,
+    """took AS (SELECT 0::BIGINT AS k, 0::BIGINT AS seq, '' AS out_name, coalesce((SELECT list(form) FROM ex), []) AS taken UNION ALL
+      SELECT k, seq, form, list_append(taken, form) FROM (SELECT q.k, q.seq, t.taken, list_filter(list_prepend(q.stem || '.pdf', list_transform(range(1, q.room), lambda i: q.stem || '(' || i || ').pdf')), lambda f: NOT list_contains(t.taken, f))[1] AS form FROM took t JOIN wq q ON q.k = t.k + 1))""",
+    "SELECT seq, out_name FROM took WHERE k > 0",
 )
 def allocate_names(spark, d):
-    w = fx.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.concat_ws("_", "lang", "source").alias("stem"))
-    old = w.where("seq % 10 = 0")
-    existing = old.select(F.concat("stem", F.lit(".pdf")).alias("name")).unionByName(old.select(F.concat("stem", F.lit("(1).pdf")).alias("name")))
-    return names.allocate_names(w.select("seq", F.concat("stem", F.lit(".pdf")).alias("name")), existing)
+    """Names, forms of names and forms of forms, in the order of seq; the SQL takes them one by one."""
+    mark = F.expr("CASE WHEN doc_id % 5 = 1 THEN '(1)' WHEN doc_id % 7 = 2 THEN '(1)(1)' WHEN doc_id % 9 = 4 THEN '(3)' WHEN doc_id % 31 = 6 THEN '(3)(2)' ELSE '' END")
+    w = fx.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("stem"), mark.alias("mark"))
+    existing = w.where("seq % 40 = 0").select(F.explode(F.array(*[F.concat("stem", F.lit(f"{m}.pdf")) for m in ("", "(2)", "(1)(1)")])).alias("name"))
+    return names.allocate_names(w.select("seq", F.concat("stem", "mark", F.lit(".pdf")).alias("name")), existing)
 
 
 @query(
