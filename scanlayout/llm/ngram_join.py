@@ -7,24 +7,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ROW_KEY, carried, components, forget, mix, saved, windows, with_row_key, word_hashes
 from .near_dedup import _sides, slices
 
-#: Hashed words, and hashed shingles, of which document counts are kept: the tables' size is fixed, so they may be broadcast.
+#: Hashed words of which document counts are kept, and the most frequent shingles that are told apart: fixed sizes, so both may be broadcast.
 SLOTS = 1 << 18
+MOST_FREQUENT = 1 << 19
 _FREQUENT = 1 << 40
 RESULT = ["doc_id", "n_shingles", "component_id"]
 
 
 @dataclass(frozen=True)
 class Params:
-    """Words in a shingle; least similarity in percent; the largest set whose frequent shingles are indexed by pairs, larger ones index them singly."""
+    """Words in a shingle; least similarity in percent; texts that make a key frequent; the largest set whose frequent shingles are indexed by pairs, larger ones index them singly."""
 
     width: int = 3
     percent: int = 90
+    frequent: int = 16
     pairs_up_to: int = 320
 
     def overlap(self, n: np.ndarray) -> np.ndarray:
@@ -37,37 +39,51 @@ class Params:
 
 @dataclass(frozen=True)
 class Frequencies:
-    """rarity: by slot of hashed words, 1000 ln(documents + 1); shingles: documents by slot of hashed shingles; those of slots with more than `frequent` are frequent."""
+    """rarity: by slot of hashed words, 1000 ln(documents + 1). frequent: sorted keys of the shingles that are."""
 
     rarity: np.ndarray
-    shingles: np.ndarray
-    frequent: float
+    frequent: np.ndarray
 
     def order(self, shingles: np.ndarray, words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Where shingles stand in the order that all texts share (then by hash): by how rare their words are, but frequent ones after all others, by count."""
+        """Where shingles stand in the order that all texts share (then by hash): by how rare their words are, but frequent ones after all others."""
         sums = np.concatenate([[0], np.cumsum(self.rarity[(words % np.uint64(SLOTS)).astype(np.int64)])])
-        count = self.shingles[(shingles % np.uint64(SLOTS)).astype(np.int64)]
-        return np.where(count > self.frequent, _FREQUENT + count, sums[at + size] - sums[at])
+        rank = sums[at + size] - sums[at]
+        if len(self.frequent):
+            keys = mix(shingles)
+            where = np.minimum(np.searchsorted(self.frequent, keys), len(self.frequent) - 1)
+            rank = np.where(self.frequent[where] == keys, _FREQUENT + rank, rank)
+        return rank
 
 
-def frequencies(docs: DataFrame, width: int, text: str = "text") -> Frequencies:
-    """Counts over all documents. A task sends a row per slot at most; 2 SLOTS rows at most reach the driver."""
+def word_rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """1000 ln(documents + 1) of each slot of hashed words, over all documents. A task sends SLOTS rows at most, and as many reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(2 * SLOTS, dtype=np.int64)
+        df = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, 0):
                 hashes, counts = word_hashes(part.column(0).to_pylist())
-                for base, (values, many) in ((0, (hashes, counts)), (SLOTS, windows(hashes, counts, width))):
-                    own = np.repeat(np.arange(len(many)), many) * SLOTS + (values % np.uint64(SLOTS)).astype(np.int64)
-                    df[base : base + SLOTS] += np.bincount(np.unique(own) % SLOTS, minlength=SLOTS)
+                own = np.repeat(np.arange(len(counts)), counts) * SLOTS + (hashes % np.uint64(SLOTS)).astype(np.int64)
+                df += np.bincount(np.unique(own) % SLOTS, minlength=SLOTS)
         slots = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(df[slots])], names=["slot", "df"])
 
     rows = docs.select(F.col(text)).mapInArrow(count, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(2 * SLOTS, dtype=np.int64)
+    df = np.zeros(SLOTS, dtype=np.int64)
     df[rows["slot"].to_numpy()] = rows["df"].to_numpy()
-    return Frequencies(np.round(1000 * np.log(df[:SLOTS] + 1)).astype(np.int64), df[SLOTS:], 2 * df[SLOTS:].mean() + 64)
+    return np.round(1000 * np.log(df + 1)).astype(np.int64)
+
+
+def frequent_keys(counts: DataFrame, least: int) -> np.ndarray:
+    """Sorted keys of counts (bucket, count) with `least` texts or more, or, if there are more than MOST_FREQUENT of them, with the next power of two that leaves no more."""
+    by_power = counts.where(F.col("count") >= least).groupBy(F.floor(F.log2("count")).cast("int").alias("power")).count().collect()  # 64 rows at most
+    total = 0
+    for row in sorted(by_power, key=lambda r: -r["power"]):
+        total += row["count"]
+        if total > MOST_FREQUENT:
+            least = 2 ** (row["power"] + 1)
+            break
+    return np.sort(counts.where(F.col("count") >= least).select("bucket").toArrow()["bucket"].to_numpy().view(np.uint64))
 
 
 def sets(texts: Sequence[str | None], known: Frequencies | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +183,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     return _sides(pairs, texts, "text").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def _unsettled(spokes: DataFrame, classes: DataFrame, params: Params, small: int = 64) -> DataFrame:
+    """(a, b, class) of spokes (bucket, a, b, n, count) whose bucket holds, its hub aside, texts of several classes; in small buckets only those that a text of fitting size stands next to by size."""
+    classed = spokes.where("count > 2").join(classes.select(F.col("node").alias("a"), F.col("component").alias("class")).hint("merge"), "a", "left").select("bucket", "a", "b", "n", "count", F.coalesce("class", "a").alias("class"))
+    classed = saved(classed)
+    mixed = classed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
+    open_ = classed.join(mixed.hint("merge"), "bucket", "left_semi")
+    by_size = Window.partitionBy("bucket").orderBy("n", "a")
+    fits = (F.lag("n").over(by_size) * 100 >= F.col("n") * params.percent) | (F.lead("n").over(by_size) * params.percent <= F.col("n") * 100)
+    few = open_.where(F.col("count") <= small).withColumn("fits", fits).where("fits")
+    return open_.where(F.col("count") > small).select("a", "b", "class").unionByName(few.select("a", "b", "class")).distinct()
+
+
 def _rest(compared: DataFrame, texts: DataFrame, known, params: Params) -> DataFrame:
     """Pairs (a, b) of different classes among texts (a, class) that were compared with one hub (b): all that can be similar enough.
 
@@ -214,34 +242,46 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), doc_id: str =
     doc_id is never the smallest, but where all are null. Empty table: empty result. Carried columns may have any names but those
     of the result (ValueError).
 
-    All pairs that can be similar share a key (index_keys). Texts of a key are compared with one hub, the one with most company in
+    All pairs that can be similar share a key (index_keys): first with all shingles taken as rare; then those texts are indexed again in
+    whose prefixes shingles turned out frequent (`frequent` texts or more), with these last and in pairs. Texts of a key are compared with one hub, the one with most company in
     its keys; what was compared with one hub and then lies in several classes meets by prefixes of what the hub lacks (_rest). So
     no link between different components is lost, and no key's texts are paired with one another.
     """
     spark = docs.sparkSession
     pack, unpack = carried(carry, RESULT)
     keyed = with_row_key(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *pack))
-    known = spark.sparkContext.broadcast(frequencies(keyed, params.width))
+    rarity = word_rarity(keyed)
     row = ["doc_id", *ROW_KEY, *(["carried_"] if carry else [])]
-    indexed = saved(_indexed(keyed.select("text", *row), known, params))
+    indexed = saved(_indexed(keyed.select("text", *row), spark.sparkContext.broadcast(Frequencies(rarity, np.zeros(0, dtype=np.uint64))), params))
     reps = indexed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct(*ROW_KEY)).alias("rep")).withColumn("rid", F.monotonically_increasing_id())
     reps = saved(reps.select("k1", "k2", "n", "rid", *[F.col(f"rep.{c}").alias(c) for c in ROW_KEY]))
-    listed = indexed.where("size(keys) > 0").select(*ROW_KEY, "keys").join(reps.select("rid", *ROW_KEY).hint("merge"), ROW_KEY)
-    banded = saved(listed.select("rid", F.explode("keys").alias("bucket")))
-    shared = banded.groupBy("bucket").count().where("count > 1")
-    members = saved(banded.join(shared.hint("merge"), "bucket"))
+    where = reps.select("rid", "n", *ROW_KEY)
+    listed = indexed.where("size(keys) > 0").select(*ROW_KEY, "keys").join(where.hint("merge"), ROW_KEY)
+    banded = saved(listed.select("rid", "n", F.explode("keys").alias("bucket")))
+    counts = saved(banded.groupBy("bucket").count().where("count > 1"))
+    known = spark.sparkContext.broadcast(Frequencies(rarity, frequent_keys(counts, params.frequent)))
+    if len(known.value.frequent):  # texts that have frequent shingles in their prefix are indexed again, with these last
+        hot = saved(banded.join(counts.where(F.col("count") >= params.frequent).select("bucket").hint("merge"), "bucket", "left_semi").select("rid").distinct())
+        hot_texts = keyed.select("text", *ROW_KEY).join(where.join(hot.hint("merge"), "rid", "left_semi").hint("merge"), ROW_KEY).select("text", "rid", F.col("n").alias("size"))
+        again = _indexed(hot_texts, known, params).select("rid", F.col("size").alias("n"), F.explode("keys").alias("bucket"))
+        both = saved(banded.join(hot.hint("merge"), "rid", "left_anti").unionByName(again))
+        forget(banded, counts, hot)
+        banded = both
+        counts = saved(banded.groupBy("bucket").count().where("count > 1"))
+    members = saved(banded.join(counts.hint("merge"), "bucket"))
+    forget(banded, counts)
     company = members.groupBy("rid").agg(F.sum("count").alias("company"))
     hubs = saved(members.join(company.hint("merge"), "rid").groupBy("bucket").agg(F.max_by("rid", F.struct("company", "rid")).alias("b")))
-    compared = saved(members.select("bucket", F.col("rid").alias("a")).join(hubs.hint("merge"), "bucket").where("a != b").select("a", "b").distinct())
-    forget(banded, hubs)
-    wanted = saved(members.select("rid").distinct().join(reps.select("rid", *ROW_KEY).hint("merge"), "rid").select("rid", *ROW_KEY))
+    spokes = saved(members.withColumnRenamed("rid", "a").join(hubs.hint("merge"), "bucket").where("a != b"))
+    forget(hubs)
+    compared = spokes.select("a", "b").distinct()
+    wanted = saved(members.select("rid").distinct().join(where.select("rid", *ROW_KEY).hint("merge"), "rid").select("rid", *ROW_KEY))
     texts = saved(keyed.select("text", *ROW_KEY).join(wanted.hint("merge"), ROW_KEY).select("rid", "text"))
+    forget(members, wanted)
     fitting = saved(_fitting(compared, reps, params))
     found = saved(_verified(fitting, texts, params))
     classes = components(found)
-    classed = compared.join(classes.select(F.col("node").alias("a"), F.col("component").alias("class")).hint("merge"), "a", "left").select("a", "b", F.coalesce("class", "a").alias("class"))
-    split = saved(classed.groupBy("b").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("b"))
-    rest = _rest(classed.join(split.hint("merge"), "b", "left_semi"), texts, known, params)
+    rest = _rest(_unsettled(spokes, classes, params), texts, known, params)
     more = saved(_verified(rest, texts, params))
     if more.limit(1).count():
         forget(classes)
@@ -249,7 +289,7 @@ def jaccard_components(docs: DataFrame, params: Params = Params(), doc_id: str =
     linked = saved(reps.select("k1", "k2", "n", "rid").join(classes.hint("merge"), F.col("rid") == F.col("node"), "left").select("k1", "k2", "n", F.coalesce("component", "rid").alias("class")))
     rows = saved(indexed.where("n > 0").select(*row, "n", "k1", "k2").join(linked.hint("merge"), ["k1", "k2", "n"]).drop("k1", "k2"))
     least = saved(rows.groupBy("class").agg(F.min("doc_id").alias("component_id")))
-    forget(members, compared, wanted, texts, fitting, found, split, rest, more, linked, classes, reps)
+    forget(spokes, texts, fitting, found, rest, more, linked, classes, reps)
     out = rows.join(least.hint("merge"), "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *unpack)
     alone = indexed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *unpack)
     return out.unionByName(alone)
