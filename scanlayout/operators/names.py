@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.work import work_dir
+from ..sources.work import work_dir, written
 from .prefix import numbered, running
 
 
@@ -27,11 +27,6 @@ _FORM = r"(?s)^(.*)\(([1-9][0-9]{0,17})\)(\.[^./]*)?$"
 _PARTS = r"(?s)^((?:.*/)?\.*[^./][^/]*?)(\.[^./]*)?$"
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _origin(name: str) -> tuple[Column, Column]:
     """The name that a form is numbered from, and its number; null for a name that is no form."""
     number = F.regexp_extract(name, _FORM, 2)
@@ -51,13 +46,13 @@ def allocate_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """
     path = work_dir(wanted.sparkSession)
     base, number = _origin("name")
-    asked = _written(numbered(wanted.where("name IS NOT NULL").select("seq", "name"), "name", ["seq"]), f"{path}/asked")
+    asked = written(numbered(wanted.where("name IS NOT NULL").select("seq", "name"), "name", ["seq"]), f"{path}/asked")
     firsts = asked.where("k = 1").select("name", F.col("seq").alias("first"))
     taken = existing.where("name IS NOT NULL").select("name").distinct().withColumn("exists", F.lit(True))
     known = firsts.join(taken.hint("merge"), "name", "full").select("name", "first", F.coalesce("exists", F.lit(False)).alias("exists"), base.alias("origin"), number.alias("number"))
     known = known.join(firsts.select(F.col("name").alias("origin"), F.lit(True).alias("wanted")).hint("merge"), "origin", "left")
     deep = F.when(F.col("wanted"), F.size(F.regexp_extract_all("name", F.lit(r"\([1-9][0-9]*\)"), F.lit(0)))).otherwise(0)
-    known = _written(known.select("name", "first", "exists", *[F.when(F.col("wanted"), F.col(c)).alias(c) for c in ("origin", "number")], deep.alias("depth")), f"{path}/known")
+    known = written(known.select("name", "first", "exists", *[F.when(F.col("wanted"), F.col(c)).alias(c) for c in ("origin", "number")], deep.alias("depth")), f"{path}/known")
     depths = [r[0] for r in known.where("first IS NOT NULL").select("depth").distinct().orderBy("depth").collect()]  # no more than a name has brackets
     out, lost = [], known.where("exists").select("name")  # names that exist, or went to their origin before they were asked for
     for turn, depth in enumerate(depths):
@@ -68,7 +63,7 @@ def allocate_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
         gone = gone.unionByName(forms.where("exists").select(F.col("origin").alias("name"), F.col("number").alias("i")))
         rivals = forms.where("NOT exists").select(F.col("origin").alias("name"), F.col("number").alias("i"), F.col("name").alias("form"), F.col("first").alias("seq"))
         passed = _passed_over(mine, gone, rivals, f"{path}/{turn}")
-        given = _written(_given(mine, gone.unionByName(passed.select("name", "i"))), f"{path}/{turn}/given")
+        given = written(_given(mine, gone.unionByName(passed.select("name", "i"))), f"{path}/{turn}/given")
         out.append(given.select("seq", F.col("form").alias("out_name")))
         used = given.where("i > 0").select(F.col("form").alias("name"), F.col("seq").alias("by"))
         lost = lost.unionByName(used.join(firsts.hint("merge"), "name").where("by < first").select("name"))
@@ -86,7 +81,7 @@ def _passed_over(asked: DataFrame, gone: DataFrame, rivals: DataFrame, path: str
     places = counted.select("name", "i", "n", F.lit(0).alias("gone")).unionByName(gone.select("name", "i", F.lit(None).cast("long").alias("n"), F.lit(1).alias("gone")))
     free = running(places, ["name"], ["i"], {"g": F.col("gone")}).where("gone = 0").select("name", "i", (F.col("i") + 1 - F.col("g") - F.col("n")).alias("d"), F.lit(False).alias("over"))
     for turn in count():
-        free = _written(free, f"{path}/over{turn}")
+        free = written(free, f"{path}/over{turn}")
         if turn and not free.where("changed").limit(1).count():
             return free.where("over")
         before = running(free.select("name", "i", "d", "over"), ["name"], ["i"], {"m": F.col("over").cast("long")})

@@ -508,17 +508,28 @@ def _tries(spark, d, stages=(0, 1, 2)):
     return reduce(DataFrame.unionByName, [fx.attempts(t, s) for s in stages])
 
 
+_PLACED = f"""pl AS (SELECT doc_id, page_index, count(*) FILTER (style = 'run') AS vertical_tokens, count(*) FILTER (style = 'run') AS vrun_samples, coalesce(avg(xscale) FILTER (style = 'run'), 0) AS vrun_xscale_mean, max(xscale) FILTER (style = 'run') AS vrun_xscale_max, min(xscale) FILTER (style = 'run') AS vrun_xscale_min,
+  count(*) FILTER (style <> 'run') AS horizontal_tokens, CAST(coalesce(sum(length(text)) FILTER (style = 'run'), 0) AS BIGINT) AS vertical_chars, CAST(coalesce(sum(length(text) - length(translate(text, '{fc.PUNCTUATION + fc.TURNED}', ''))) FILTER (style = 'run'), 0) AS BIGINT) AS vertical_exception_chars,
+  coalesce(avg(ratio) FILTER (style = 'run'), 0) AS vrun_target_ratio_mean, min(ratio) FILTER (style = 'run') AS vrun_target_ratio_min, max(ratio) FILTER (style = 'run') AS vrun_target_ratio_max FROM plan LEFT JOIN (SELECT doc_id, page_index, seq, CASE WHEN bh > 1e-6 THEN target / bh ELSE 1 END AS ratio FROM r1) USING (doc_id, page_index, seq) GROUP BY ALL)"""
+_WHOLE, _MEANS = ["vertical_tokens", "horizontal_tokens", "vertical_chars", "vertical_exception_chars", "vrun_samples"], [f"vrun_{x}_{f}" for x in ("xscale", "target_ratio") for f in ("mean", "min", "max")]
+_COUNTS = f"{', '.join(_WHOLE)}, {_r(*_MEANS)}"
+
+
+def _counted() -> list:
+    return [*_WHOLE, *r(*_MEANS)]
+
+
 @query(
     "d9_page_stats", *_PLACE, _P1, _P2, _TRIES,
     "plan AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)",
     "st AS (SELECT doc_id, page_index, count(*) AS attempted_inserts, count(*) FILTER (ok) AS ok_inserts, count(*) FILTER (NOT ok) AS insert_errors FROM att WHERE stage = 0 GROUP BY ALL)",
-    "pl AS (SELECT doc_id, page_index, count(DISTINCT seq) FILTER (style = 'run' OR rotate = 270) AS vertical_tokens, count(*) FILTER (style = 'run') AS vrun_samples, coalesce(avg(xscale) FILTER (style = 'run'), 0) AS vrun_xscale_mean, max(xscale) FILTER (style = 'run') AS vrun_xscale_max, min(xscale) FILTER (style = 'run') AS vrun_xscale_min, count(*) FILTER (style <> 'run' AND rotate <> 270) AS horizontal_tokens, CAST(coalesce(sum(length(text)) FILTER (style = 'run'), 0) AS BIGINT) AS vertical_chars, CAST(coalesce(sum(length(text) - length(translate(text, '" + fc.PUNCTUATION + fc.TURNED + "', ''))) FILTER (style = 'run'), 0) AS BIGINT) AS vertical_exception_chars FROM plan GROUP BY ALL)",
-    f"SELECT doc_id, page_index, total_tokens, attempted_inserts, ok_inserts, insert_errors, {_RATES}, vertical_tokens, horizontal_tokens, vertical_chars, vertical_exception_chars, vrun_samples, {_r('vrun_xscale_mean', 'vrun_xscale_min', 'vrun_xscale_max')} FROM (SELECT doc_id, page_index, count(*) AS total_tokens FROM mtokens GROUP BY ALL) JOIN st {o.J} JOIN pl {o.J}",
+    _PLACED,
+    f"SELECT doc_id, page_index, total_tokens, skipped_empty, body_rect_used, attempted_inserts, ok_inserts, insert_errors, {_RATES}, {_COUNTS} FROM (SELECT doc_id, page_index, count(*) AS total_tokens, 0::BIGINT AS skipped_empty FROM mtokens GROUP BY ALL) JOIN st {o.J} JOIN pl {o.J} JOIN (SELECT doc_id, page_index, bool_or(bx0 IS NOT NULL) AS body_rect_used FROM zoned GROUP BY ALL) {o.J}",
 )
 def page_stats(spark, d):
     t, up = _to_place(spark, d)
-    out = placement.page_stats(fx.tokens(spark, d), placement.placement_plan(t, up), _tries(spark, d, (0,)))
-    return out.select(*PAGE, "total_tokens", "attempted_inserts", "ok_inserts", "insert_errors", *r("error_rate", "ok_rate", places=6), "vertical_tokens", "horizontal_tokens", "vertical_chars", "vertical_exception_chars", "vrun_samples", *r("vrun_xscale_mean", "vrun_xscale_min", "vrun_xscale_max"))
+    out = placement.page_stats(t, placement.placement_plan(t, up), _tries(spark, d, (0,)))
+    return out.select(*PAGE, "total_tokens", "skipped_empty", "body_rect_used", "attempted_inserts", "ok_inserts", "insert_errors", *r("error_rate", "ok_rate", places=6), *_counted())
 
 
 @query(
@@ -543,6 +554,43 @@ def fallback_stage(spark, d):
     return placement.fallback_stage(fx.tokens(spark, d), _tries(spark, d))
 
 
+_DRAWN = "(doc_id * 7 + seq * 13 + char_no * 3 + stage * 5) % CASE WHEN stage < 2 AND (doc_id + page_index) % (4 * (stage + 1)) = 0 THEN 23 ELSE 97 END <> 0"
+_REASON = "CASE WHEN n >= 30 AND (n - k) / n >= 0.02::DOUBLE THEN 'error_rate=' || format('{:.3f}', (n - k) / n) WHEN n >= 30 AND k / n <= 0.9::DOUBLE THEN 'ok_rate=' || format('{:.3f}', k / n) WHEN n = 0 THEN 'no_attempts' END"
+_SUMS = "count(*) AS n, count(*) FILTER (ok) AS k, round(sum(point_x) + 1e-5::DOUBLE, 3) AS sum_x, round(sum(point_y) + 1e-5::DOUBLE, 3) AS sum_y, round(sum(fontsize) + 1e-5::DOUBLE, 3) AS sum_size, round(sum(xscale) + 1e-5::DOUBLE, 3) AS sum_scale, CAST(sum(rotate) AS BIGINT) AS sum_turn"
+_STAGED = [
+    _P1, _P2, _P3, _P1.replace("p1 AS", "q1 AS").replace("page_xscale AS xscale", "1::DOUBLE AS xscale"), _STAGE2[0].replace("q1 AS", "q2 AS"),
+    f"""dr0 AS (SELECT *, 0 AS stage FROM p1 UNION ALL SELECT *, 0 FROM p2 UNION ALL SELECT *, 1 FROM q1 UNION ALL SELECT *, 1 FROM p3 UNION ALL SELECT *, 2 FROM q2 UNION ALL SELECT doc_id, page_index, seq, char_no, point_x, point_y, text, fontsize, rotate, 1::DOUBLE, style, 2 FROM p2),
+    dr AS (SELECT doc_id, page_index, stage, {_SUMS} FROM (SELECT *, {_DRAWN} AS ok FROM dr0) GROUP BY ALL), dw AS (SELECT *, {_REASON} AS why FROM dr)""",
+]
+
+
+@query(
+    "p5_staged_plan", *_PLACE, *_STAGED,
+    "en AS (SELECT a.doc_id, a.page_index, CASE WHEN a.why IS NULL THEN 0 WHEN b.why IS NULL THEN 1 ELSE 2 END AS stage, CASE WHEN a.why IS NULL THEN '' WHEN b.why IS NULL THEN a.why ELSE a.why || ' -> ' || b.why END AS fallback_reason FROM dw a JOIN dw b USING (doc_id, page_index) WHERE a.stage = 0 AND b.stage = 1)",
+    "SELECT doc_id, page_index, stage AS fallback_stage, fallback_reason, n AS attempted_inserts, k AS ok_inserts, n AS instructions, sum_x, sum_y, sum_size, sum_scale, sum_turn FROM en JOIN dw USING (doc_id, page_index, stage)",
+)
+def staged_plan(spark, d):
+    """All pages are placed and drawn; those that went badly are placed and drawn again, under stage 1, and then under stage 2."""
+    tokens, up = _to_place(spark, d)
+    draw = lambda plan: plan.withColumn("ok", F.expr(_DRAWN))
+    plan, stats = placement.staged_plan(tokens, up, draw)
+    sums = {"sum_x": "point_x", "sum_y": "point_y", "sum_size": "fontsize", "sum_scale": "xscale"}
+    drawn = plan.groupBy(*PAGE).agg(F.count("*").alias("instructions"), *[F.round(F.sum(c) + 1e-5, 3).alias(n) for n, c in sums.items()], F.sum("rotate").alias("sum_turn"))
+    return stats.select(*PAGE, "fallback_stage", "fallback_reason", "attempted_inserts", "ok_inserts").join(drawn.hint("merge"), PAGE)
+
+
+_WIDE = "CASE WHEN unicode(c) % 7 <> 0 THEN 0.5::DOUBLE + unicode(c) % 50 / 100 ELSE 1 END"
+
+
+@query("p2_run_widths", *_PLACE, _P2.replace("len * fs AS base", f"list_sum(list_transform(string_split(text, ''), lambda c: {_WIDE})) * fs AS base"), f"SELECT {_SHOW} FROM p2")
+def run_widths(spark, d):
+    """Runs whose texts are as wide as their characters; some characters have no width."""
+    t, up = _to_place(spark, d)
+    chars = fx.table(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct()
+    widths = chars.where(F.ascii("ch") % 7 != 0).select("ch", (F.lit(0.5) + F.ascii("ch") % 50 / 100).alias("width"))
+    return _shown(placement.place_vertical_run(t.where(up), widths=widths))
+
+
 def _stats(spark, d):
     tries = _tries(spark, d, (0,)).groupBy(*PAGE).agg(F.count("*").alias("attempted_inserts"), F.count_if("ok").alias("ok_inserts"), F.count_if(~F.col("ok")).alias("insert_errors"))
     stage = placement.fallback_stage(fx.tokens(spark, d), _tries(spark, d)).select(*PAGE, "fallback_stage")
