@@ -12,7 +12,7 @@ from ..functions import columns as fc
 from ..operators import names, pages, placement, quality, raster, reading, skew, words
 from ..sources import files
 from ..sources import fixtures as fx
-from ..sources.work import work_dir
+from ..sources.work import work_dir, written
 from ..streaming import pages as streams
 from . import oracle as o
 from .oracle import sql
@@ -940,22 +940,24 @@ def resolve_skew(spark, d):
 # Streams
 
 
-def _replayed(events: DataFrame, parts: int = 4) -> DataFrame:
-    """Rows with doc_id and ts as a stream: written in the order of ts, file by file, read a file at a time. Two last rows with doc_id -1, a day and two days later, move the watermark past all others: the second batch acts on what the first has moved."""
+def _replayed(events: DataFrame, parts: int = 4, end_days: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Rows with doc_id and ts as a stream: written in `parts` slices by ts, each in as many files as its rows need, and read a slice at a time. Last rows with doc_id -1, some days later, move the watermark past all others: the second batch acts on what the first has moved."""
     spark, path = events.sparkSession, work_dir(events.sparkSession)
-    low, high = events.agg(F.min("ts"), F.max("ts")).first()
     at = F.unix_micros("ts")
-    if high is not None:
-        first, last = events.agg(F.min(at), F.max(at)).first()
-        part = F.least(F.lit(parts - 1), ((at - F.lit(first)) * parts / F.lit(max(last - first, 1))).cast("int"))
-        for k in range(parts):
-            events.where(part == k).repartition(1).write.mode("append").parquet(path)
-        for days in (1, 2):
-            end = events.limit(1).select(*[(F.timestamp_micros(F.lit(last + days * 86_400_000_000)) if f.name == "ts" else F.lit(-1 if f.name in PAGE else None).cast(f.dataType)).alias(f.name) for f in events.schema.fields])
-            end.repartition(1).write.mode("append").parquet(path)
-    else:
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    if last is None:
         events.write.parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        return spark.readStream.schema(events.schema).parquet(path)
+    part = F.least(F.lit(parts - 1), ((at - F.lit(first)) * parts / F.lit(max(last - first, 1))).cast("int"))
+    sliced = written(events.withColumn("_slice", part), work_dir(spark))
+    sizes = [row["count"] for row in sliced.groupBy("_slice").count().collect()]  # one row a slice
+    n = max(1, min(min(sizes) // 10_000, spark.sparkContext.defaultParallelism))
+    for k in range(parts):
+        sliced.where(F.col("_slice") == k).drop("_slice").repartition(n).write.mode("append").parquet(path)
+    for days in end_days:
+        values = [(F.timestamp_micros(F.lit(last + days * 86_400_000_000)) if f.name == "ts" else F.lit({"doc_id": -1, "page_index": 0}.get(f.name)).cast(f.dataType)).alias(f.name) for f in events.schema.fields]
+        spark.range(0, n, 1, n).select(*values).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -996,11 +998,19 @@ def stalled_pages(spark, d):
     return streams.stalled_pages(_joined(spark, d)).withColumn("meta_ts", F.unix_micros("meta_ts"))
 
 
-@query("s3_stream_in_order_release", o.EVENTS, "sr AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS k FROM page_events WHERE kind = 'meta' AND (doc_id * 7 + page_index) % 10 <> 0)", "SELECT doc_id, page_index FROM sr WHERE k = page_index")
+@query(
+    "s3_stream_in_order_release", o.EVENTS,
+    "sr AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS k FROM page_events WHERE kind = 'meta' AND (doc_id * 7 + page_index) % 10 <> 0)",
+    "SELECT doc_id, page_index, CASE WHEN k = page_index THEN 'released' ELSE 'expired' END AS status FROM sr",
+)
 def stream_in_order_release(spark, d):
-    """One page in ten never comes; a document's pages are released, each after those before it, up to its first such page."""
-    events = fx.page_events(spark, d).where("kind = 'meta' AND (doc_id * 7 + page_index) % 10 <> 0").select(*PAGE, "ts")
-    return _run(streams.stream_in_order_release(_replayed(events).where("doc_id <> -1"), expire=False))
+    """One page in ten never comes, one in seven comes twice, neighbours come in any order; a document's pages are released, each after those before it, up to its first such page, and the rest expire."""
+    events = fx.page_events(spark, d).where("kind = 'meta' AND (doc_id * 7 + page_index) % 10 <> 0")
+    events = events.select(*PAGE, (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") * 7919 % 5400).cast("decimal(18,6)"))).alias("ts"))
+    twice = events.unionByName(events.where("page_index % 7 = 3").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES")))
+    with streams.rocksdb(spark):
+        out = _run(streams.stream_in_order_release(_replayed(twice, end_days=(500, 501)), keep="400 days", late="2 hours"))
+    return out.where("doc_id <> -1")
 
 
 @query("s5_stream_once_per_key", "SELECT event_id, user_id, event_type FROM events")
@@ -1026,7 +1036,7 @@ def stream_quality(spark, d):
     """The running totals' last state: each batch of changed documents replaces their rows."""
     path, checkpoint, out = work_dir(spark), work_dir(spark), work_dir(spark)
     tries = _tries(spark, d, (0,))
-    tries.repartition(4, "page_index").write.parquet(path)
+    tries.repartition(4).write.parquet(path)
     stream = streams.stream_quality(spark.readStream.schema(tries.schema).option("maxFilesPerTrigger", 2).parquet(path))
     keep = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/{n}")
     stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()

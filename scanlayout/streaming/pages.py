@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators.quality import split_control
 
 PAGE = ["doc_id", "page_index"]
-#: How long a document's state is kept without a new page: a week.
-TTL_MS = 7 * 24 * 3600 * 1000
 
 
 def stream_join_pages(meta: DataFrame, ocr: DataFrame, bound: str = "120 seconds") -> DataFrame:
@@ -49,28 +50,79 @@ def write_split(results: DataFrame, pages: str, control: str, checkpoint: str) -
     results.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(both).start().awaitTermination()
 
 
-def _release(expire: bool, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the next page to release, and the pages that came before their turn."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    at, waiting = state.get if state.exists else (0, [])
-    waiting = {*waiting, *(int(p) for frame in frames for p in frame["page_index"] if p >= at)}
-    first = at
-    while at in waiting:
-        waiting.remove(at)
-        at += 1
-    state.update((at, sorted(waiting)))
-    if expire:
-        state.setTimeoutDuration(TTL_MS)
-    yield pd.DataFrame({"doc_id": [key[0]] * (at - first), "page_index": list(range(first, at))})
-
-
-def stream_in_order_release(events: DataFrame, expire: bool = True) -> DataFrame:
-    """doc_id, page_index: ready pages in order, each as soon as all before it came. Repeats are dropped.
-
-    With expire, the state of documents left alone for TTL_MS goes; such a stream always waits for time to pass, so a run over
-    what there is (available now) must do without.
+class InOrder(StatefulProcessor):
+    """State of a document: `next`, the page whose turn it is; `waiting`, a map of pages that came before their turn; `until`, when the document is given up.
+
+    A batch reads and writes the pages that come or go, never all that wait.
     """
-    out, state = "doc_id long, page_index int", "next int, waiting array<int>"
-    return events.select(*PAGE).groupBy("doc_id").applyInPandasWithState(lambda k, f, s: _release(expire, k, f, s), out, state, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "page int")
+        self.until = handle.getValueState("until", "ms long")
+        self.waiting = handle.getMapState("waiting", "page int", "ms long")
+
+    @staticmethod
+    def _rows(doc: int, pages: list[int], released: bool) -> pd.DataFrame:
+        n = len(pages)
+        return pd.DataFrame({"doc_id": np.full(n, doc, dtype=np.int64), "page_index": np.array(pages, dtype=np.int32), "released": np.full(n, released)})
+
+    def _keep_until(self, ms: int) -> None:
+        old = self.until.get()[0] if self.until.exists() else None
+        if old is None or ms > old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(ms)
+            self.until.update((ms,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        at = self.next.get()[0] if self.next.exists() else 0
+        came: dict[int, int] = {}
+        for frame in rows:
+            for page, ms in zip(frame["page_index"].tolist(), frame["ts"].astype("datetime64[ms]").astype("int64").tolist()):
+                came[page] = max(ms, came.get(page, ms))
+        last = max(came.values())
+        out = []
+        while at in came or self.waiting.containsKey((at,)):
+            if came.pop(at, None) is None:
+                self.waiting.removeKey((at,))
+            out.append(at)
+            at += 1
+        for page, ms in came.items():
+            if page > at:
+                self.waiting.updateValue((page,), (ms,))
+        self.next.update((at,))
+        self._keep_until(last + self.keep_ms)
+        yield self._rows(key[0], out, True)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        left = sorted(k[0] for k in self.waiting.keys()) if self.waiting.exists() else []
+        for state in (self.next, self.until, self.waiting):
+            state.clear()
+        yield self._rows(key[0], left, False)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_in_order_release(events: DataFrame, keep: str = "7 days", late: str = "1 hour") -> DataFrame:
+    """doc_id, page_index, status of ready pages (doc_id, page_index, ts): released in order, each as soon as all before it came; or expired, pages still waiting once the watermark is `keep` past the document's last page, when its state goes. Repeats are dropped, and so are rows that come more than `late` behind. Needs the RocksDB state store (rocksdb)."""
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    rows = events.select(F.col("doc_id").cast("long"), F.col("page_index").cast("int"), "ts").where("page_index >= 0").withWatermark("ts", late)
+    out = rows.groupBy("doc_id").transformWithStateInPandas(InOrder(keep_ms), "doc_id long, page_index int, released boolean", "Append", "EventTime")
+    return out.select(*PAGE, F.when(F.col("released"), "released").otherwise("expired").alias("status"))
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
