@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,26 +39,59 @@ def _key_types(rasters: DataFrame) -> str:
     return ", ".join(f"{c} {rasters.schema[c].dataType.simpleString()}" for c in PAGE)
 
 
-def thumbnail(rasters: DataFrame, max_side: int = 256) -> DataFrame:
-    """Images (width, height, n_channels, data: bytes by row) shrunk by block means to max_side or less. Broken images are null and not valid."""
+def _shrunk(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Means over the areas that h by w pixels cover, whatever the ratio: prefix sums along each side, read at fractional places."""
+
+    def along(values: np.ndarray, n: int) -> np.ndarray:
+        size = values.shape[0]
+        total = np.concatenate([np.zeros_like(values[:1]), np.cumsum(values, axis=0)])
+        edges = np.arange(n + 1) * (size / n)
+        low = np.minimum(edges.astype(np.int64), size - 1)
+        upto = total[low] + (edges - low).reshape(-1, *[1] * (values.ndim - 1)) * values[low]
+        return np.diff(upto, axis=0) * (n / size)
+
+    small = along(along(image.astype(np.float64), h).swapaxes(0, 1), w).swapaxes(0, 1)
+    return np.round(np.round(small, 6)).astype(np.uint8)
+
+
+def _mapped(rasters: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Images changed one by one, with is_valid; broken images are null and not valid."""
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, image in _images(batch):
-                if image is None:
-                    out.append((None, None, None, None, False))
-                    continue
-                height, width, channels = image.shape
-                k = -(-max(height, width) // max_side)
-                h, w = max(height // k, 1), max(width // k, 1)
-                small = image[: h * min(k, height), : w * min(k, width)].astype(np.float64)
-                small = small.reshape(h, small.shape[0] // h, w, small.shape[1] // w, channels).mean(axis=(1, 3)).round().astype(np.uint8)
-                out.append((w, h, channels, small.tobytes(), True))
+                new = None if image is None else change(image)
+                out.append((None, None, None, None, False) if new is None else (new.shape[1], new.shape[0], new.shape[2], new.tobytes(), True))
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAGE), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=[*_IMAGE, "is_valid"])
 
-    return rasters.select(*_IMAGE).mapInArrow(shrink, _key_types(rasters) + ", width int, height int, n_channels int, data binary, is_valid boolean")
+    return rasters.select(*_IMAGE).mapInArrow(run, _key_types(rasters) + ", width int, height int, n_channels int, data binary, is_valid boolean")
+
+
+def thumbnail(rasters: DataFrame, max_side: int = 256) -> DataFrame:
+    """Images (width, height, n_channels, data: bytes by row) whose longer side is over max_side, shrunk to it by means over areas, no pixel left out; sides are cut to whole pixels, one at least. Broken images are null and not valid."""
+
+    def shrink(image: np.ndarray) -> np.ndarray:
+        height, width, _ = image.shape
+        scale = max_side / max(height, width)
+        return _shrunk(image, max(1, int(height * scale)), max(1, int(width * scale))) if scale < 1 else image
+
+    return _mapped(rasters, shrink)
+
+
+def colour_sample(rasters: DataFrame, max_side: int = 256, least: int = 16, across: int = 128) -> DataFrame:
+    """What grey pages are told by: larger images shrunk to max_side (sides rounded, `least` at least), others by every n-th pixel each way, n being the longer side by `across`."""
+
+    def sample(image: np.ndarray) -> np.ndarray:
+        height, width, _ = image.shape
+        side = max(height, width)
+        if side > max_side:
+            return _shrunk(image, *(max(least, round(x * max_side / side)) for x in (height, width)))
+        step = max(1, round(side / across))
+        return np.ascontiguousarray(image[::step, ::step])
+
+    return _mapped(rasters, sample)
 
 
 def image_luma_hist(rasters: DataFrame) -> DataFrame:
@@ -79,8 +112,23 @@ def image_luma_hist(rasters: DataFrame) -> DataFrame:
     return rasters.select(*_IMAGE).mapInArrow(count, _key_types(rasters) + ", bin int, n long")
 
 
+#: Linear sRGB to XYZ by rows, its white point, and the curve of L*a*b* below and above its bend.
+RGB_TO_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+WHITE = (0.950456, 1.0, 1.088754)
+BEND, SLOPE, FOOT = 0.008856, 7.787, 16 / 116
+
+
+def lab_chroma(bgr: np.ndarray) -> np.ndarray:
+    """a and b of L*a*b* in whole numbers, of pixels (n by 3) in blue, green and red bytes."""
+    c = bgr[:, ::-1] / 255.0
+    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    t = linear @ (np.array(RGB_TO_XYZ) / np.array(WHITE)[:, None]).T
+    f = np.where(t > BEND, np.cbrt(t), t * SLOPE + FOOT)
+    return np.floor(np.round(np.stack([500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])], axis=1), 6) + 0.5).astype(np.int64)
+
+
 def image_chroma_hist(rasters: DataFrame) -> DataFrame:
-    """a, b, n: opponent colours (red less green, yellow less blue, halved) of images whose data is blue, green, red bytes."""
+    """a, b, n: colours of L*a*b*, in the units that gray_decision's limits are in, of images whose data is blue, green, red bytes. Each different colour of an image is converted once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,10 +136,11 @@ def image_chroma_hist(rasters: DataFrame) -> DataFrame:
             for row, image in _images(batch):
                 if image is not None and image.shape[2] >= 3:
                     px = image.reshape(-1, image.shape[2]).astype(np.int64)
-                    pairs = (px[:, 2] - px[:, 1]) // 2 * 1024 + ((px[:, 2] + px[:, 1]) // 2 - px[:, 0]) // 2 + 512
-                    found, n = np.unique(pairs, return_counts=True)
+                    codes, n = np.unique((px[:, 0] << 16) | (px[:, 1] << 8) | px[:, 2], return_counts=True)
+                    ab = lab_chroma(np.stack([codes >> 16, codes >> 8 & 255, codes & 255], axis=1)) + 256
+                    found, which = np.unique(ab[:, 0] * 1024 + ab[:, 1], return_inverse=True)
                     rows.append(row)
-                    values.append(np.stack([found // 1024, found % 1024 - 512, n]))
+                    values.append(np.stack([found // 1024 - 256, found % 1024 - 256, np.bincount(which, weights=n).astype(np.int64)]))
             yield _counted(batch, ["a", "b", "n"], rows, values)
 
     return rasters.select(*_IMAGE).mapInArrow(count, _key_types(rasters) + ", a int, b int, n long")

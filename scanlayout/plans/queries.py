@@ -809,17 +809,17 @@ def binarize_coverage(spark, d):
 
 
 def _images(spark, d) -> DataFrame:
-    """Rows as read_page_images gives them: 24-bit images of 8 by 8 pixels, whose blue, green and red are a raster's pixel and its two neighbours; page_index % 17 = 0: broken."""
+    """Rows as read_page_images gives them: 24-bit images, 8 by 8 or 16 by 4 pixels, whose blue, green and red are a raster's pixel and its two neighbours, or all the pixel itself (grey); page_index % 17 = 0: broken."""
     code = lambda c: F.format_string("%02x", c)
-    rows = fx.rasters(spark, d)
-    colours = F.transform(F.sequence(F.lit(0), F.size("pixels") - 1), lambda i: F.concat(*[code(F.get("pixels", (i + k) % F.size("pixels"))) for k in range(3)]))
-    data = F.unhex(F.array_join(colours, ""))
-    return rows.select(*PAGE, F.lit(8).alias("width"), (F.size("pixels") / 8).cast("int").alias("height"), F.lit(3).alias("n_channels"), F.when(F.col("page_index") % 17 != 0, data).alias("data"))
+    rows = fx.rasters(spark, d).withColumn("step", (F.col("page_index") % 3 != 0).cast("int"))
+    colours = F.transform(F.sequence(F.lit(0), F.size("pixels") - 1), lambda i: F.concat(*[code(F.get("pixels", (i + F.col("step") * k) % F.size("pixels"))) for k in range(3)]))
+    width = F.when(F.col("page_index") % 2 == 0, 8).otherwise(16)
+    return rows.select(*PAGE, width.alias("width"), (F.size("pixels") / width).cast("int").alias("height"), F.lit(3).alias("n_channels"), F.when(F.col("page_index") % 17 != 0, F.unhex(F.array_join(colours, ""))).alias("data"))
 
 
 _PIXELS = [
-    o.RASTER, "px0 AS (SELECT doc_id, page_index, pixels, len(pixels) AS n, unnest(range(len(pixels))) AS i FROM rasters WHERE page_index % 17 <> 0)",
-    "px AS (SELECT doc_id, page_index, n, i, pixels[i + 1] AS b, pixels[(i + 1) % n + 1] AS g, pixels[(i + 2) % n + 1] AS r FROM px0)",
+    o.RASTER, "px0 AS (SELECT doc_id, page_index, pixels, len(pixels) AS n, CASE WHEN page_index % 3 <> 0 THEN 1 ELSE 0 END AS step, CASE WHEN page_index % 2 = 0 THEN 8 ELSE 16 END AS w, unnest(range(len(pixels))) AS i FROM rasters WHERE page_index % 17 <> 0)",
+    "px AS (SELECT doc_id, page_index, n, i, w, n // w AS h, pixels[i + 1] AS b, pixels[(i + step) % n + 1] AS g, pixels[(i + 2 * step) % n + 1] AS r FROM px0)",
 ]
 
 
@@ -828,19 +828,59 @@ def image_luma_hist(spark, d):
     return raster.image_luma_hist(_images(spark, d))
 
 
-@query("e14_image_chroma_hist", *_PIXELS, "SELECT doc_id, page_index, CAST(floor((r - g) / 2) AS INTEGER) AS a, CAST(floor((floor((r + g) / 2) - b) / 2) AS INTEGER) AS b, count(*) AS n FROM px GROUP BY ALL")
+def _lin(c: str) -> str:
+    return f"CASE WHEN {c} / 255.0::DOUBLE <= 0.04045::DOUBLE THEN {c} / 255.0::DOUBLE / 12.92::DOUBLE ELSE pow(({c} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
+
+
+_LAB = [
+    f"lc AS (SELECT doc_id, page_index, {_lin('r')} AS lr, {_lin('g')} AS lg, {_lin('b')} AS lb FROM px)",
+    "lx AS (SELECT doc_id, page_index, " + ", ".join(f"({' + '.join(f'{v}::DOUBLE * {c}' for v, c in zip(row, ('lr', 'lg', 'lb')))}) / {w}::DOUBLE AS {n}" for row, w, n in zip(raster.RGB_TO_XYZ, raster.WHITE, "xyz")) + " FROM lc)",
+    "lf AS (SELECT doc_id, page_index, " + ", ".join(f"CASE WHEN {n} > 0.008856::DOUBLE THEN cbrt({n}) ELSE 7.787::DOUBLE * {n} + 16::DOUBLE / 116 END AS f{n}" for n in "xyz") + " FROM lx)",
+    "lab AS (SELECT doc_id, page_index, CAST(floor(round(500 * (fx - fy), 6) + 0.5::DOUBLE) AS INTEGER) AS a, CAST(floor(round(200 * (fy - fz), 6) + 0.5::DOUBLE) AS INTEGER) AS b, count(*) AS n FROM lf GROUP BY ALL)",
+]
+
+
+@query("e14_image_chroma_hist", *_PIXELS, *_LAB, "SELECT doc_id, page_index, a, b, n FROM lab")
 def image_chroma_hist(spark, d):
-    return raster.image_chroma_hist(_images(spark, d))
+    return raster.image_chroma_hist(raster.colour_sample(_images(spark, d)))
+
+
+@query(
+    "e15_image_gray_decision", *_PIXELS, *_LAB, "ce AS (SELECT doc_id, page_index, unnest(range(n)) AS i, a, b FROM lab)", "cm AS (SELECT doc_id, page_index, median(a) AS ma, median(b) AS mb FROM ce GROUP BY ALL)",
+    f"cd AS (SELECT e.doc_id, e.page_index, sqrt((a - ma) * (a - ma) + (b - mb) * (b - mb)) AS c FROM ce e JOIN cm {o.J})", "cr AS (SELECT doc_id, page_index, avg((c > 10)::INT) AS ratio, quantile_cont(c, 0.99) AS p99 FROM cd GROUP BY ALL)",
+    f"SELECT doc_id, page_index, {_r('ratio', 'p99', places=6)}, ratio < 0.003::DOUBLE AND p99 < 18 AS is_gray FROM cr",
+)
+def image_gray_decision(spark, d):
+    """From image bytes, with the limits that hold for scanned pages."""
+    return raster.gray_decision(raster.image_chroma_hist(raster.colour_sample(_images(spark, d)))).select(*PAGE, *r("ratio", "p99", places=6), "is_gray")
+
+
+_OVER = "greatest(0, least({i} + 1, ({o} + 1) * {n} / {m}::DOUBLE) - greatest({i}, {o} * {n} / {m}::DOUBLE))"
 
 
 @query(
     "e10_thumbnail", *_PIXELS,
-    "tb AS (SELECT doc_id, page_index, i // 8 // 2 AS y, i % 8 // 2 AS x, CAST(round_even(avg(b), 0) AS INTEGER) AS b, CAST(round_even(avg(g), 0) AS INTEGER) AS g, CAST(round_even(avg(r), 0) AS INTEGER) AS r FROM px GROUP BY ALL)",
-    "ts AS (SELECT doc_id, page_index, string_agg(format('{:02X}{:02X}{:02X}', b, g, r), '' ORDER BY y, x) AS data, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) + 1 AS INTEGER) AS height FROM tb GROUP BY ALL)",
+    "tz AS (SELECT *, i % w AS x, i // w AS y, greatest(1, CAST(trunc(w * 3 / greatest(w, h)::DOUBLE) AS INTEGER)) AS tw, greatest(1, CAST(trunc(h * 3 / greatest(w, h)::DOUBLE) AS INTEGER)) AS th FROM px)",
+    f"tx AS (SELECT *, {_OVER.format(i='x', o='ox', n='w', m='tw')} * {_OVER.format(i='y', o='oy', n='h', m='th')} AS weight FROM (SELECT *, unnest(range(tw)) AS ox FROM tz), (SELECT unnest(range(3)) AS oy) WHERE oy < th)",
+    "tb AS (SELECT doc_id, page_index, oy, ox, any_value(tw) AS tw, any_value(th) AS th, " + ", ".join(f"CAST(round_even(round(sum({c} * weight) / sum(weight), 6), 0) AS INTEGER) AS {c}" for c in "bgr") + " FROM tx WHERE weight > 0 GROUP BY ALL)",
+    "ts AS (SELECT doc_id, page_index, string_agg(format('{:02X}{:02X}{:02X}', b, g, r), '' ORDER BY oy, ox) AS data, any_value(tw) AS width, any_value(th) AS height FROM tb GROUP BY ALL)",
     "SELECT r.doc_id, r.page_index, data IS NOT NULL AS is_valid, data, width, height FROM rasters r LEFT JOIN ts ON r.doc_id = ts.doc_id AND r.page_index = ts.page_index",
 )
 def thumbnail(spark, d):
-    return raster.thumbnail(_images(spark, d), 4).select(*PAGE, "is_valid", F.hex("data").alias("data"), "width", "height")
+    """To three pixels, which divide no side."""
+    return raster.thumbnail(_images(spark, d), 3).select(*PAGE, "is_valid", F.hex("data").alias("data"), "width", "height")
+
+
+@query(
+    "a2_read_page_images", *_PIXELS, "im AS (SELECT doc_id, page_index, string_agg(format('{:02X}{:02X}{:02X}', b, g, r), '' ORDER BY i) AS data, CAST(any_value(w) AS INTEGER) AS width, CAST(any_value(h) AS INTEGER) AS height FROM px GROUP BY ALL)",
+    "SELECT r.doc_id, r.page_index, width, height, CASE WHEN data IS NOT NULL THEN 3 END AS n_channels, data, data IS NOT NULL AS is_valid FROM rasters r LEFT JOIN im ON r.doc_id = im.doc_id AND r.page_index = im.page_index",
+)
+def read_page_images(spark, d):
+    """The images as bitmap files, read back; the broken ones are rows without data."""
+    path = work_dir(spark)
+    files.write_page_images(_images(spark, d), path)
+    name = F.regexp_extract("origin", r"(-?\d+)-(-?\d+)\.bmp$", 1), F.regexp_extract("origin", r"(-?\d+)-(-?\d+)\.bmp$", 2)
+    return files.read_page_images(spark, path).select(name[0].cast("long").alias("doc_id"), name[1].cast("long").alias("page_index"), "width", "height", "n_channels", F.hex("data").alias("data"), "is_valid")
 
 
 # Skew
