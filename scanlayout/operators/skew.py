@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import work_dir, written
+
 PAGE = ["doc_id", "page_index"]
 
 
@@ -40,6 +45,10 @@ class SkewOptions:
     small: float = 0.3
 
 
+#: The gates for what is left of a skew after a page was turned.
+STRICT = SkewOptions(tol=10.0, first=2500, sum_len=0.0, mad=0.45, small=0.25)
+
+
 def segments_from_tokens(tokens: DataFrame) -> DataFrame:
     """seg_no, x1, y1, x2, y2, len: the top edge of each word."""
     p = F.col("points")
@@ -88,6 +97,60 @@ def skew_consensus(segments: DataFrame, o: SkewOptions = SkewOptions()) -> DataF
     return rows.select(*PAGE, F.when(F.col("ok"), apply).otherwise(F.lit(0.0)).alias("angle"), "ok", "tag", *[F.when(known, F.col(f"b.{c}")).alias(c) for c in ("mad", "n", "sumlen")])
 
 
+def _least_rectangle(points: np.ndarray) -> float:
+    """The angle in degrees, from -45 (not included) to 45, of the sides of the rectangle of least area about the points: one side lies along an edge of their convex hull. Of equal areas the smallest turn counts, then the positive one."""
+    points = np.unique(points, axis=0)
+    hull: list[np.ndarray] = []
+    for line in (points, points[::-1]):  # lower, then upper chain
+        chain: list[np.ndarray] = []
+        for p in line:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                chain.pop()
+            chain.append(p)
+        hull += chain[:-1]
+    if len(hull) < 2:
+        return 0.0
+    corners = np.array(hull)
+    edges = np.roll(corners, -1, axis=0) - corners
+    along = edges / np.hypot(edges[:, 0], edges[:, 1])[:, None]
+    spread = [np.ptp(corners @ d.T, axis=0) for d in (along, np.stack([-along[:, 1], along[:, 0]], axis=1))]
+    turn = np.round(np.degrees(np.arctan2(along[:, 1], along[:, 0])), 9) % 90
+    turn = np.where(turn > 45, turn - 90, turn)
+    return float(turn[np.lexsort((-turn, np.abs(turn), np.round(spread[0] * spread[1], 6)))[0]])
+
+
+def corner_rectangles(tokens: DataFrame) -> DataFrame:
+    """rect_angle, corners: the turn of the least rectangle about the corners of each page's words, and their number. A page's words are few; its corners are gathered once."""
+    keys = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in PAGE)
+    flat = F.flatten(F.flatten(F.collect_list("points")))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(x.values.to_numpy(zero_copy_only=False)).reshape(-1, 2) for x in batch.column("xy")]
+            found = [x[np.isfinite(x).all(axis=1)] for x in found]
+            made = [pa.array([_least_rectangle(x) if len(x) else 0.0 for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAGE), *made], names=[*PAGE, "rect_angle", "corners"])
+
+    return tokens.groupBy(*PAGE).agg(flat.alias("xy")).mapInArrow(measure, keys + ", rect_angle double, corners long")
+
+
+def residual_skew(tokens: DataFrame, min_side: Column, o: SkewOptions = STRICT, most: float = 3.0, straight: float = 0.35, least_corners: int = 500) -> DataFrame:
+    """angle, ok, method, mad, n, sumlen of what is left of each page's skew, in two steps.
+
+    The consensus of segments under strict gates decides first: `hough`, turned by `most` degrees at the most; `hough-straight` ends it too. Pages
+    without consensus, and these only, are told by the least rectangle about their words' corners: `minarearect`, unless there are
+    few corners (-few), the turn is small (-straight), or more than `most`, which is refused (-too-big). Needs points.
+    """
+    first = written(skew_consensus(segments_from_tokens(tokens).withColumn("min_side", min_side), o), work_dir(tokens.sparkSession))
+    unsure = first.where(F.col("tag").isin("hough-none", "hough-lowconf")).select(*PAGE)
+    rects = corner_rectangles(tokens.select(*PAGE, "points").join(unsure.hint("merge"), PAGE, "left_semi"))
+    turn = F.col("rect_angle")
+    other = F.when(F.col("corners") < least_corners, "minarearect-few").when(F.abs(turn) < straight, "minarearect-straight").when(F.abs(turn) > most, "minarearect-too-big").otherwise("minarearect")
+    rows = first.join(rects.hint("merge"), PAGE, "left").withColumn("method", F.when(F.col("tag") == "hough-small", "hough-straight").when(F.col("ok"), F.col("tag")).otherwise(other))
+    angle = F.when(F.col("method") == "hough", F.least(F.lit(most), F.greatest(F.lit(-most), F.col("angle")))).when(F.col("method") == "minarearect", -turn).otherwise(F.lit(0.0))
+    return rows.select(*PAGE, (angle + F.lit(0.0)).alias("angle"), F.col("method").isin("hough", "minarearect").alias("ok"), "method", "mad", F.coalesce("n", "corners").alias("n"), "sumlen")
+
+
 def row_profile(tokens: DataFrame, angles: list[float], height: float = 8.0) -> DataFrame:
     """angle, row, mass: word widths by rows of `height` after their centres turn by each angle (degrees)."""
     rows = tokens.withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2, "m": F.col("x1") - F.col("x0")}).withColumn("angle", F.explode(F.array(*map(F.lit, angles))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -944,6 +945,19 @@ def skew_consensus(spark, d):
     return _skew(spark, d).select(*PAGE, *r("angle", places=6), "ok", "tag", *r("mad", places=6), "n", *r("sumlen", places=3))
 
 
+@query("d17_residual_skew")
+def residual_skew(spark, d):
+    """Some documents' words lie about at random on pages that are turned as a whole: what the segments don't tell, the least rectangle does."""
+    q = fx.quads(fx.tokens(spark, d))
+    loose = "((seq * 37) % 9 - 4) * 0.04D * (x1 - x0)"
+    about = F.expr(f"IF(doc_id % 5 = 0, transform(points, (p, i) -> array(p[0], p[1] + IF(i = 1, {loose}, 0D))), points)")
+    turn = "radians(CASE WHEN doc_id % 5 <> 0 THEN 0D ELSE element_at(array(0.2D, 2D, -2.5D, 7D), CAST(doc_id div 5 % 4 + 1 AS INT)) END)"
+    q = q.withColumn("points", about).withColumn("t", F.expr(turn))
+    q = q.withColumn("points", F.transform("points", lambda p: F.array(p[0] * F.cos("t") - p[1] * F.sin("t"), p[0] * F.sin("t") + p[1] * F.cos("t"))))
+    out = skew.residual_skew(q, F.lit(640), replace(skew.STRICT, min_len=12.0, min_len_share=0.01, sum_len=900.0), least_corners=200)
+    return out.select(*PAGE, *r("angle", places=6), "ok", "method", *r("mad", places=6), "n", *r("sumlen", places=3))
+
+
 _ANG = [-2.0, 0.0, 2.0]
 _PROFILE = [
     f"rp0 AS (SELECT doc_id, page_index, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x1 - x0 AS m, unnest({_ANG}::DOUBLE[]) AS angle FROM tokens)",
