@@ -6,7 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from scanlayout.functions import columns as fc
-from scanlayout.operators import names, placement, quality, raster, reading, skew, words
+from scanlayout.operators import names, placement, prefix, quality, raster, reading, skew, words
 from scanlayout.sources import files
 
 TOKENS = "doc_id long, page_index int, seq int, text string, x0 double, y0 double, x1 double, y1 double"
@@ -138,7 +138,7 @@ def test_images(spark, tmp_path):
     assert values(images, "is_valid", "width", "n_channels") == [(False, None, None), (True, 4, 3)]
     pages = images.withColumns({"doc_id": F.lit(1).cast("long"), "page_index": F.lit(0)})
     assert values(raster.image_luma_hist(pages), "bin", "n") == [(22, 16)]
-    assert values(raster.image_chroma_hist(pages), "a", "b", "n") == [(5, 7, 16)]
+    assert values(raster.image_chroma_hist(pages), "a", "b", "n") == [(3, 7, 16)]
     small = raster.thumbnail(pages, 2).where("is_valid").first()
     assert (small.width, small.height, bytes(small.data)) == (2, 2, bytes((10, 20, 30)) * 4)
 
@@ -160,16 +160,20 @@ def test_streams_equal_their_batch_twins(spark):
 
 
 def test_pages_come_out_in_order_and_stop_at_a_gap(spark):
+    """Shuffled arrival, repeats, gaps, rows too late, and a document that expires."""
     from scanlayout.plans import queries as plans
     from scanlayout.streaming import pages as streams
 
-    arrivals = [(1, 1, 0), (1, 0, 1), (2, 0, 2), (1, 3, 3), (1, 2, 4), (2, 2, 5), (1, 3, 6), (3, 1, 7)]
-    events = spark.createDataFrame(arrivals, "doc_id long, page_index int, s long").select("doc_id", "page_index", F.timestamp_seconds("s").alias("ts"))
-    out = streams.stream_in_order_release(plans._replayed(events, 8).where("doc_id <> -1"), expire=False)
+    arrivals = [(1, 1, 0), (1, 0, 1), (2, 0, 2), (1, 3, 3), (1, 2, 4), (2, 2, 5), (1, 3, 6), (3, 1, 7), (3, 1, 7), (3, 4, 8)]
+    events = spark.createDataFrame(arrivals, "doc_id long, page_index int, s long").select("doc_id", "page_index", F.timestamp_seconds(F.col("s") + 10**9).alias("ts"))
+    out = streams.stream_in_order_release(plans._replayed(events, 8).where("doc_id <> -1 OR page_index = 0"), keep="1 hour", late="1 minute")
     seen = []
-    query = out.writeStream.foreachBatch(lambda batch, n: seen.extend((n, r.doc_id, r.page_index) for r in batch.collect())).option("checkpointLocation", plans.work_dir(spark)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert [[p for _, d, p in seen if d == doc] for doc in (1, 2, 3)] == [[0, 1, 2, 3], [0], []]
+    with streams.rocksdb(spark):
+        query = out.writeStream.foreachBatch(lambda batch, n: seen.extend((n, *r) for r in batch.collect())).option("checkpointLocation", plans.work_dir(spark)).trigger(availableNow=True).start()
+        query.awaitTermination()
+    told = lambda doc, status: [p for _, d, p, s in seen if d == doc and s == status]
+    assert [told(doc, "released") for doc in (1, 2, 3)] == [[0, 1, 2, 3], [0], []]
+    assert [told(doc, "expired") for doc in (1, 2, 3)] == [[], [2], [1, 4]]
 
 
 def test_release_stops_at_missing_and_unknown_pages(spark):
@@ -179,7 +183,7 @@ def test_release_stops_at_missing_and_unknown_pages(spark):
 
 def test_numbers_of_a_hot_key(spark):
     rows = spark.createDataFrame([("a", i % 50, i) for i in range(300)] + [("b", 7, 7), ("b", None, 8)], "key string, at long, i long")
-    out = values(quality.numbered(rows, "key", ["at", "i"], 8), "key", "k", "at", "i")
+    out = values(prefix.numbered(rows, "key", ["at", "i"]), "key", "k", "at", "i")
     assert [r[1] for r in out] == [*range(1, 301), 1, 2] and [r[2:] for r in out[:300]] == sorted((i % 50, i) for i in range(300)) and out[300:] == [("b", 1, None, 8), ("b", 2, 7, 7)]
 
 
