@@ -27,7 +27,7 @@ def weighted_mad(rows: DataFrame, keys: list[str], value: str, weight: str) -> D
     """wmedian, and mad: the weighted median of distances from it."""
     med = weighted_median(rows, keys, value, weight)
     away = rows.join(med.hint("merge"), keys).withColumn("_d", F.abs(F.col(value) - F.col("wmedian")))
-    return med.join(weighted_median(away, keys, "_d", weight).withColumnRenamed("wmedian", "mad"), keys)
+    return med.join(weighted_median(away, keys, "_d", weight).withColumnRenamed("wmedian", "mad").hint("merge"), keys)
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,7 @@ def alignment_score(profile: DataFrame) -> DataFrame:
 def resolve_skew(scores: DataFrame, skew: DataFrame, most: float = 5.0) -> DataFrame:
     """angle of each page: 0, or its skew or the opposite where that aligns rows better, by two hundredths at least. scores: side (0, 1, -1) and score."""
     side = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("score"))), F.lit(0.0)).alias(f"s{s}".replace("-", "m"))
-    rows = skew.join(scores.groupBy(*PAGE).agg(side(0), side(1), side(-1)), PAGE, "left").fillna(0.0, ["s0", "s1", "sm1"])
+    rows = skew.join(scores.groupBy(*PAGE).agg(side(0), side(1), side(-1)).hint("merge"), PAGE, "left").fillna(0.0, ["s0", "s1", "sm1"])
     a = F.least(F.lit(most), F.greatest(F.lit(-most), F.col("angle")))
     a = F.when(F.abs(a) < 0.3, F.lit(0.0)).otherwise(a)
     rows = rows.withColumn("a", a)

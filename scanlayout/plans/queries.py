@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,8 +123,7 @@ def snap_to_column(spark, d):
 @query("c3_attach_page_values", *_ZONED, f"SELECT doc_id, page_index, seq, {_r('tol', 'tol_x', 'bx0', 'by1')} FROM zoned")
 def attach_page_values(spark, d):
     t = fx.margin_tokens(fx.tokens(spark, d))
-    tol = reading.reading_tolerance(t)
-    return reading.with_page_values(t, tol, reading.column_tolerance(t, tol), reading.body_region(t, fx.PAGE_W, fx.PAGE_H)).select(*PAGE, "seq", *r("tol", "tol_x", "bx0", "by1"))
+    return reading.page_layout(t, fx.PAGE_W, fx.PAGE_H).select(*PAGE, "seq", *r("tol", "tol_x", "bx0", "by1"))
 
 
 _METRICS = r"""
@@ -202,7 +200,7 @@ def read_words(spark, d):
 def valid_word(spark, d):
     res = _results(spark, d)
     sent = res.select(*PAGE, F.size(F.from_json("words", words.WORDS)).cast("long").alias("sent"))
-    return sent.join(words.read_words(res).groupBy(*PAGE).agg(F.count("*").alias("valid")), PAGE, "left").select(*PAGE, F.coalesce("valid", F.lit(0)).alias("valid"), "sent")
+    return sent.join(words.read_words(res).groupBy(*PAGE).agg(F.count("*").alias("valid")).hint("merge"), PAGE, "left").select(*PAGE, F.coalesce("valid", F.lit(0)).alias("valid"), "sent")
 
 
 @query("b2_quad_bbox", o.TOKENS, o.QUADS, f"SELECT doc_id, page_index, seq, {_r('x0', 'y0', 'x1', 'y1')} FROM quads")
@@ -505,8 +503,7 @@ _RATES = "CASE WHEN attempted_inserts > 0 THEN round(insert_errors / attempted_i
 
 
 def _tries(spark, d, stages=(0, 1, 2)):
-    t = fx.tokens(spark, d)
-    return reduce(DataFrame.unionByName, [fx.attempts(t, s) for s in stages])
+    return fx.attempts(fx.tokens(spark, d), stages)
 
 
 _PLACED = f"""pl AS (SELECT doc_id, page_index, count(*) FILTER (style = 'run') AS vertical_tokens, count(*) FILTER (style = 'run') AS vrun_samples, coalesce(avg(xscale) FILTER (style = 'run'), 0) AS vrun_xscale_mean, max(xscale) FILTER (style = 'run') AS vrun_xscale_max, min(xscale) FILTER (style = 'run') AS vrun_xscale_min,
@@ -593,9 +590,8 @@ def run_widths(spark, d):
 
 
 def _stats(spark, d):
-    tries = _tries(spark, d, (0,)).groupBy(*PAGE).agg(F.count("*").alias("attempted_inserts"), F.count_if("ok").alias("ok_inserts"), F.count_if(~F.col("ok")).alias("insert_errors"))
-    stage = placement.fallback_stage(fx.tokens(spark, d), _tries(spark, d)).select(*PAGE, "fallback_stage")
-    return tries.withColumn("total_tokens", F.col("attempted_inserts")).join(stage, PAGE)
+    counts = placement.with_stage(placement.stage_counts(fx.tokens(spark, d), _tries(spark, d)))
+    return counts.selectExpr(*PAGE, "a0 AS attempted_inserts", "k0 AS ok_inserts", "a0 - k0 AS insert_errors", "n AS total_tokens", "fallback_stage")
 
 
 @query(

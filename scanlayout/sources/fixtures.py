@@ -48,9 +48,10 @@ def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attempts(words: DataFrame, stage: int) -> DataFrame:
-    """One drawing attempt per word: doc_id, page_index, seq, stage, ok, method."""
-    return words.selectExpr(*PAGE, "seq", f"{stage} AS stage", f"(doc_id * 7 + seq * 13 + {stage}) % IF(doc_id % 2 = 0, 41, 7) <> 0 AS ok", "element_at(array('embedded', 'fontfile', 'builtin', 'helv'), seq % 4 + 1) AS method")
+def attempts(words: DataFrame, stages: tuple[int, ...]) -> DataFrame:
+    """One drawing attempt per word and stage: doc_id, page_index, seq, stage, ok, method."""
+    tried = words.select(*PAGE, "seq", F.explode(F.array(*map(F.lit, stages))).alias("stage"))
+    return tried.selectExpr(*PAGE, "seq", "stage", "(doc_id * 7 + seq * 13 + stage) % IF(doc_id % 2 = 0, 41, 7) <> 0 AS ok", "element_at(array('embedded', 'fontfile', 'builtin', 'helv'), seq % 4 + 1) AS method")
 
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
