@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, carried, saved
+from .common import WS_CHARS, carried, forget, saved
 
 #: Bits of one bitmap of bitmap_construct_agg.
 BLOCK_BITS = 32768
@@ -50,8 +50,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     all others. Other columns of docs aren't read, whatever their names. An empty table gives an empty table.
 
     The fingerprints (some 50 bytes a row) are written once. Pass one sets the bits of each fingerprint and keeps those set twice
-    or more. The filter has 16 bits a row. One of more than max_blocks blocks of 4 KB (64 MB, some 33 million rows) is dealt by the
-    fingerprint's hash into parts, each built and asked by itself, so the share of unique rows taken for repeated ones (1.4 %) is
+    or more. The filter has 16 bits a row. For one of more than max_blocks blocks of 4 KB (64 MB, some 33 million rows) the fingerprints are
+    written once more, by their hash in folders, and each folder has a filter of its own, so the share of unique rows taken for repeated ones (1.4 %) is
     the same at every size, and a broadcast never grows. Pass two sends only possibly repeated rows to the shuffle; texts never
     shuffle. Large groups are counted with partial sums and joined by merge join, whose hot partitions Spark splits.
     """
@@ -63,8 +63,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     parts = -(-blocks // max_blocks)
     blocks = -(-blocks // parts)
     tested = None
+    if parts > 1:  # each part reads its own files only
+        whole, part = prints, F.pmod(F.xxhash64(F.lit(-1), "text_sha256"), F.lit(parts)).cast("int")
+        prints = saved(whole.withColumn("_part", part).repartition(F.col("_part"), F.pmod(F.col("_row"), F.lit(64))), by=["_part"])
+        forget(whole)
     for k in range(parts):
-        own = prints.where(F.pmod(F.xxhash64(F.lit(-1), "text_sha256"), F.lit(parts)) == k) if parts > 1 else prints
+        own = prints.where(F.col("_part") == k).drop("_part") if parts > 1 else prints
         some = maybe_repeated(own, "text_sha256", saved(repeated_filter(own, "text_sha256", blocks, hashes)), blocks, hashes)
         tested = some if tested is None else tested.unionByName(some)
     alone = tested.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *unpack)

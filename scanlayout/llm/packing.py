@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import ROW_KEY, forget, saved, with_row_key
 from .tokens import token_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -21,6 +21,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int
     """A row per piece: doc_id, piece, start, length, ids_crc32.
 
     A text's ids and then end_id. Only longer ones are cut, into pieces of `capacity`; the first takes the rest and may be shorter.
+    A null or empty text is end_id alone, one piece. Repeated rows, and a null doc_id, have pieces of their own; an empty table has none.
     """
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
@@ -105,14 +106,14 @@ def _pack(rows: DataFrame, turn: int, groups: int, capacity: int) -> DataFrame:
         }
         return pa.table(out)
 
-    keyed = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    keyed = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(turn), *ROW_KEY), F.lit(groups)))
     return keyed.groupBy("_group").applyInArrow(pack, PIECES + ", sequence_id long, offset long, _load long, _certified boolean")
 
 
 def pack_documents(pieces: DataFrame, capacity: int = 1024, per_group: int = 20_000, rounds: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (see pieces_of): sequences of at most `capacity`, each filled from offset 0 without gaps.
 
-    Whole pieces are sequences by themselves and don't shuffle. The others are dealt by hash into groups of about per_group rows and
+    Whole pieces are sequences by themselves and don't shuffle. The others are dealt by the hash of their row, so equal rows too, into groups of about per_group rows and
     packed by best-fit decreasing. A lower bound over the histogram of all sizes (`capacity` rows at most, whatever the input)
     tells whether fewer sequences are possible. While they are, the groups exchange the pieces of their sequences that aren't
     full, deal them anew into fewer groups, and pack again, as long as that saves sequences; a round that saves none is dropped and ends the rounds
@@ -121,12 +122,14 @@ def pack_documents(pieces: DataFrame, capacity: int = 1024, per_group: int = 20_
     those under half full; other groups give all that aren't full. Equal rows are packed one by one; an empty table gives an
     empty table. A null doc_id is kept.
     """
+    columns = pieces.columns
+    keyed = with_row_key(pieces)
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.where(F.col("length") < capacity)
     sizes = rest.groupBy("length").count().collect()  # capacity rows at most
     n, bound = sum(r["count"] for r in sizes), lower_bound(np.array([r["length"] for r in sizes], dtype=np.int64), np.array([r["count"] for r in sizes], dtype=np.int64), capacity)
-    done, packed = [], saved(_pack(rest, 0, -(-n // per_group) or 1, capacity)) if n else None
-    columns = [*pieces.columns, "sequence_id", "offset"]
+    done, packed = [], saved(_pack(keyed.where(F.col("length") < capacity), 0, -(-n // per_group) or 1, capacity)) if n else None
+    columns = [*columns, "sequence_id", "offset"]
     settled = 0
     for turn in count(1):
         if packed is None or turn - 1 == rounds:
@@ -136,8 +139,9 @@ def pack_documents(pieces: DataFrame, capacity: int = 1024, per_group: int = 20_
         total, open_bins, open_rows = packed.agg(F.count_if(first), F.count_if(first & give), F.count_if(give)).first()
         if settled + total <= bound or open_bins < 2:
             break
-        again = saved(_pack(packed.where(give).select(*pieces.columns), turn, -(-open_rows // per_group), capacity))
+        again = saved(_pack(with_row_key(packed).where(give), turn, -(-open_rows // per_group), capacity))
         if again.where(first).count() >= open_bins:
+            forget(again)
             break
         done.append(packed.where(~give).select(*columns))
         settled += total - open_bins

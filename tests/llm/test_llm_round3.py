@@ -312,3 +312,32 @@ def test_components_of_a_given_table_and_of_none(spark):
     assert ngram_join.jaccard_components(table(spark, docs[:1]).limit(0)).count() == 0
     with pytest.raises(ValueError):
         ngram_join.jaccard_components(table(spark, docs[:1]).withColumn("n_shingles", F.lit(1)), carry=["n_shingles"])
+
+
+# Earlier operators
+
+
+def test_equal_pieces_are_dealt_over_groups(spark):
+    from scanlayout.llm import packing
+
+    rows_ = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(300).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    pieces = packing.saved(rows_)
+    first = packing._pack(packing.with_row_key(pieces), 0, 15, 1024)
+    sizes = [r["count"] for r in first.groupBy(F.shiftright("sequence_id", 26).alias("g")).count().collect()]
+    assert len(sizes) == 15 and max(sizes) < 3000
+    out = packing.pack_documents(pieces, per_group=2000)
+    n, sequences, most = out.agg(F.count("*"), F.count_distinct("sequence_id"), F.max(F.col("offset") + F.col("length"))).first()
+    assert (n, most) == (30_000, 900) and 10_000 <= sequences <= 10_015  # a group's last sequence may stay open
+
+
+def test_parts_of_the_filter_read_their_own_files(spark):
+    from scanlayout.llm import exact_dedup
+
+    texts = [(i, f"text number {i % 4000}") for i in range(9000)]
+    docs = table(spark, texts)
+    parts = exact_dedup.exact_dedup(docs, max_blocks=2)
+    whole = exact_dedup.exact_dedup(docs)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(parts) == key(whole)
+    folders = {f.split("/_part=")[0] for f in parts.inputFiles() if "/_part=" in f}
+    assert len(folders) == 1 and len({f.split("/_part=")[1].split("/")[0] for f in parts.inputFiles() if "/_part=" in f}) == 3
