@@ -58,19 +58,16 @@ def job_outcome(jobs: DataFrame) -> DataFrame:
 def in_order_release(pages: DataFrame, ready: str = "ocr_ready", width: int = 256) -> DataFrame:
     """released: whether a page and all before it, from page 0 on, are there and ready. A null counts as not ready; a page that is there more than once is ready if one of its rows is; rows without a page number are never released.
 
-    The first gap is searched by ranges of `width` page numbers: distinct ready pages of a range are counted, and only a document's
-    first range that lacks some is looked at page by page. No step holds a document's pages in one task.
+    The first gap is searched by ranges of `width` page numbers: each range tells how far its ready pages reach from its start, and the document goes
+    on from range to range as long as they are whole. No step holds a document's pages in one task, only a value for each range.
     """
     pages = pages.withColumn("_range", F.floor(F.col("page_index") / width))
-    there = pages.where(F.coalesce(F.col(ready), F.lit(False)) & (F.col("page_index") >= 0)).select("doc_id", "_range", "page_index").distinct()
-    counts = there.groupBy("doc_id", "_range").agg(F.count("*").alias("n"))
-    full = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("n") == width, F.col("_range")))).alias("full"))
-    # ranges 0, 1, 2... are whole as long as the k-th whole range is range k; the next is the first that may have a gap
-    open_ = full.select("doc_id", F.aggregate("full", F.lit(0).cast("long"), lambda at, r: F.when(r == at, at + 1).otherwise(at)).alias("_open"))
-    short = matched(there, open_, ["doc_id"]).where(F.col("_range") == F.col("_open"))
-    inside = short.groupBy("doc_id", "_open").agg(F.array_sort(F.collect_list("page_index")).alias("p"))
-    first = F.aggregate("p", F.col("_open") * width, lambda at, x: F.when(x == at, at + 1).otherwise(at))
-    gaps = matched(open_, inside.select("doc_id", first.alias("_gap")), ["doc_id"], "left").select("doc_id", F.coalesce("_gap", F.col("_open") * width).alias("_gap"))
+    there = pages.where(F.coalesce(F.col(ready), F.lit(False)) & (F.col("page_index") >= 0))
+    on = lambda at, first, end: F.when(first == at, end).otherwise(at)
+    reach = F.aggregate(F.array_sort(F.collect_set(F.col("page_index").cast("long"))), F.col("_range") * width, lambda at, p: on(at, p, at + 1))
+    ranges = there.groupBy("doc_id", "_range").agg(reach.alias("_reach"))
+    parts = F.array_sort(F.collect_list(F.struct("_range", "_reach")))
+    gaps = ranges.groupBy("doc_id").agg(F.aggregate(parts, F.lit(0).cast("long"), lambda at, r: on(at, r["_range"] * width, r["_reach"])).alias("_gap"))
     released = (F.col("page_index") >= 0) & (F.col("page_index") < F.col("_gap"))
     return matched(pages, gaps, ["doc_id"], "left").withColumn("released", F.coalesce(released, F.lit(False))).drop("_range", "_gap")
 

@@ -656,10 +656,11 @@ def job_outcome(spark, d):
 )
 def in_order_release(spark, d):
     """Some pages are missing, some come twice, of others it isn't known which they are or whether they are ready."""
-    m = fx.page_meta(spark, d)
-    there = m.where("part % 23 <> 0").withColumns({"ocr_ready": F.when(F.col("part") % 19 != 0, F.col("ocr_ready")), "page_index": F.when(F.col("part") % 29 != 3, F.col("page_index"))})
-    again = m.where("part % 6 = 1").withColumn("ocr_ready", F.col("supp") % 2 == 0)
-    return quality.in_order_release(there.unionByName(again), width=4).select(*PAGE, "part", "released")
+    known = F.struct(F.when(F.col("part") % 29 != 3, F.col("page_index")).alias("page_index"), F.when(F.col("part") % 19 != 0, F.col("ocr_ready")).alias("ocr_ready"))
+    again = F.struct("page_index", (F.col("supp") % 2 == 0).alias("ocr_ready"))
+    both = F.array_compact(F.array(F.when(F.col("part") % 23 != 0, known), F.when(F.col("part") % 6 == 1, again)))
+    pages_ = fx.page_meta(spark, d).select("doc_id", "part", F.inline(both))
+    return quality.in_order_release(pages_, width=4).select(*PAGE, "part", "released")
 
 
 @query("w7_progress", o.PAGES, "SELECT doc_id, page_index, CAST(page_index + 1 AS INTEGER) AS done, CAST(total_pages AS BIGINT) AS total FROM pm")
