@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlayout.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
-from scanlayout.llm.common import ROW_KEY, saved, with_row_key, without
+from scanlayout.llm.common import ROW_KEY, forget, saved, with_row_key, without
 from scanlayout.llm.queries import tokenizer_path
 
 
@@ -68,5 +68,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        kept = saved(stage(spark, docs, sf_dir))
+        forget(docs)  # what the stage before wrote; the input isn't ours
+        docs = kept
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    forget(docs)  # the last stage works on pieces that it wrote itself
+    return out
