@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import in_order
 from ..sources.work import work_dir, written
 
 PAGE = ["doc_id", "page_index"]
@@ -70,7 +71,7 @@ def skew_samples(segments: DataFrame, o: SkewOptions) -> DataFrame:
 
 def _array_median(samples: Column) -> Column:
     """The weighted median of an array of (v, w): the lowest v whose cumulative weight is half of all or more; null if it is empty."""
-    ordered = F.array_sort(samples)
+    ordered = in_order(samples)
     half = F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["w"]) * 0.5
     start = F.struct(F.lit(0.0).alias("acc"), F.lit(None).cast("double").alias("v"), half.alias("half"))
     step = lambda s, x: F.struct((s["acc"] + x["w"]).alias("acc"), F.when(s["v"].isNull() & (s["acc"] + x["w"] >= s["half"]), x["v"]).otherwise(s["v"]).alias("v"), s["half"].alias("half"))
@@ -86,7 +87,7 @@ def skew_consensus(segments: DataFrame, o: SkewOptions = SkewOptions()) -> DataF
         pages = pages.withColumn(f"med_{x}", _array_median(F.col(x)))
         med = F.col(f"med_{x}")
         away = F.transform(x, lambda s: F.struct(F.abs(s["v"] - med).alias("v"), s["w"].alias("w")))
-        pages = pages.withColumns({f"mad_{x}": _array_median(away), f"n_{x}": F.size(x).cast("long"), f"sum_{x}": F.aggregate(F.array_sort(x), F.lit(0.0), lambda s, v: s + v["w"])})
+        pages = pages.withColumns({f"mad_{x}": _array_median(away), f"n_{x}": F.size(x).cast("long"), f"sum_{x}": F.aggregate(in_order(x), F.lit(0.0), lambda s, v: s + v["w"])})
     one = lambda x: F.struct(F.col(f"sum_{x}").alias("sumlen"), F.lit(x == "h").alias("flat"), F.col(f"med_{x}").alias("wmedian"), F.col(f"mad_{x}").alias("mad"), F.col(f"n_{x}").alias("n"))
     sure = F.filter(F.array(one("h"), one("v")), lambda s: (s["n"] >= o.count) & (s["sumlen"] >= o.sum_len) & (s["mad"] <= o.mad))
     pages = pages.withColumn("b", F.array_max(sure))
@@ -143,7 +144,7 @@ def residual_skew(tokens: DataFrame, min_side: Column, o: SkewOptions = STRICT,
     """
     first = written(skew_consensus(segments_from_tokens(tokens).withColumn("min_side", min_side), o), work_dir(tokens.sparkSession))
     unsure = first.where(F.col("tag").isin("hough-none", "hough-lowconf")).select(*PAGE)
-    rects = corner_rectangles(tokens.select(*PAGE, "points").join(unsure.hint("merge"), PAGE, "left_semi"))
+    rects = corner_rectangles(tokens.select(*PAGE, "points").join(unsure.hint("shuffle_hash"), PAGE, "left_semi"))
     turn = F.col("rect_angle")
     other = F.when(F.col("corners") < least_corners, "minarearect-few").when(F.abs(turn) < straight, "minarearect-straight").when(F.abs(turn) > most, "minarearect-too-big").otherwise("minarearect")
     rows = first.join(rects.hint("merge"), PAGE, "left").withColumn("method", F.when(F.col("tag") == "hough-small", "hough-straight").when(F.col("ok"), F.col("tag")).otherwise(other))

@@ -57,9 +57,9 @@ def write_page_images(rasters: DataFrame, path: str) -> DataFrame:
 
 
 def write_draw_plan(plan: DataFrame, path: str, buckets: int = 16) -> None:
-    """The plan by document, in folders by bucket; Spark's commit shows all files or none. A hot document's rows are dealt over pages."""
+    """The plan in folders by bucket of documents; Spark's commit shows all files or none. Rows stay in their parts, which are sorted by document and page: a document has a file for each part it is in, so a hot one's rows lie in many, and the plan isn't shuffled."""
     rows = plan.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket", "doc_id", F.col("page_index") % 64).sortWithinPartitions("bucket", "doc_id", "page_index", "seq", "char_no").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows.sortWithinPartitions("bucket", "doc_id", "page_index", "seq", "char_no").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_quality_report(summary: DataFrame, settings: DataFrame, pages: DataFrame, path: str) -> None:
