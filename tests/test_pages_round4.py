@@ -45,3 +45,14 @@ def test_clean_text_trims_what_the_pattern_says(spark):
     rows = spark.createDataFrame([(c + "x" + c + "y" + c,) for c in every] + [(c,) for c in every], "t string")
     pattern = F.regexp_replace("t", f"^{fc.SPACE}+|{fc.SPACE}+$", "")
     assert rows.where(fc.clean_text(F.col("t")) != pattern).count() == 0
+
+
+def test_coord_scale_at_its_bounds(spark):
+    """Percentiles that are 268.8 but for the last bit: a fifth of the page is still within reason, whatever they were interpolated from."""
+    from scanlayout.operators import reading
+
+    cases = [(n, lo, lo + step) for n in range(5, 60) for lo in range(180, 269) for step in range(1, 90) if abs(lo + step * ((n - 1) * 0.95 % 1) - 268.8) < 1e-9]
+    rows = [(k, 0, float(low if i < int((n - 1) * 0.95 + 1e-9) + 1 else high)) for k, (n, low, high) in enumerate(cases) for i in range(n)]
+    tokens = spark.createDataFrame(rows, "doc_id long, page_index int, x1 double").withColumn("y1", F.col("x1"))
+    out = reading.coord_scale(tokens, F.lit(1344.0), F.lit(268.8 / 0.85)).collect()
+    assert len(out) == len(cases) > 20 and {(r.tx, r.ty) for r in out} == {(5.0, 1.0)}
