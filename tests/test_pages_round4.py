@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from scanlayout.functions import columns as fc
-from scanlayout.operators import words
+from scanlayout.operators import placement, words
 from scanlayout.plans import queries
 
 SMOKE = "/root/testdata/sf0.001"
@@ -56,3 +56,10 @@ def test_coord_scale_at_its_bounds(spark):
     tokens = spark.createDataFrame(rows, "doc_id long, page_index int, x1 double").withColumn("y1", F.col("x1"))
     out = reading.coord_scale(tokens, F.lit(1344.0), F.lit(268.8 / 0.85)).collect()
     assert len(out) == len(cases) > 20 and {(r.tx, r.ty) for r in out} == {(5.0, 1.0)}
+
+
+def test_staged_placement_shuffles_no_plan(spark):
+    """Plans lie in buckets of pages: to leave out the bad pages of stages 0 and 1, only these pages' keys are exchanged (before: the plans too)."""
+    tokens, up = queries._to_place(spark, SMOKE)
+    plan, _ = placement.staged_plan(tokens, up, lambda rows: rows.withColumn("ok", F.expr(queries._DRAWN)), parts=8)
+    assert len(_exchanges(plan)) == 2 and plan.select("stage").distinct().count() == 3
