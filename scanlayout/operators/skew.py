@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_order
-from ..sources.work import work_dir, written
 
 PAGE = ["doc_id", "page_index"]
 
@@ -120,19 +119,43 @@ def _least_rectangle(points: np.ndarray) -> float:
     return float(turn[np.lexsort((-turn, np.abs(turn), np.round(spread[0] * spread[1], 6)))[0]])
 
 
-def corner_rectangles(tokens: DataFrame) -> DataFrame:
-    """rect_angle, corners: the turn of the least rectangle about the corners of each page's words, and their number. A page's words are few; its corners are gathered once."""
-    keys = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in PAGE)
-    flat = F.flatten(F.flatten(F.collect_list("points")))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.array(x.values.to_numpy(zero_copy_only=False)).reshape(-1, 2) for x in batch.column("xy")]
-            found = [x[np.isfinite(x).all(axis=1)] for x in found]
-            made = [pa.array([_least_rectangle(x) if len(x) else 0.0 for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAGE), *made], names=[*PAGE, "rect_angle", "corners"])
-
-    return tokens.groupBy(*PAGE).agg(flat.alias("xy")).mapInArrow(measure, keys + ", rect_angle double, corners long")
+def _median_of(values: np.ndarray, weights: np.ndarray) -> float | None:
+    """The lowest value whose cumulative weight is half of all or more, as `_array_median` has it; None without values."""
+    if not len(values):
+        return None
+    order = np.lexsort((weights, values))
+    total = np.cumsum(weights[order])
+    k = int(np.argmax(total >= total[-1] * 0.5))
+    return float(values[order[k]])
+
+
+def _consensus(lines: np.ndarray, min_side: float, o: SkewOptions) -> tuple[float, str, float | None, int | None, float | None]:
+    """angle, tag, mad, n and sumlen of one page, as skew_consensus has them, from its segments in order (x1, y1, x2, y2)."""
+    dx, dy = lines[:, 2] - lines[:, 0], lines[:, 3] - lines[:, 1]
+    length, raw = np.sqrt(dx * dx + dy * dy), np.degrees(np.arctan2(dy, dx))
+    raw = np.where(raw > 90, raw - 180, np.where(raw < -90, raw + 180, raw))
+    angle = np.round(raw, 9)
+    use = (np.arange(len(lines)) < o.first) & (length >= max(o.min_len, int(min_side * o.min_len_share)))
+    flat = use & (np.abs(angle) <= o.tol)
+    up = use & ~flat & (np.abs(np.abs(angle) - 90) <= o.tol)
+    best, every = None, int((~(flat | up) | (length > 0)).sum())
+    for is_flat, some in ((True, flat), (False, up)):
+        some = some & (length > 0)
+        v, w = angle[some], length[some]
+        v = np.round(v if is_flat else np.where(v > 0, v - 90, v + 90), 9)
+        order = np.lexsort((w, v))
+        total = float(np.cumsum(w[order])[-1]) if len(w) else 0.0
+        med = _median_of(v, w)
+        mad = _median_of(np.abs(v - med), w) if len(v) else None
+        if mad is not None and len(v) >= o.count and total >= o.sum_len and mad <= o.mad:
+            one = (total, is_flat, med, mad, len(v))
+            best = one if best is None else max(best, one)
+    if every < o.lines:
+        return 0.0, "hough-none", None, None, None
+    if best is None:
+        return 0.0, "hough-lowconf", None, None, None
+    total, _, med, mad, n = best
+    return (0.0, "hough-small", mad, n, total) if abs(med) < o.small else (-med, "hough", mad, n, total)
 
 
 def residual_skew(tokens: DataFrame, min_side: Column, o: SkewOptions = STRICT, most: float = 3.0, straight: float = 0.35, least_corners: int = 500) -> DataFrame:
@@ -140,16 +163,38 @@ def residual_skew(tokens: DataFrame, min_side: Column, o: SkewOptions = STRICT,
 
     The consensus of segments under strict gates decides first: `hough`, turned by `most` degrees at the most; `hough-straight` ends it too. Pages
     without consensus, and these only, are told by the least rectangle about their words' corners: `minarearect`, unless there are
-    few corners (-few), the turn is small (-straight), or more than `most`, which is refused (-too-big). Needs points.
+    few corners (-few), the turn is small (-straight), or more than `most`, which is refused (-too-big). Needs points. A page's words are few: they
+    are gathered once, and both steps work on them.
     """
-    first = written(skew_consensus(segments_from_tokens(tokens).withColumn("min_side", min_side), o), work_dir(tokens.sparkSession))
-    unsure = first.where(F.col("tag").isin("hough-none", "hough-lowconf")).select(*PAGE)
-    rects = corner_rectangles(tokens.select(*PAGE, "points").join(unsure.hint("shuffle_hash"), PAGE, "left_semi"))
-    turn = F.col("rect_angle")
-    other = F.when(F.col("corners") < least_corners, "minarearect-few").when(F.abs(turn) < straight, "minarearect-straight").when(F.abs(turn) > most, "minarearect-too-big").otherwise("minarearect")
-    rows = first.join(rects.hint("merge"), PAGE, "left").withColumn("method", F.when(F.col("tag") == "hough-small", "hough-straight").when(F.col("ok"), F.col("tag")).otherwise(other))
-    angle = F.when(F.col("method") == "hough", F.least(F.lit(most), F.greatest(F.lit(-most), F.col("angle")))).when(F.col("method") == "minarearect", -turn).otherwise(F.lit(0.0))
-    return rows.select(*PAGE, (angle + F.lit(0.0)).alias("angle"), F.col("method").isin("hough", "minarearect").alias("ok"), "method", "mad", F.coalesce("n", "corners").alias("n"), "sumlen")
+    keys = ", ".join(f"{c} {tokens.schema[c].dataType.simpleString()}" for c in PAGE)
+    corners = F.struct(F.col("seq"), min_side.cast("double").alias("side"), F.size("points").alias("size"), F.flatten("points").alias("xy"))
+    pages = tokens.groupBy(*PAGE).agg(F.collect_list(corners).alias("words"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for words in batch.column("words"):
+                rows = words.values
+                seq, side, xy = rows.field("seq").to_numpy(zero_copy_only=False), rows.field("side").to_numpy(zero_copy_only=False), rows.field("xy")
+                points = xy.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+                sizes = rows.field("size").to_numpy(zero_copy_only=False)
+                first = np.cumsum(sizes) - sizes
+                order = np.argsort(seq, kind="stable")
+                at = first[order]
+                angle, tag, mad, n, total = _consensus(np.concatenate([points[at], points[at + 1]], axis=1), float(np.nan_to_num(side[0])), o)
+                if tag in ("hough", "hough-small"):
+                    method = "hough" if tag == "hough" else "hough-straight"
+                    out.append((min(most, max(-most, angle)) + 0.0 if tag == "hough" else 0.0, tag == "hough", method, mad, n, total))
+                    continue
+                points = points[np.isfinite(points).all(axis=1)]
+                turn, n = (_least_rectangle(points) if len(points) else 0.0), len(points)
+                method = "minarearect-few" if n < least_corners else "minarearect-straight" if abs(turn) < straight else "minarearect-too-big" if abs(turn) > most else "minarearect"
+                out.append((0.0 - turn if method == "minarearect" else 0.0, method == "minarearect", method, None, n, None))
+            kinds = [pa.float64(), pa.bool_(), pa.string(), pa.float64(), pa.int64(), pa.float64()]
+            made = [pa.array(list(v), k) for v, k in zip(zip(*out) if out else [[]] * 6, kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in PAGE), *made], names=[*PAGE, "angle", "ok", "method", "mad", "n", "sumlen"])
+
+    return pages.mapInArrow(measure, keys + ", angle double, ok boolean, method string, mad double, n long, sumlen double")
 
 
 def row_profile(tokens: DataFrame, angles: list[float], height: float = 8.0) -> DataFrame:
